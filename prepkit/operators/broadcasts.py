@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def cell(field: str, index: int = 0) -> Column:
+    return F.col(f"__{field}_{index}")
+
+
 def as_one_row(per_column: DataFrame, columns: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """Turn a one-row-per-column frame into one row with ``<field>_<index>`` cells."""
+    """Turn a one-row-per-column frame into one row; :func:`cell` names its cells."""
     return per_column.groupBy().agg(*[
-        F.max(F.when(F.col("column_name") == c, F.col(f))).alias(f"{f}_{i}")
+        F.max(F.when(F.col("column_name") == c, F.col(f))).alias(f"__{f}_{i}")
         for i, c in enumerate(columns) for f in fields
     ])
 

@@ -17,7 +17,7 @@ from prepkit.functions.columns import (
     text_columns,
     union_all,
 )
-from prepkit.operators.broadcasts import as_one_row, with_row
+from prepkit.operators.broadcasts import as_one_row, cell, with_row
 from prepkit.operators.frequency import value_counts, with_distinct
 from prepkit.operators.ordered import ROWS_PER_BUCKET, average_ranks
 from prepkit.operators.quantiles import quantiles
@@ -69,13 +69,13 @@ def box_plot(df: DataFrame, columns: Sequence[str] | None = None, approx: bool =
             df.select(*[present_double(c).alias(f"x_{i}") for i, c in enumerate(chunk)]), row)
         aggregates, rows = [], []
         for i, name in enumerate(chunk):
-            x, q25, q75 = F.col(f"x_{i}"), F.col(f"q25_{i}"), F.col(f"q75_{i}")
+            x, q25, q75 = F.col(f"x_{i}"), cell("q25", i), cell("q75", i)
             reach = (q75 - q25) * 1.5
             inside = (x >= q25 - reach) & (x <= q75 + reach)
             aggregates += [
                 F.min(F.when(inside, x)).alias(f"low_{i}"), F.max(F.when(inside, x)).alias(f"high_{i}"),
                 F.count_if(~inside).alias(f"out_{i}"),
-                *[F.max(f"{q}_{i}").alias(f"{q}_of_{i}") for q in ("q25", "median", "q75")]]
+                *[F.max(cell(q, i)).alias(f"{q}_of_{i}") for q in ("q25", "median", "q75")]]
             rows.append(F.struct(
                 F.lit(name).alias("column_name"),
                 *[F.col(f"{q}_of_{i}").alias(q) for q in ("q25", "median", "q75")],

@@ -23,11 +23,11 @@ from prepkit.functions.columns import (
     union_all,
 )
 from prepkit.functions.keys import row_key
-from prepkit.operators.broadcasts import as_one_row, with_row
+from prepkit.operators.broadcasts import as_one_row, cell, with_row
 from prepkit.operators.frequency import row_counts, with_distinct
 from prepkit.operators.profile import missing_cells
 from prepkit.operators.quantiles import quantiles
-from prepkit.operators.stats import column_stats, one_row_per_column
+from prepkit.operators.stats import MEASURES, column_stats, one_row_per_column
 
 SEVERITIES = ["critical", "high", "medium", "low", "info"]
 # Advice order of the issue types and their titles.
@@ -78,9 +78,9 @@ def outlier_counts(df: DataFrame, bounds: DataFrame, columns: Sequence[str]) ->
         values = with_row(df.select(*[present_double(c).alias(f"x_{i}") for i, c in enumerate(chunk)]), limits)
         aggregates, rows = [], []
         for i, name in enumerate(chunk):
-            x, q25, q75 = F.col(f"x_{i}"), F.col(f"q25_{i}"), F.col(f"q75_{i}")
+            x, q25, q75 = F.col(f"x_{i}"), cell("q25", i), cell("q75", i)
             reach = (q75 - q25) * IQR_REACH
-            z = F.try_divide(F.abs(x - F.col(f"mean_{i}")), F.col(f"std_{i}"))
+            z = F.try_divide(F.abs(x - cell("mean", i)), cell("std", i))
             aggregates += [
                 F.count_if(z > Z_LIMIT).alias(f"z_{i}"),
                 F.count_if((x < q25 - reach) | (x > q75 + reach)).alias(f"iqr_{i}"),
@@ -106,19 +106,38 @@ def outlier_profile(
         "z_outliers", "iqr_outliers")
 
 
-def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
-    """Everything the detectors look at, one row per column."""
-    stats = with_distinct(
-        column_stats(df, ["moments", "inconsistency", "comma_numeric", "least"]), df)
+# What each kind of issue is read from: measures, and the costlier parts.
+NEEDS: dict[str, tuple[list[str], set[str]]] = {
+    "missing_values": ([], set()),
+    "duplicates": ([], {"distinct"}),
+    "outliers": (["moments"], {"outliers"}),
+    "type_inconsistency": (["inconsistency"], set()),
+    "mixed_types": (["inconsistency"], set()),
+    "constant_column": (["least"], {"distinct"}),
+    "low_variance": (["moments"], {"distinct"}),
+    "high_cardinality": ([], {"distinct"}),
+}
+_OUTLIER_FIELDS = {"q25": "double", "q75": "double", "z_outliers": "bigint", "iqr_outliers": "bigint"}
+
+
+def column_profile(
+    df: DataFrame, issue_types: Sequence[str] | None = None, approx: bool = False
+) -> DataFrame:
+    """What the detectors of the wanted issue types look at, one row per column."""
+    wanted = list(NEEDS) if issue_types is None else list(issue_types)
+    measures = [m for t in wanted for m in NEEDS[t][0]]
+    parts = {p for t in wanted for p in NEEDS[t][1]}
+    stats = column_stats(df, measures)
+    if "distinct" in parts:
+        stats = with_distinct(stats, df)
     names = numeric_columns(df)
-    if names:
-        extra = outlier_profile(df, names, approx).select(
-            "column_name", "q25", "q75", "z_outliers", "iqr_outliers")
-        return stats.join(one_row_per_column(extra), "column_name", "left")
-    return stats.select(
-        "*",
-        *[F.lit(None).cast("double").alias(c) for c in ("q25", "q75")],
-        *[F.lit(None).cast("bigint").alias(c) for c in ("z_outliers", "iqr_outliers")])
+    if "outliers" in parts and names:
+        extra = outlier_profile(df, names, approx).select("column_name", *_OUTLIER_FIELDS)
+        stats = stats.join(one_row_per_column(extra), "column_name", "left")
+    fields = {f: t for m in ("moments", "inconsistency", "least") for f, t, _ in MEASURES[m]}
+    absent = {"distinct_count": "bigint", **fields, **_OUTLIER_FIELDS}
+    return stats.select("*", *[
+        F.lit(None).cast(t).alias(f) for f, t in absent.items() if f not in stats.columns])
 
 
 def _details(**entries: Column) -> Column:
@@ -127,7 +146,7 @@ def _details(**entries: Column) -> Column:
     return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
 
 
-def _issue(when: Column, detector: int, part: int, issue_type, severity, description: Column,
+def _issue(when: Column, detector: int, part: int, issue_type: str, severity, description: Column,
            rows: Column, share: Column, recommendation, **details: Column) -> Column:
     def text(v):
         return v if isinstance(v, Column) else F.lit(v)
@@ -148,7 +167,7 @@ def _r4(c: Column) -> Column:
     return F.round(c, 4)
 
 
-def _column_issues() -> list[Column]:
+def _column_issues(wanted: Sequence[str]) -> list[Column]:
     rows, held, missing = F.col("row_count"), F.col("non_null"), F.col("missing")
     distinct, dtype = F.col("distinct_count"), F.col("dtype")
     numeric = dtype.rlike("^(tinyint|smallint|int|bigint|float|double|decimal.*)$")
@@ -182,7 +201,7 @@ def _column_issues() -> list[Column]:
     varied = percent(distinct, held)
     many = text & (F.try_divide(distinct.cast("double"), held) > HIGH_CARDINALITY) \
         & (distinct > HIGH_CARDINALITY_DISTINCT)
-    return [
+    rules = [
         _issue(missing > 0, 1, 0, "missing_values",
                _ladder(gap, (50, "critical"), (20, "high"), (5, "medium"), otherwise="low"),
                _about("'%s' lacks %d values", "missing"), missing, gap, fill,
@@ -221,13 +240,17 @@ def _column_issues() -> list[Column]:
                unique_count=distinct,
                cardinality_ratio=_r4(F.try_divide(distinct.cast("double"), held))),
     ]
+    kinds = [
+        "missing_values", "duplicates", "outliers", "type_inconsistency", "mixed_types",
+        "type_inconsistency", "constant_column", "low_variance", "high_cardinality"]
+    return [rule for kind, rule in zip(kinds, rules, strict=True) if kind in wanted]
 
 
-def column_issues(profile: DataFrame) -> DataFrame:
+def column_issues(profile: DataFrame, issue_types: Sequence[str] | None = None) -> DataFrame:
     """Issues of single columns, read off :func:`column_profile`."""
-    found = profile.select(
-        "column_name", "position",
-        F.explode(F.filter(F.array(*_column_issues()), lambda i: i.isNotNull())).alias("issue"))
+    rules = _column_issues(list(NEEDS) if issue_types is None else issue_types)
+    found = profile.select("column_name", "position", F.explode(
+        F.filter(F.array(*rules), lambda i: i.isNotNull())).alias("issue"))
     return found.select(
         "issue.detector", "position", "issue.part", "issue.issue_type", "issue.severity",
         "column_name", "issue.description", "issue.affected_rows", "issue.affected_percentage",
@@ -262,7 +285,7 @@ def table_issues(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
 
 def detected(df: DataFrame, approx: bool = False) -> DataFrame:
     """All issues with the order in which they are detected."""
-    return column_issues(column_profile(df, approx)).unionByName(table_issues(df))
+    return column_issues(column_profile(df, approx=approx)).unionByName(table_issues(df))
 
 
 def numbered(found: DataFrame) -> DataFrame:
@@ -280,7 +303,11 @@ def all_issues(df: DataFrame, approx: bool = False) -> DataFrame:
 
 
 def issues_of(df: DataFrame, *issue_types: str, approx: bool = False) -> DataFrame:
-    return detected(df, approx).filter(F.col("issue_type").isin(*issue_types)).select(*ISSUE_FIELDS)
+    """Issues of some types; computes only what these are read from."""
+    found = column_issues(column_profile(df, issue_types, approx), issue_types)
+    if {"missing_values", "duplicates"} & set(issue_types):
+        found = found.unionByName(table_issues(df).filter(F.col("issue_type").isin(*issue_types)))
+    return found.select(*ISSUE_FIELDS)
 
 
 def missing_issues(df: DataFrame) -> DataFrame:
@@ -322,9 +349,9 @@ def prioritized(found: DataFrame) -> DataFrame:
 
 def scores(df: DataFrame, approx: bool = False) -> DataFrame:
     """One row: overall score and its four parts, each 0 to 100."""
-    profile = column_profile(df, approx)
     counts = row_counts(df)
-    found = column_issues(profile)
+    kinds = ["type_inconsistency", "mixed_types", "outliers"]
+    found = column_issues(column_profile(df, kinds, approx), kinds)
     from_issues = found.agg(
         F.count_if(F.col("issue_type").isin("type_inconsistency", "mixed_types")).alias("type_issues"),
         F.coalesce(F.sum(F.when(F.col("issue_type") == "outliers", F.col("affected_percentage"))),

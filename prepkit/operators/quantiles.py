@@ -53,11 +53,10 @@ def exact_quantiles(
         brackets = _brackets(_column_sketches(df, columns, shares), keys, shares)
         brackets = F.broadcast(brackets)  # one row per column of the schema
     tallies = _tallies(values, brackets, keys, len(labels))
-    picked = _pick(tallies, keys, shares)
-    return picked.groupBy(*[col(k) for k in keys]).agg(*[
-        F.max(F.when(F.col("slot") == i, F.col("quantile"))).alias(label)
-        for i, label in enumerate(labels)
-    ])
+    located = _locate(tallies, keys, shares)
+    if not by:
+        located = F.broadcast(located)  # at most two cells per column and quantile
+    return _pick(tallies, located, keys, labels)
 
 
 def approx_quantiles(
@@ -181,13 +180,14 @@ def _cell() -> Column:
         inner).cast("int")
 
 
-def _pick(tallies: DataFrame, keys: list[str], shares: list[float]) -> DataFrame:
+def _locate(tallies: DataFrame, keys: list[str], shares: list[float]) -> DataFrame:
+    """The cells that hold the ranks to both sides of the wanted position."""
     slot_keys = [*[col(k) for k in keys], F.col("slot")]
     share = F.element_at(F.array(*[F.lit(s) for s in shares]), F.col("slot") + 1)
-    by_slot = Window.partitionBy(*slot_keys)
+    by_slot = Window.partitionBy(*slot_keys)  # at most CELLS + 2 rows
     cells = tallies.groupBy(*slot_keys, "cell").agg(F.sum("n").alias("held"))
     position = share * (F.col("total") - 1)
-    located = (
+    return (
         cells.withColumn("total", F.sum("held").over(by_slot))
         .withColumn("before", F.sum("held").over(by_slot.orderBy("cell")) - F.col("held"))
         .withColumn("low_rank", F.floor(position) + 1)
@@ -197,22 +197,33 @@ def _pick(tallies: DataFrame, keys: list[str], shares: list[float]) -> DataFrame
                 | _holds("high_rank", F.col("before"), F.col("held")))
         .drop("held", "total")
     )
-    in_cell = Window.partitionBy(*slot_keys, "cell").orderBy("value")
+
+
+def _pick(tallies: DataFrame, located: DataFrame, keys: list[str], labels: list[str]) -> DataFrame:
+    in_cell = Window.partitionBy(*[col(k) for k in keys], "slot", "cell").orderBy("value")
     ranked = tallies.join(located, [*keys, "slot", "cell"]).withColumn(
         "preceding", F.col("before") + F.sum("n").over(in_cell) - F.col("n")
     )
-    ends = ranked.groupBy(*slot_keys).agg(
-        F.max(F.when(_is_at("low_rank"), F.col("value"))).alias("low"),
-        F.max(F.when(_is_at("high_rank"), F.col("value"))).alias("high"),
-        F.max("fraction").alias("fraction"),
-    )
+    ends = ranked.groupBy(*[col(k) for k in keys]).agg(*[
+        made
+        for i in range(len(labels))
+        for made in (
+            F.max(F.when((F.col("slot") == i) & _is_at("low_rank"), F.col("value"))).alias(f"low_{i}"),
+            F.max(F.when((F.col("slot") == i) & _is_at("high_rank"), F.col("value"))).alias(f"high_{i}"),
+            F.max(F.when(F.col("slot") == i, F.col("fraction"))).alias(f"fraction_{i}"),
+        )
+    ])
     return ends.select(
-        *slot_keys,
-        F.when(F.col("low").isNull() | F.col("high").isNull(),
-               F.raise_error(F.lit("rank outside the sketched bracket")).cast("double"))
-        .when(F.col("low") == F.col("high"), F.col("low"))
-        .otherwise(F.col("low") + (F.col("high") - F.col("low")) * F.col("fraction"))
-        .alias("quantile"),
+        *[col(k) for k in keys],
+        *[
+            F.when(F.col(f"low_{i}").isNull() | F.col(f"high_{i}").isNull(),
+                   F.raise_error(F.lit("rank outside the sketched bracket")).cast("double"))
+            .when(F.col(f"low_{i}") == F.col(f"high_{i}"), F.col(f"low_{i}"))
+            .otherwise(F.col(f"low_{i}")
+                       + (F.col(f"high_{i}") - F.col(f"low_{i}")) * F.col(f"fraction_{i}"))
+            .alias(label)
+            for i, label in enumerate(labels)
+        ],
     )
 
 

@@ -27,7 +27,7 @@ from prepkit.functions.columns import (
     present_double,
     union_all,
 )
-from prepkit.operators.broadcasts import as_one_row, with_row
+from prepkit.operators.broadcasts import as_one_row, cell, with_row
 from prepkit.operators.frequency import value_counts, with_distinct
 from prepkit.operators.ordered import ROWS_PER_BUCKET, dense_codes, fill
 from prepkit.operators.quantiles import quantiles
@@ -81,7 +81,7 @@ def _with_stats(df: DataFrame, per_column: DataFrame, columns: Sequence[str],
     joined = with_row(df, row)
     at = {c: i for i, c in enumerate(columns)}
     return joined.select(*[
-        change(c, lambda f, c=c: F.col(f"{f}_{at[c]}")).alias(c) if c in at else col(c)
+        change(c, lambda f, c=c: cell(f, at[c])).alias(c) if c in at else col(c)
         for c in df.columns])
 
 
@@ -170,7 +170,7 @@ def remove_outliers_zscore(df: DataFrame, p: Params) -> DataFrame:
     out = df
     for name in p.numeric(df):
         stats = as_one_row(column_stats(out, ["moments"], [name]), [name], ["mean", "std"])
-        beyond = _z_beyond(present_double(name), F.col("mean_0"), F.col("std_0"), p.threshold)
+        beyond = _z_beyond(present_double(name), cell("mean"), cell("std"), p.threshold)
         out = with_row(out, stats).filter(~beyond).select(*[col(c) for c in df.columns])
     return out
 
@@ -180,7 +180,7 @@ def remove_outliers_iqr(df: DataFrame, p: Params) -> DataFrame:
     for name in p.numeric(df):
         bounds = as_one_row(_iqr_bounds(out, name, p), [name], ["low", "high"])
         x = present_double(name)
-        inside = F.coalesce((x >= F.col("low_0")) & (x <= F.col("high_0")), F.lit(True))
+        inside = F.coalesce((x >= cell("low")) & (x <= cell("high")), F.lit(True))
         out = with_row(out, bounds).filter(inside).select(*[col(c) for c in df.columns])
     return out
 
@@ -227,11 +227,12 @@ def encode_onehot(df: DataFrame, p: Params) -> DataFrame:
 def encode_label(df: DataFrame, p: Params) -> DataFrame:
     out = df
     for name in p.existing(df):
-        codes = dense_codes(value_counts(out, name), "value", p.rows_per_bucket)
-        out = _replace(
-            out.join(codes, _present(out, name) == F.col("value"), "left"),
-            {name: F.coalesce("code", F.lit(-1).cast("bigint"))},
-        ).select(*[col(c) for c in df.columns])
+        codes = dense_codes(value_counts(out, name), "value", p.rows_per_bucket).select(
+            F.col("value").alias("__value"), F.col("code").alias("__code"))
+        coded = out.join(codes, _present(out, name) == F.col("__value"), "left")
+        out = coded.select(*[
+            F.coalesce("__code", F.lit(-1).cast("bigint")).alias(c) if c == name else col(c)
+            for c in df.columns])
     return out
 
 
@@ -240,8 +241,8 @@ def frequency_encode(df: DataFrame, column: str) -> DataFrame:
     counts = value_counts(df, column)
     total = counts.agg(F.sum("n").alias("total"))
     shares = with_row(counts, total).select(
-        "value", F.try_divide(F.col("n").cast("double"), F.col("total")).alias(f"{column}_encoded"))
-    return df.join(shares, _present(df, column) == F.col("value"), "left").drop("value")
+        F.col("value").alias("__value"), F.try_divide(F.col("n").cast("double"), F.col("total")).alias(f"{column}_encoded"))
+    return df.join(shares, _present(df, column) == F.col("__value"), "left").drop("__value")
 
 
 # Types and structure
@@ -417,7 +418,7 @@ def affected_rows(df: DataFrame, after: DataFrame, kind: str, params: Params) ->
             row = as_one_row(bounds_of(df, name, params), [name], ["low", "high"])
             x = present_double(name)
             capped.append(with_row(df.select(x.alias("x")), row).agg(F.count_if(
-                (F.col("x") < F.col("low_0")) | (F.col("x") > F.col("high_0"))).alias("n")))
+                (F.col("x") < cell("low")) | (F.col("x") > cell("high"))).alias("n")))
         if capped:
             return union_all(capped).agg(F.sum("n").alias("affected"))
     touches = names and not (
