@@ -1,25 +1,23 @@
-"""Hand statistics of a table back to its rows inside one lazy query."""
+"""Hand statistics of a table back to its rows."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def cell(field: str, index: int = 0) -> Column:
-    return F.col(f"__{field}_{index}")
-
-
-def as_one_row(per_column: DataFrame, columns: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """Turn a one-row-per-column frame into one row; :func:`cell` names its cells."""
-    return per_column.groupBy().agg(*[
-        F.max(F.when(F.col("column_name") == c, F.col(f))).alias(f"__{f}_{i}")
-        for i, c in enumerate(columns) for f in fields
-    ])
-
-
 def with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Put the cells of a single-row frame beside every row; one row always fits."""
     return df.crossJoin(F.broadcast(one_row))
+
+
+def fitted(per_column: DataFrame, fields: Sequence[str]) -> dict[str, dict]:
+    """Collect the statistics of each column: one row per column of the schema.
+
+    What is built from them is a constant in the plan, so a filter on it reaches the
+    files and a chain of steps does not nest one query inside the next.
+    """
+    rows = per_column.select("column_name", *fields).collect()
+    return {r["column_name"]: {f: r[f] for f in fields} for r in rows}

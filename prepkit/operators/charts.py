@@ -17,10 +17,10 @@ from prepkit.functions.columns import (
     text_columns,
     union_all,
 )
-from prepkit.operators.broadcasts import as_one_row, cell, with_row
+from prepkit.operators.broadcasts import fitted, with_row
 from prepkit.operators.frequency import value_counts, with_distinct
 from prepkit.operators.ordered import ROWS_PER_BUCKET, average_ranks
-from prepkit.operators.quantiles import quantiles
+from prepkit.operators.quantiles import QUARTILES, quantiles
 from prepkit.operators.stats import column_stats
 
 HISTOGRAM_BINS = 30
@@ -28,6 +28,7 @@ BAR_CATEGORIES = 20
 CHARTED_COLUMNS = 10
 CORRELATED_COLUMNS = 15
 MATRIX_ROWS = 100
+FENCE = 1.5
 #: Column pairs per aggregate, three aggregates each.
 PAIRS_PER_AGGREGATE = 40
 
@@ -61,28 +62,24 @@ def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFra
 def box_plot(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """Quartiles, whiskers at the outermost values inside the fences, outlier counts."""
     names = numeric_columns(df, columns)
-    boxes = quantiles(df, names, approx=approx)
+    boxes = fitted(quantiles(df, names, approx=approx), list(QUARTILES))
     parts = []
-    for chunk in chunks(names):
-        row = as_one_row(boxes, chunk, ["q25", "median", "q75"])
-        values = with_row(
-            df.select(*[present_double(c).alias(f"x_{i}") for i, c in enumerate(chunk)]), row)
+    for chunk in chunks(list(boxes.items())):
         aggregates, rows = [], []
-        for i, name in enumerate(chunk):
-            x, q25, q75 = F.col(f"x_{i}"), cell("q25", i), cell("q75", i)
-            reach = (q75 - q25) * 1.5
-            inside = (x >= q25 - reach) & (x <= q75 + reach)
+        for i, (name, box) in enumerate(chunk):
+            x, reach = present_double(name), (box["q75"] - box["q25"]) * FENCE
+            inside = (x >= box["q25"] - reach) & (x <= box["q75"] + reach)
             aggregates += [
                 F.min(F.when(inside, x)).alias(f"low_{i}"), F.max(F.when(inside, x)).alias(f"high_{i}"),
-                F.count_if(~inside).alias(f"out_{i}"),
-                *[F.max(cell(q, i)).alias(f"{q}_of_{i}") for q in ("q25", "median", "q75")]]
+                F.count_if(~inside).alias(f"out_{i}")]
             rows.append(F.struct(
-                F.lit(name).alias("column_name"),
-                *[F.col(f"{q}_of_{i}").alias(q) for q in ("q25", "median", "q75")],
+                F.lit(name).alias("column_name"), *[F.lit(box[q]).alias(q) for q in QUARTILES],
                 F.col(f"low_{i}").alias("whisker_low"), F.col(f"high_{i}").alias("whisker_high"),
                 F.col(f"out_{i}").alias("outliers")))
-        parts.append(values.agg(*aggregates).select(F.inline(F.array(*rows))))
-    return union_all(parts).filter(F.col("median").isNotNull())
+        parts.append(df.agg(*aggregates).select(F.inline(F.array(*rows))))
+    if not parts:
+        raise ValueError("no values to draw a box for")
+    return union_all(parts)
 
 
 def bar_chart(df: DataFrame, column: str, top_n: int = BAR_CATEGORIES) -> DataFrame:

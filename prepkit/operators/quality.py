@@ -23,7 +23,6 @@ from prepkit.functions.columns import (
     union_all,
 )
 from prepkit.functions.keys import row_key
-from prepkit.operators.broadcasts import as_one_row, cell, with_row
 from prepkit.operators.frequency import row_counts, with_distinct
 from prepkit.operators.profile import missing_cells
 from prepkit.operators.quantiles import quantiles
@@ -70,25 +69,24 @@ def _ladder(percentage: Column, *rungs: tuple[float, str], otherwise: str) -> Co
     return severity
 
 
-def outlier_counts(df: DataFrame, bounds: DataFrame, columns: Sequence[str]) -> DataFrame:
+def outlier_counts(df: DataFrame, bounds: dict[str, dict]) -> DataFrame:
     """(column_name, z_outliers, iqr_outliers) given mean, std, q25 and q75 per column."""
     parts = []
-    for chunk in chunks(list(columns)):
-        limits = as_one_row(bounds, chunk, ["mean", "std", "q25", "q75"])
-        values = with_row(df.select(*[present_double(c).alias(f"x_{i}") for i, c in enumerate(chunk)]), limits)
+    for chunk in chunks(list(bounds.items())):
         aggregates, rows = [], []
-        for i, name in enumerate(chunk):
-            x, q25, q75 = F.col(f"x_{i}"), cell("q25", i), cell("q75", i)
-            reach = (q75 - q25) * IQR_REACH
-            z = F.try_divide(F.abs(x - cell("mean", i)), cell("std", i))
-            aggregates += [
-                F.count_if(z > Z_LIMIT).alias(f"z_{i}"),
-                F.count_if((x < q25 - reach) | (x > q75 + reach)).alias(f"iqr_{i}"),
-            ]
+        for i, (name, b) in enumerate(chunk):
+            x = present_double(name)
+            z, fenced = F.lit(False), F.lit(False)
+            if b["std"]:
+                z = F.abs(x - b["mean"]) / b["std"] > Z_LIMIT
+            if b["q25"] is not None:
+                reach = (b["q75"] - b["q25"]) * IQR_REACH
+                fenced = (x < b["q25"] - reach) | (x > b["q75"] + reach)
+            aggregates += [F.count_if(z).alias(f"z_{i}"), F.count_if(fenced).alias(f"iqr_{i}")]
             rows.append(F.struct(
                 F.lit(name).alias("column_name"),
                 F.col(f"z_{i}").alias("z_outliers"), F.col(f"iqr_{i}").alias("iqr_outliers")))
-        parts.append(values.agg(*aggregates).select(F.inline(F.array(*rows))))
+        parts.append(df.agg(*aggregates).select(F.inline(F.array(*rows))))
     return union_all(parts)
 
 
@@ -97,13 +95,13 @@ def outlier_profile(
 ) -> DataFrame:
     """(column_name, non_null, mean, std, q25, q75, z_outliers, iqr_outliers) of numeric columns."""
     names = numeric_columns(df, columns)
-    stats = column_stats(df, ["moments"], names)
     quarters = one_row_per_column(quantiles(df, names, {"q25": 0.25, "q75": 0.75}, approx=approx))
-    bounds = stats.join(quarters, "column_name", "left")
-    counts = one_row_per_column(outlier_counts(df, bounds, names))
-    return bounds.join(counts, "column_name").select(
-        "column_name", "position", "non_null", "mean", "std", "q25", "q75",
-        "z_outliers", "iqr_outliers")
+    frame = column_stats(df, ["moments"], names).join(quarters, "column_name", "left").select(
+        "column_name", "position", "non_null", "mean", "std", "q25", "q75")
+    rows = frame.collect()  # one row per column of the schema
+    bounds = df.sparkSession.createDataFrame(rows, frame.schema)
+    counts = one_row_per_column(outlier_counts(df, {r["column_name"]: r.asDict() for r in rows}))
+    return bounds.join(counts, "column_name")
 
 
 # What each kind of issue is read from: measures, and the costlier parts.

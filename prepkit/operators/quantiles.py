@@ -1,6 +1,6 @@
 """Exact quantiles of whole columns without bringing a column to one task.
 
-Three steps, all lazy:
+Three steps; without groups the first one runs at once, the others are lazy:
 
 1. One scan builds a bounded sketch per column and reads from it a bracket of
    values around every wanted rank.
@@ -51,7 +51,8 @@ def exact_quantiles(
         brackets = _brackets(_group_sketches(values, keys, shares), keys, shares)
     else:
         brackets = _brackets(_column_sketches(df, columns, shares), keys, shares)
-        brackets = F.broadcast(brackets)  # one row per column of the schema
+        # collected: one row per column of the schema, constants for the second scan
+        brackets = F.broadcast(df.sparkSession.createDataFrame(brackets.collect(), brackets.schema))
     tallies = _tallies(values, brackets, keys, len(labels))
     located = _locate(tallies, keys, shares)
     if not by:

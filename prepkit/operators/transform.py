@@ -1,8 +1,9 @@
-"""The twenty table transformations, each DataFrame in, DataFrame out, and lazy.
+"""The twenty table transformations, each DataFrame in, DataFrame out.
 
-Columns that do not exist are skipped. Statistics a transformation needs are
-computed in the same query and handed to the rows as one broadcast row. With
-several columns the steps act one after the other on the changed table.
+Columns that do not exist are skipped. Statistics a transformation needs are fitted
+when it is called, one row per column; the change itself stays a lazy plan with the
+statistics as constants. With several columns the steps act one after the other on
+the changed table.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from prepkit.functions.columns import (
     present_double,
     union_all,
 )
-from prepkit.operators.broadcasts import as_one_row, cell, with_row
+from prepkit.operators.broadcasts import fitted, with_row
 from prepkit.operators.frequency import value_counts, with_distinct
 from prepkit.operators.ordered import ROWS_PER_BUCKET, dense_codes, fill
 from prepkit.operators.quantiles import quantiles
@@ -74,17 +75,6 @@ def _replace(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     return df.select(*[new[c].alias(c) if c in new else col(c) for c in df.columns])
 
 
-def _with_stats(df: DataFrame, per_column: DataFrame, columns: Sequence[str],
-                fields: Sequence[str], change: Callable[[str, Callable[[str], Column]], Column]) -> DataFrame:
-    """Replace each column by an expression over itself and its statistics."""
-    row = as_one_row(per_column, columns, fields)
-    joined = with_row(df, row)
-    at = {c: i for i, c in enumerate(columns)}
-    return joined.select(*[
-        change(c, lambda f, c=c: cell(f, at[c])).alias(c) if c in at else col(c)
-        for c in df.columns])
-
-
 # Imputation
 
 def _fill_type(data_type: T.DataType) -> str:
@@ -92,36 +82,40 @@ def _fill_type(data_type: T.DataType) -> str:
     return "double" if not isinstance(data_type, FRACTIONAL_TYPES) else data_type.simpleString()
 
 
+def _impute(df: DataFrame, per_column: DataFrame, field: str) -> DataFrame:
+    found = fitted(per_column, [field])
+    return _replace(df, {
+        c: F.coalesce(_present(df, c), F.lit(v[field])).cast(_fill_type(df.schema[c].dataType))
+        for c, v in found.items()})
+
+
 def impute_mean(df: DataFrame, p: Params) -> DataFrame:
     names = p.numeric(df)
-    if not names:
-        return df
-    return _with_stats(df, column_stats(df, ["moments"], names), names, ["mean"], lambda c, s: F.coalesce(
-        _present(df, c), s("mean")).cast(_fill_type(df.schema[c].dataType)))
+    return _impute(df, column_stats(df, ["moments"], names), "mean") if names else df
 
 
 def impute_median(df: DataFrame, p: Params) -> DataFrame:
     names = p.numeric(df)
-    if not names:
-        return df
-    medians = quantiles(df, names, {"median": 0.5}, approx=p.approx)
-    return _with_stats(df, medians, names, ["median"], lambda c, s: F.coalesce(
-        _present(df, c), s("median")).cast(_fill_type(df.schema[c].dataType)))
+    return _impute(df, quantiles(df, names, {"median": 0.5}, approx=p.approx), "median") if names else df
 
 
-def mode_of(df: DataFrame, column: str) -> DataFrame:
-    """One row (mode): the most frequent value, the smallest of several; NULL if none."""
+def _constant(text: str, data_type: T.DataType) -> Column:
+    """A collected value, back in the type of its column."""
+    return F.lit(text).cast(data_type)
+
+
+def mode_of(df: DataFrame, column: str) -> str | None:
+    """The most frequent value, the smallest of several, as text."""
     best = value_counts(df, column).orderBy(F.desc("n"), F.asc("value")).limit(1)
-    return best.agg(F.first("value").alias("mode"))
+    row = best.select(F.col("value").cast("string")).first()
+    return row[0] if row else None
 
 
 def impute_mode(df: DataFrame, p: Params) -> DataFrame:
-    out = df
-    for i, name in enumerate(p.existing(df)):
-        mode = mode_of(out, name).withColumnRenamed("mode", f"__mode_{i}")
-        out = _replace(with_row(out, mode), {name: F.coalesce(_present(out, name), F.col(f"__mode_{i}"))}
-                       ).drop(f"__mode_{i}")
-    return out
+    modes = {c: mode_of(df, c) for c in p.existing(df)}
+    return _replace(df, {
+        c: F.coalesce(_present(df, c), _constant(mode, df.schema[c].dataType))
+        for c, mode in modes.items() if mode is not None})
 
 
 def impute_constant(df: DataFrame, p: Params) -> DataFrame:
@@ -152,7 +146,8 @@ impute_backward_fill = _directional(True)
 
 def _z_bounds(df: DataFrame, name: str, p: Params) -> DataFrame:
     s = column_stats(df, ["moments"], [name])
-    reach = F.col("std") * p.threshold
+    # a constant has no outliers, whatever rounding does to its mean
+    reach = F.when(F.col("min") < F.col("max"), F.col("std") * p.threshold)
     return s.select("column_name", (F.col("mean") - reach).alias("low"), (F.col("mean") + reach).alias("high"))
 
 
@@ -162,66 +157,62 @@ def _iqr_bounds(df: DataFrame, name: str, p: Params) -> DataFrame:
     return q.select("column_name", (F.col("q25") - reach).alias("low"), (F.col("q75") + reach).alias("high"))
 
 
-def _z_beyond(x: Column, mean: Column, std: Column, threshold: float) -> Column:
-    return F.coalesce(F.try_divide(F.abs(x - mean), std) > threshold, F.lit(False))
+def _limits(df: DataFrame, name: str, p: Params, bounds_of) -> tuple[float, float] | None:
+    found = fitted(bounds_of(df, name, p), ["low", "high"]).get(name)
+    return None if not found or found["low"] is None else (found["low"], found["high"])
 
 
-def remove_outliers_zscore(df: DataFrame, p: Params) -> DataFrame:
-    out = df
-    for name in p.numeric(df):
-        stats = as_one_row(column_stats(out, ["moments"], [name]), [name], ["mean", "std"])
-        beyond = _z_beyond(present_double(name), cell("mean"), cell("std"), p.threshold)
-        out = with_row(out, stats).filter(~beyond).select(*[col(c) for c in df.columns])
-    return out
-
+def _remove(bounds_of) -> Callable[[DataFrame, Params], DataFrame]:
+    """Keep missing values and what lies inside; each column is fitted on the rows left."""
+    def run(df: DataFrame, p: Params) -> DataFrame:
+        for name in p.numeric(df):
+            limits = _limits(df, name, p, bounds_of)
+            if limits:
+                x = _present(df, name)
+                df = df.filter(x.isNull() | ((x >= limits[0]) & (x <= limits[1])))
+        return df
 
-def remove_outliers_iqr(df: DataFrame, p: Params) -> DataFrame:
-    out = df
-    for name in p.numeric(df):
-        bounds = as_one_row(_iqr_bounds(out, name, p), [name], ["low", "high"])
-        x = present_double(name)
-        inside = F.coalesce((x >= cell("low")) & (x <= cell("high")), F.lit(True))
-        out = with_row(out, bounds).filter(inside).select(*[col(c) for c in df.columns])
-    return out
+    return run
 
 
 def _cap(bounds_of) -> Callable[[DataFrame, Params], DataFrame]:
     def run(df: DataFrame, p: Params) -> DataFrame:
-        out = df
         for name in p.numeric(df):
-            def clip(c, s):
-                x = present_double(c)
-                return F.when(x < s("low"), s("low")).when(x > s("high"), s("high")).otherwise(x)
-
-            out = _with_stats(out, bounds_of(out, name, p), [name], ["low", "high"], clip)
-        return out
+            limits = _limits(df, name, p, bounds_of)
+            if limits:
+                x = present_double(name)
+                df = _replace(df, {name: F.when(x < limits[0], limits[0]).when(x > limits[1], limits[1])
+                                   .otherwise(x)})
+        return df
 
     return run
 
 
+remove_outliers_zscore = _remove(_z_bounds)
+remove_outliers_iqr = _remove(_iqr_bounds)
 cap_outliers_zscore = _cap(_z_bounds)
 cap_outliers_iqr = _cap(_iqr_bounds)
 
 
 # Encoding
 
-def categories(df: DataFrame, column: str) -> list:
-    """Sorted distinct values, collected because they become columns of the schema."""
-    values = [r[0] for r in value_counts(df, column).orderBy("value").limit(ONEHOT_LIMIT + 1)
-              .select("value").collect()]
+def categories(df: DataFrame, column: str) -> list[str]:
+    """Sorted distinct values as text, collected because they become columns."""
+    rows = value_counts(df, column).orderBy("value").limit(ONEHOT_LIMIT + 1)
+    values = [r[0] for r in rows.select(F.col("value").cast("string")).collect()]
     if len(values) > ONEHOT_LIMIT:
         raise ValueError(f"'{column}' has more than {ONEHOT_LIMIT} values: too many one-hot columns")
     return values
 
 
 def encode_onehot(df: DataFrame, p: Params) -> DataFrame:
-    out = df
     for name in p.existing(df):
+        data_type = df.schema[name].dataType
         flags = [
-            F.coalesce(col(name) == F.lit(v), F.lit(False)).alias(f"{name}_{v}")
-            for v in categories(out, name)[1:]]
-        out = out.select(*[col(c) for c in out.columns if c != name], *flags)
-    return out
+            F.coalesce(col(name) == _constant(v, data_type), F.lit(False)).alias(f"{name}_{v}")
+            for v in categories(df, name)[1:]]
+        df = df.select(*[col(c) for c in df.columns if c != name], *flags)
+    return df
 
 
 def encode_label(df: DataFrame, p: Params) -> DataFrame:
@@ -320,25 +311,24 @@ def rename_column(df: DataFrame, p: Params) -> DataFrame:
 
 # Scaling
 
-def _scaled(name: str, s, center: str, width: Column) -> Column:
-    x = present_double(name)
-    return F.when(width > 0, (x - s(center)) / F.when(width > 0, width)).otherwise(x)
-
-
-def scale_standard(df: DataFrame, p: Params) -> DataFrame:
+def _scale(df: DataFrame, p: Params, center: str, width) -> DataFrame:
     names = p.numeric(df)
     if not names:
         return df
-    return _with_stats(df, column_stats(df, ["moments"], names), names, ["mean", "std"],
-                       lambda c, s: _scaled(c, s, "mean", s("std")))
+    found = fitted(column_stats(df, ["moments"], names), ["mean", "std", "min", "max"])
+    new = {}
+    for name, v in found.items():
+        if v[center] is not None and (width(v) or 0) > 0:
+            new[name] = (present_double(name) - v[center]) / width(v)
+    return _replace(df, new)
+
+
+def scale_standard(df: DataFrame, p: Params) -> DataFrame:
+    return _scale(df, p, "mean", lambda v: v["std"])
 
 
 def scale_minmax(df: DataFrame, p: Params) -> DataFrame:
-    names = p.numeric(df)
-    if not names:
-        return df
-    return _with_stats(df, column_stats(df, ["moments"], names), names, ["min", "max"],
-                       lambda c, s: _scaled(c, s, "min", s("max") - s("min")))
+    return _scale(df, p, "min", lambda v: v["max"] - v["min"])
 
 
 @dataclass(frozen=True)
@@ -413,14 +403,13 @@ def affected_rows(df: DataFrame, after: DataFrame, kind: str, params: Params) ->
             (F.col("before") - F.col("after")).alias("affected"))
     if kind.startswith("cap_outliers_"):
         bounds_of = _z_bounds if kind.endswith("zscore") else _iqr_bounds
-        capped = []
+        beyond = F.lit(0).cast("bigint")
         for name in params.numeric(df):
-            row = as_one_row(bounds_of(df, name, params), [name], ["low", "high"])
-            x = present_double(name)
-            capped.append(with_row(df.select(x.alias("x")), row).agg(F.count_if(
-                (F.col("x") < cell("low")) | (F.col("x") > cell("high"))).alias("n")))
-        if capped:
-            return union_all(capped).agg(F.sum("n").alias("affected"))
+            limits = _limits(df, name, params, bounds_of)
+            if limits:
+                x = present_double(name)
+                beyond = beyond + F.count_if((x < limits[0]) | (x > limits[1]))
+        return df.agg(beyond.alias("affected"))
     touches = names and not (
         (kind == "rename_column" and (len(params.columns) != 1 or not params.new_name))
         or (kind == "convert_dtype" and not params.target_dtype)

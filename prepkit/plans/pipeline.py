@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, fields
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,41 +55,44 @@ def replay(
 
 @dataclass(frozen=True)
 class Dataset:
-    """A source table and the steps applied to it. Versions are the number of steps."""
+    """A source table, the steps applied to it, and the plan of every version.
+
+    A version is a plan, not a copy of the data, so keeping all of them costs nothing
+    and undo is going back to the one before.
+    """
 
     source: DataFrame
     steps: tuple[Step, ...] = ()
+    versions: tuple[DataFrame, ...] = ()
 
     @property
     def version(self) -> int:
         return len(self.steps)
 
-    def table(self, materialise_every: int | None = None) -> DataFrame:
-        df = self.source
-        for number, step in enumerate(self.steps, 1):
-            df = transform(df, step.kind, step.params)
-            if materialise_every and number % materialise_every == 0:
-                df = materialise(df)
-        return df
+    @property
+    def table(self) -> DataFrame:
+        return self.versions[-1] if self.versions else self.source
 
-    def apply(self, kind: str, params: Params) -> Dataset:
-        """A new version. A step that fails leaves none behind."""
-        transform(self.table(), kind, params)
-        return replace(self, steps=(*self.steps, Step(kind, params)))
+    def apply(self, kind: str, params: Params = Params(), materialised: bool = False) -> Dataset:
+        """A new version, by choice written to the shared folder. A step that fails
+        leaves none behind."""
+        after = transform(self.table, kind, params)
+        if materialised:
+            after = materialise(after)
+        return Dataset(self.source, (*self.steps, Step(kind, params)), (*self.versions, after))
 
     def undo(self) -> Dataset:
-        return replace(self, steps=self.steps[:-1])
+        return Dataset(self.source, self.steps[:-1], self.versions[:-1])
 
     def clear(self) -> Dataset:
-        return replace(self, steps=())
+        return Dataset(self.source)
 
     def history(self) -> DataFrame:
         """(sequence_order, transformation_type, columns, affected_rows, rows_after) per step."""
         if not self.steps:
             raise ValueError("no steps applied yet")
         lines, before = [], self.source
-        for number, step in enumerate(self.steps, 1):
-            after = transform(before, step.kind, step.params)
+        for number, (step, after) in enumerate(zip(self.steps, self.versions), 1):
             counted = after.agg(F.count(F.lit(1)).alias("rows_after"))
             affected = affected_rows(before, after, step.kind, step.params)
             lines.append(counted.crossJoin(F.broadcast(affected)).select(

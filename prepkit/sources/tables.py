@@ -11,9 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from prepkit.functions.columns import nan_to_null
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """A table with one kind of missing value. Column and row pruning reach the files."""
-    return nan_to_null(spark.read.parquet(path))
+def read_parquet(spark: SparkSession, path: str, may_hold_nan: bool = True) -> DataFrame:
+    """A table with one kind of missing value.
+
+    Columns and filters are pruned down to the files. Filters on fractional columns
+    get there only when the table is known to be free of NaN.
+    """
+    df = spark.read.parquet(path)
+    return nan_to_null(df) if may_hold_nan else df
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
