@@ -29,8 +29,6 @@ CHARTED_COLUMNS = 10
 CORRELATED_COLUMNS = 15
 MATRIX_ROWS = 100
 FENCE = 1.5
-#: Column pairs per aggregate, three aggregates each.
-PAIRS_PER_AGGREGATE = 40
 
 
 def _bin(value: Column, low: Column, high: Column, bins: int) -> Column:
@@ -64,7 +62,7 @@ def box_plot(df: DataFrame, columns: Sequence[str] | None = None, approx: bool =
     names = numeric_columns(df, columns)
     boxes = fitted(quantiles(df, names, approx=approx), list(QUARTILES))
     parts = []
-    for chunk in chunks(list(boxes.items())):
+    for chunk in chunks(list(boxes.items()), lambda _: 3):
         aggregates, rows = [], []
         for i, (name, box) in enumerate(chunk):
             x, reach = present_double(name), (box["q75"] - box["q25"]) * FENCE
@@ -91,25 +89,46 @@ def bar_chart(df: DataFrame, column: str, top_n: int = BAR_CATEGORIES) -> DataFr
         F.col("value").cast("string").alias("label"), "n")
 
 
-def _pearson(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(column_a, column_b, r) over rows where both have a value; NULL for a constant."""
-    x = df.select(*[present_double(c).alias(f"x_{i}") for i, c in enumerate(names)])
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+def _pearson(df: DataFrame, names: Sequence[str], of: dict[str, dict]) -> DataFrame:
+    """(column_a, column_b, r) over rows where both have a value; NULL for a constant.
+
+    ``of`` holds the mean of each column and whether it has gaps. Values are taken
+    relative to the mean, so that plain sums, the cheapest aggregate there is, keep
+    their precision. A pair without gaps needs three sums, one with gaps six.
+    """
+    centred = df.select(*[
+        (present_double(c) - F.lit(of[c]["mean"] or 0.0)).alias(f"c_{i}") for i, c in enumerate(names)])
+
+    def gaps(pair: tuple[str, str]) -> bool:
+        return any(of[c]["missing"] for c in pair)
+
+    at = {c: i for i, c in enumerate(names)}
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     parts = []
-    for chunk in chunks(pairs, PAIRS_PER_AGGREGATE):
-        aggregates, rows = [], []
-        for i, j in chunk:
-            a, b = F.col(f"x_{i}"), F.col(f"x_{j}")
-            aggregates += [
-                F.covar_pop(a, b).alias(f"ab_{i}_{j}"),
-                F.var_pop(F.when(b.isNotNull(), a)).alias(f"aa_{i}_{j}"),
-                F.var_pop(F.when(a.isNotNull(), b)).alias(f"bb_{i}_{j}")]
-            spread = F.sqrt(F.col(f"aa_{i}_{j}")) * F.sqrt(F.col(f"bb_{i}_{j}"))
-            for one, other in ((i, j), (j, i))[: 1 if i == j else 2]:
-                rows.append(F.struct(
-                    F.lit(names[one]).alias("column_a"), F.lit(names[other]).alias("column_b"),
-                    F.try_divide(F.col(f"ab_{i}_{j}"), spread).alias("r")))
-        parts.append(x.agg(*aggregates).select(F.inline(F.array(*rows))))
+    for chunk in chunks(pairs, lambda pair: 6 if gaps(pair) else 2):
+        sums: dict[str, Column] = {}
+        rows = []
+        for k, (a, b) in enumerate(chunk):
+            x, y = F.col(f"c_{at[a]}"), F.col(f"c_{at[b]}")
+            sums[f"xy_{k}"] = F.sum(x * y)
+            if gaps((a, b)):
+                both = x.isNotNull() & y.isNotNull()
+                sums[f"n_{k}"] = F.count_if(both)
+                sums[f"x_{k}"], sums[f"y_{k}"] = F.sum(F.when(both, x)), F.sum(F.when(both, y))
+                sums[f"xx_{k}"], sums[f"yy_{k}"] = F.sum(F.when(both, x * x)), F.sum(F.when(both, y * y))
+                n, sx, sy = F.col(f"n_{k}"), F.col(f"x_{k}"), F.col(f"y_{k}")
+                cross = F.col(f"xy_{k}") - F.try_divide(sx * sy, n)
+                wide = F.col(f"xx_{k}") - F.try_divide(sx * sx, n)
+                tall = F.col(f"yy_{k}") - F.try_divide(sy * sy, n)
+            else:
+                sums[f"own_{at[a]}"], sums[f"own_{at[b]}"] = F.sum(x * x), F.sum(y * y)
+                cross, wide, tall = F.col(f"xy_{k}"), F.col(f"own_{at[a]}"), F.col(f"own_{at[b]}")
+            varies = (wide > 0) & (tall > 0) & F.lit(not any(of[c]["constant"] for c in (a, b)))
+            r = F.when(varies, cross / F.when(varies, F.sqrt(wide) * F.sqrt(tall)))
+            rows += [F.struct(F.lit(one).alias("column_a"), F.lit(other).alias("column_b"), r.alias("r"))
+                     for one, other in dict.fromkeys([(a, b), (b, a)])]
+        wide_row = centred.agg(*[made.alias(label) for label, made in sums.items()])
+        parts.append(wide_row.select(F.inline(F.array(*rows))))
     return union_all(parts)
 
 
@@ -120,7 +139,10 @@ def correlation(
     names = numeric_columns(df, columns)[:limit]
     if len(names) < 2:
         raise ValueError("a correlation needs two numeric columns")
-    return _pearson(df, names)
+    of = fitted(column_stats(df, ["moments"], names), ["mean", "min", "max", "missing"])
+    for found in of.values():
+        found["constant"] = found["min"] == found["max"]
+    return _pearson(df, names, of)
 
 
 def rank_correlation(
@@ -131,13 +153,16 @@ def rank_correlation(
     names = numeric_columns(df, columns)[:limit]
     if len(names) < 2:
         raise ValueError("a correlation needs two numeric columns")
-    ranked = df.select(*[present_double(c).alias(f"x_{i}") for i, c in enumerate(names)]).dropna()
+    complete = df.select(*[present_double(c).alias(f"x_{i}") for i, c in enumerate(names)]).dropna()
+    rows = complete.count()
+    ranked = complete
     for i in range(len(names)):
-        values = ranked.groupBy(F.col(f"x_{i}").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        values = complete.groupBy(F.col(f"x_{i}").alias("value")).agg(F.count(F.lit(1)).alias("n"))
         ranks = average_ranks(values, rows_per_bucket).select(
-            F.col("value").alias(f"x_{i}"), F.col("rank").alias(f"rank_{i}"))
-        ranked = ranked.join(ranks, f"x_{i}").drop(f"x_{i}").withColumnRenamed(f"rank_{i}", f"r_{i}")
-    return _pearson(ranked.select(*[F.col(f"r_{i}").alias(c) for i, c in enumerate(names)]), names)
+            F.col("value").alias(f"x_{i}"), F.col("rank").alias(f"r_{i}"))
+        ranked = ranked.join(ranks, f"x_{i}")
+    of = {c: {"mean": (rows + 1) / 2, "missing": 0, "constant": False} for c in names}
+    return _pearson(ranked.select(*[F.col(f"r_{i}").alias(c) for i, c in enumerate(names)]), names, of)
 
 
 def _gap(df: DataFrame, name: str) -> Column:

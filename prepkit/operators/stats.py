@@ -11,26 +11,20 @@ from pyspark.sql import types as T
 from prepkit.functions import parsing
 from prepkit.functions.columns import (
     FIXED_WIDTHS,
-    FRACTIONAL_TYPES,
     chunks,
     col,
     is_numeric,
     is_temporal,
     is_text,
-    present_double,
+    nan_to_null,
     union_all,
 )
 
 Builder = Callable[[str, T.DataType], "Column | None"]
 
 
-def _is_present(name: str, data_type: T.DataType) -> Column:
-    c = col(name)
-    return c.isNotNull() & ~F.isnan(c) if isinstance(data_type, FRACTIONAL_TYPES) else c.isNotNull()
-
-
 def _numeric(make: Callable[[Column], Column]) -> Builder:
-    return lambda name, t: make(present_double(name)) if is_numeric(t) else None
+    return lambda name, t: make(col(name).cast("double")) if is_numeric(t) else None
 
 
 def _text(make: Callable[[Column], Column]) -> Builder:
@@ -75,7 +69,7 @@ def _bytes(name: str, t: T.DataType) -> Column:
 MEASURES: dict[str, list[tuple[str, str, Builder]]] = {
     "presence": [
         ("row_count", "bigint", lambda name, t: F.count(F.lit(1))),
-        ("non_null", "bigint", lambda name, t: F.count_if(_is_present(name, t))),
+        ("non_null", "bigint", lambda name, t: F.count(col(name))),
     ],
     "moments": [
         ("mean", "double", _numeric(F.avg)),
@@ -120,10 +114,14 @@ MEASURES: dict[str, list[tuple[str, str, Builder]]] = {
 }
 
 
+#: Buffer fields of the aggregates that need more than one.
+_BUFFERS = {"mean": 2, "std": 3, "skewness": 7, "kurtosis": 5, "mean_length": 2}
+
+
 def _least(name: str, t: T.DataType) -> Column:
     if isinstance(t, T.MapType):
         return F.lit(None).cast("string")
-    value = F.min(present_double(name)) if isinstance(t, FRACTIONAL_TYPES) else F.min(col(name))
+    value = F.min(col(name))
     if isinstance(t, (T.ArrayType, T.StructType)):
         return F.to_json(F.struct(value))
     return value.cast("string")
@@ -146,12 +144,16 @@ def column_stats(
     wanted = df.columns if columns is None else list(columns)
     if not wanted:
         raise ValueError("no columns to profile")
+    def buffers(name: str) -> int:
+        data_type = df.schema[name].dataType
+        return sum(_BUFFERS.get(f, 1) for f, _, build in fields if build(name, data_type) is not None)
+
     parts = []
-    for chunk in chunks(wanted):
+    for chunk in chunks(wanted, buffers):
         aggregates, rows = [], []
         for i, name in enumerate(chunk):
             data_type = df.schema[name].dataType
-            cells = [
+            fixed = [
                 F.lit(name).alias("column_name"),
                 F.lit(positions[name]).alias("position"),
                 F.lit(dtype_name(data_type)).alias("dtype"),
@@ -159,13 +161,14 @@ def column_stats(
             for field, sql_type, build in fields:
                 measure = build(name, data_type)
                 if measure is None:
-                    cells.append(F.lit(None).cast(sql_type).alias(field))
+                    fixed.append(F.lit(None).cast(sql_type).alias(field))
                 else:
                     label = f"{field}_{i}"
                     aggregates.append(measure.cast(sql_type).alias(label))
-                    cells.append(F.col(label).alias(field))
-            rows.append(F.struct(*cells))
-        parts.append(df.agg(*aggregates).select(F.inline(F.array(*rows))))
+                    fixed.append(F.col(label).alias(field))
+            rows.append(F.struct(*fixed))
+        cells = nan_to_null(df.select(*[col(c) for c in chunk]))  # once per cell, not per aggregate
+        parts.append(cells.agg(*aggregates).select(F.inline(F.array(*rows))))
     return union_all(parts).withColumn("missing", F.col("row_count") - F.col("non_null"))
 
 

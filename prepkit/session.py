@@ -16,6 +16,8 @@ def local_session(cpus: str | int = "*", name: str = "prepkit", memory: str | No
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # call-site capture costs more than planning when expressions are built by rule
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

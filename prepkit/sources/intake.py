@@ -20,7 +20,8 @@ BYTE_ORDER_MARKS = [
 
 
 def list_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """(path, length): the listing only, no content is read."""
+    """(path, length): the listing only, no content is read. Spark leaves out files of
+    zero bytes, which have nothing to take in."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
     return files.select("path", "length")
 
