@@ -8,6 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: A dictionary up to this many bytes of text is copied to every executor.
+SMALL_BYTES = 32 * 1024 * 1024
+
+
+def broadcast_if_small(frame: DataFrame, most: int | None = None) -> DataFrame:
+    """Broadcast a lookup table after measuring it; a larger one is left to a shuffle
+    join, whose hot keys adaptive execution splits. The measuring pass is cheap beside
+    shuffling the table that looks things up."""
+    size = sum((F.octet_length(F.col(c).cast("string")) + 8 for c in frame.columns), F.lit(0))
+    held = frame.agg(F.coalesce(F.sum(F.coalesce(size, F.lit(8))), F.lit(0))).first()[0]
+    return F.broadcast(frame) if held <= (SMALL_BYTES if most is None else most) else frame
+
+
 def with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Put the cells of a single-row frame beside every row; one row always fits."""
     return df.crossJoin(F.broadcast(one_row))

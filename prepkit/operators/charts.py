@@ -17,7 +17,7 @@ from prepkit.functions.columns import (
     text_columns,
     union_all,
 )
-from prepkit.operators.broadcasts import fitted, with_row
+from prepkit.operators.broadcasts import broadcast_if_small, fitted, with_row
 from prepkit.operators.frequency import value_counts, with_distinct
 from prepkit.operators.ordered import ROWS_PER_BUCKET, average_ranks
 from prepkit.operators.quantiles import QUARTILES, quantiles
@@ -160,7 +160,7 @@ def rank_correlation(
         values = complete.groupBy(F.col(f"x_{i}").alias("value")).agg(F.count(F.lit(1)).alias("n"))
         ranks = average_ranks(values, rows_per_bucket).select(
             F.col("value").alias(f"x_{i}"), F.col("rank").alias(f"r_{i}"))
-        ranked = ranked.join(ranks, f"x_{i}")
+        ranked = ranked.join(broadcast_if_small(ranks), f"x_{i}")
     of = {c: {"mean": (rows + 1) / 2, "missing": 0, "constant": False} for c in names}
     return _pearson(ranked.select(*[F.col(f"r_{i}").alias(c) for i, c in enumerate(names)]), names, of)
 

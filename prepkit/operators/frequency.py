@@ -20,6 +20,11 @@ from prepkit.functions.columns import (
 )
 from prepkit.functions.keys import _printable, row_key, text_key
 
+#: Characters of a text that are kept in its grouping key.
+HEAD_LENGTH = 48
+#: Up to this many candidates for the most frequent texts are broadcast.
+MOST_CANDIDATES = 10_000
+
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """(value, n) of one column in its own type, without missing values."""
@@ -32,25 +37,54 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def text_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column_name, value, n) over text columns, without missing values."""
+def _text_cells(df: DataFrame, columns: Sequence[str] | None) -> DataFrame:
+    """(column_name, head, tail, value) of the filled text cells. A text is told apart
+    by its first characters and, when it is longer, by its SHA-256."""
     names = text_columns(df, columns)
     long = df.select(*[col(c) for c in names]).unpivot(
         [], [col(c) for c in names], "column_name", "value"
-    )
-    return (
-        long.filter(F.col("value").isNotNull())
-        .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    )
+    ).filter(F.col("value").isNotNull())
+    is_long = F.length("value") > HEAD_LENGTH
+    return long.select(
+        "column_name", F.substring("value", 1, HEAD_LENGTH).alias("head"),
+        F.when(is_long, F.sha2("value", 256)).alias("tail"), "value")
+
+
+def text_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(column_name, head, tail, n) over text columns, without missing values.
+
+    Heads and digests are shuffled, not whole texts.
+    """
+    return _text_cells(df, columns).groupBy("column_name", "head", "tail").agg(
+        F.count(F.lit(1)).alias("n"))
 
 
-def top_values(counts: DataFrame, k: int) -> DataFrame:
-    """The k most frequent values per column, ties by value; adds ``rank``.
+def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 5) -> DataFrame:
+    """(column_name, rank, value, n): the k most frequent texts per column, ties by value.
 
-    Every task keeps only its own k best rows per column before the shuffle.
+    Every task keeps only its own best rows per column before the shuffle. Texts sort
+    by their heads first, so ranking by head leaves all that can be among the best;
+    only for those is the whole text looked up.
     """
-    best = Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc("value"))
-    return counts.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    by_head = Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc("head"))
+    best = text_counts(df, columns).withColumn("place", F.rank().over(by_head)).filter(
+        F.col("place") <= k).drop("place")
+    found = best.limit(MOST_CANDIDATES + 1).collect()
+    if len(found) <= MOST_CANDIDATES:
+        best = F.broadcast(df.sparkSession.createDataFrame(found, best.schema))
+    whole = best.filter(F.col("tail").isNotNull())
+    if len(found) > MOST_CANDIDATES or any(r["tail"] is not None for r in found):
+        # the digest stands for one text, so any of its rows will do
+        texts = _text_cells(df, columns).filter(F.col("tail").isNotNull()).join(
+            whole, ["column_name", "tail"], "left_semi"
+        ).groupBy("column_name", "tail").agg(F.min("value").alias("value"))
+        best = best.join(texts, ["column_name", "tail"], "left").withColumn(
+            "value", F.coalesce("value", "head"))
+    else:
+        best = best.withColumn("value", F.col("head"))
+    by_value = Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc("value"))
+    return best.withColumn("rank", F.row_number().over(by_value)).filter(F.col("rank") <= k).select(
+        "column_name", "rank", "value", "n")
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -20,7 +20,6 @@ from prepkit.functions.columns import (
 from prepkit.operators.frequency import (
     distinct_counts,
     row_counts,
-    text_counts,
     top_values,
 )
 from prepkit.operators.quantiles import quantiles
@@ -132,7 +131,7 @@ def text_stats(df: DataFrame) -> DataFrame:
     if not texts:
         raise ValueError("no text columns")
     stats = column_stats(df, ["length"], texts).filter(F.col("non_null") > 0)
-    mode = top_values(text_counts(df), 1).select(
+    mode = top_values(df, k=1).select(
         "column_name", F.col("value").alias("most_frequent"), F.col("n").alias("frequency"))
     return _of_type(stats.join(one_row_per_column(mode), "column_name"), df, ["text", "categorical"]).select(
         "column_name", F.col("non_null").alias("count"), "most_frequent", "frequency",

@@ -87,7 +87,7 @@ def categorical_insights(df: DataFrame) -> DataFrame:
     counts = text_counts(df)
     totals = one_row_per_column(counts.groupBy("column_name").agg(
         F.count(F.lit(1)).alias("cardinality"), F.sum("n").alias("held")))
-    return top_values(counts, 1).join(totals, "column_name").select(
+    return top_values(df, k=1).join(totals, "column_name").select(
         "column_name", F.col("value").alias("most_frequent_value"),
         F.col("n").alias("most_frequent_count"), "cardinality",
         F.round(percent(F.col("n"), F.col("held")), 2).alias("mode_frequency"),
@@ -125,7 +125,7 @@ def string_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     distinct = one_row_per_column(
         counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count")))
     mode = one_row_per_column(
-        top_values(counts, 1).select("column_name", F.col("value").alias("mode")))
+        top_values(df, names, 1).select("column_name", F.col("value").alias("mode")))
     return (
         column_stats(df, ["length"], names)
         .join(distinct, "column_name", "left")
@@ -142,7 +142,7 @@ def string_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 
 def top_text_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 5) -> DataFrame:
     """(column_name, rank, value, n): the k most frequent values of each text column."""
-    return top_values(text_counts(df, columns), k).select("column_name", "rank", "value", "n")
+    return top_values(df, columns, k)
 
 
 def top_values_map(df: DataFrame, columns: Sequence[str] | None = None, k: int = 5) -> DataFrame:

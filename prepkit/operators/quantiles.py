@@ -22,12 +22,16 @@ from pyspark.sql import functions as F
 
 from prepkit.functions.columns import chunks, col, long_doubles, present_double, union_all
 
-#: Relative rank error of the sketch is at most 1 / ACCURACY.
-ACCURACY = 10_000
+#: Relative rank error of the sketch is at most 1 / ACCURACY. Every task sends one
+#: sketch per column to the task that merges them, so it is kept small, some ten
+#: kilobytes; the cells below make up for the wider bracket.
+ACCURACY = 1_000
 #: The bracket reaches this many rank errors to either side of the wanted rank.
 MARGIN = 4
 #: Cells a bracket is cut into.
-CELLS = 256
+CELLS = 4_096
+#: Columns whose sketches are merged by the same task.
+SKETCHES_PER_AGGREGATE = 4
 
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 
@@ -93,9 +97,9 @@ def _group_sketches(values: DataFrame, keys: list[str], shares: list[float]) ->
 
 
 def _column_sketches(df: DataFrame, columns: Sequence[str], shares: list[float]) -> DataFrame:
-    """One aggregate over the wide table: no row is multiplied by the column count."""
+    """Aggregates over the wide table: no row is multiplied by the column count."""
     parts = []
-    for chunk in chunks(list(columns)):
+    for chunk in chunks(list(columns), lambda _: 1, SKETCHES_PER_AGGREGATE):
         wide = df.agg(*[
             F.percentile_approx(present_double(c), _probes(shares), ACCURACY).alias(f"probe_{i}")
             for i, c in enumerate(chunk)

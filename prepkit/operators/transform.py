@@ -28,7 +28,7 @@ from prepkit.functions.columns import (
     present_double,
     union_all,
 )
-from prepkit.operators.broadcasts import fitted, with_row
+from prepkit.operators.broadcasts import broadcast_if_small, fitted, with_row
 from prepkit.operators.frequency import value_counts, with_distinct
 from prepkit.operators.ordered import ROWS_PER_BUCKET, dense_codes, fill
 from prepkit.operators.quantiles import quantiles
@@ -220,7 +220,7 @@ def encode_label(df: DataFrame, p: Params) -> DataFrame:
     for name in p.existing(df):
         codes = dense_codes(value_counts(out, name), "value", p.rows_per_bucket).select(
             F.col("value").alias("__value"), F.col("code").alias("__code"))
-        coded = out.join(codes, _present(out, name) == F.col("__value"), "left")
+        coded = out.join(broadcast_if_small(codes), _present(out, name) == F.col("__value"), "left")
         out = coded.select(*[
             F.coalesce("__code", F.lit(-1).cast("bigint")).alias(c) if c == name else col(c)
             for c in df.columns])
@@ -233,7 +233,7 @@ def frequency_encode(df: DataFrame, column: str) -> DataFrame:
     total = counts.agg(F.sum("n").alias("total"))
     shares = with_row(counts, total).select(
         F.col("value").alias("__value"), F.try_divide(F.col("n").cast("double"), F.col("total")).alias(f"{column}_encoded"))
-    return df.join(shares, _present(df, column) == F.col("__value"), "left").drop("__value")
+    return df.join(broadcast_if_small(shares), _present(df, column) == F.col("__value"), "left").drop("__value")
 
 
 # Types and structure

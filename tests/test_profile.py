@@ -143,3 +143,23 @@ def test_profile_properties(spark, rows):
     assert 0 <= profile.quality_score(df).first()["score"] <= 100
     assert all(0 <= r["uniqueness_ratio"] <= 1 for r in profile.uniqueness(df).collect())
     assert row_counts(df).first()["duplicate_rows"] == pdf.duplicated().sum()
+
+
+@pytest.mark.parametrize("most", [10_000, 0])
+def test_top_texts_with_equal_heads(texts, monkeypatch, most):
+    from prepkit.operators import frequency
+    monkeypatch.setattr(frequency, "MOST_CANDIDATES", most)
+    head = "h" * 60
+    values = [head + c for c in "dcba"] * 2 + ["z"] * 3 + [head + "e"]
+    rows = frequency.top_values(texts(values), k=3).orderBy("rank").collect()
+    assert [(r["value"], r["n"]) for r in rows] == [("z", 3), (head + "a", 2), (head + "b", 2)]
+
+
+def test_top_texts_are_those_of_pandas(texts):
+    import random
+    random.seed(2)
+    values = [random.choice("xyz") * random.choice([1, 47, 48, 49, 200]) for _ in range(300)]
+    counts = pd.Series(values).value_counts()
+    want = sorted(((-n, v) for v, n in counts.items()))[:5]
+    rows = profile.top_text_values(texts(values)).orderBy("rank").collect()
+    assert [(-r["n"], r["value"]) for r in rows] == want

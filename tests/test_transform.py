@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from prepkit.operators import broadcasts
 from prepkit.operators import transform as tr
 from prepkit.operators.transform import Params
 from prepkit.plans import pipeline
@@ -33,7 +34,9 @@ def test_onehot_of_too_many_values_is_refused(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("rows_per_bucket", [1_000_000, 2])
-def test_label_with_null(spark, rows_per_bucket):
+@pytest.mark.parametrize("small", [1 << 25, 0])
+def test_label_with_null(spark, rows_per_bucket, small, monkeypatch):
+    monkeypatch.setattr(broadcasts, "SMALL_BYTES", small)
     df = spark.createDataFrame(list(enumerate(["b", "a", None, "c"])), "i int, k string")
     out = tr.transform(df, "encode_label", Params(columns=["k"], rows_per_bucket=rows_per_bucket))
     assert column(out, "k", "i") == [1, 0, -1, 2]
