@@ -216,6 +216,8 @@ def queries() -> dict[str, Query]:
             quality.table_issues(d).filter("detector = 3"), duplicate_count="bigint", unique_rows="bigint")),
         "q_duplicate_samples": on(ed, lambda d: quality.duplicate_samples(d, ["event_id"])),
         "q_id_duplicates": on("lineitem", lambda d: detailed(quality.issues_of(d, "duplicates"))),
+        "q_id_duplicate_samples": on("orders", lambda d: quality.id_duplicate_samples(
+            d, "o_custkey", ["o_orderkey"])),
         "q_outliers": outlier_issues,
         "q_outlier_samples": on("events", lambda d: quality.outlier_samples(d, ["event_id"])),
         "q_type_issues": on(ed, lambda d: detailed(

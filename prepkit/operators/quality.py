@@ -409,6 +409,27 @@ def duplicate_samples(df: DataFrame, order_by: Sequence[str], k: int = 10) -> Da
         *[F.col(n).alias(c) for n, c in zip(names, order_by)])
 
 
+def id_duplicate_samples(
+    df: DataFrame, column: str, order_by: Sequence[str], k: int = 10
+) -> DataFrame:
+    """(order keys..., column) of the first k rows whose value an earlier row has."""
+    require_columns(df, [column, *order_by])
+    names = [f"__o{i}" for i in range(len(order_by))]
+    point = F.struct(*[F.col(n) for n in names])
+    tallied = df.select(
+        col(column).alias("__value"), *[col(c).alias(n) for c, n in zip(order_by, names)]
+    ).groupBy("__value", *names).agg(F.count(F.lit(1)).alias("copies"))
+    firsts = tallied.groupBy("__value").agg(
+        F.min(point).alias("first"), F.sum("copies").alias("held")).filter(F.col("held") > 1)
+    surplus = F.col("copies") - F.when(point == F.col("first"), 1).otherwise(0)
+    later = tallied.withColumnRenamed("__value", "__of").join(
+        firsts, F.col("__of").eqNullSafe(F.col("__value"))).withColumn("surplus", surplus)
+    return later.filter(F.col("surplus") > 0).select(
+        *names, "__value", F.explode(F.sequence(F.lit(1), F.least(F.col("surplus"), F.lit(k)))).alias("copy")
+    ).orderBy(*names, "__value", "copy").limit(k).select(
+        *[F.col(n).alias(c) for n, c in zip(names, order_by)], F.col("__value").alias(column))
+
+
 def outlier_samples(df: DataFrame, order_by: Sequence[str], k: int = 10) -> DataFrame:
     """(column_name, rank, value): the first k z-score outliers of each numeric column."""
     names = numeric_columns(df)

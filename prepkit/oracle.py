@@ -396,6 +396,8 @@ SELECT n AS row_count, 6 AS column_count, round(bytes / 1048576.0, 2) AS megabyt
     q["q_duplicate_samples"] = dirty + f"""SELECT event_id FROM (SELECT event_id, row_number() OVER (
  PARTITION BY {", ".join(EVENTS_DIRTY)} ORDER BY event_id) AS copy FROM {ed}) WHERE copy > 1 ORDER BY event_id, copy LIMIT 10"""
     q["q_id_duplicates"] = _with(*_issues(LINEITEM, "lineitem")) + f" SELECT {plain} FROM issues WHERE issue_type = 'duplicates'"
+    q["q_id_duplicate_samples"] = """SELECT o_orderkey, o_custkey FROM (SELECT o_orderkey, o_custkey, row_number() OVER (
+ PARTITION BY o_custkey ORDER BY o_orderkey) AS copy FROM orders) WHERE copy > 1 ORDER BY o_orderkey LIMIT 10"""
     q["q_outliers"] = "\nUNION ALL ".join([
         _outlier_issues("events", EVENTS, "events"),
         _outlier_issues("documents", {"n_chars": "bigint"}, "documents"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prepkit.functions import parsing
-from prepkit.functions.columns import chunks, col
+from prepkit.functions.columns import col
 
 # Cell texts that mean a missing value.
 NULL_TOKENS = [
@@ -53,10 +53,6 @@ def read_text_cells(
     return null_tokens_to_null(cells)
 
 
-def surplus_rows(cells: DataFrame) -> int:
-    return cells.filter(col(SURPLUS).isNotNull()).count()
-
-
 _PARSERS: list[tuple[str, object]] = [
     ("bigint", parsing.to_integer),
     ("double", parsing.to_number),
@@ -64,21 +60,25 @@ _PARSERS: list[tuple[str, object]] = [
 ]
 
 
-def column_types(cells: DataFrame) -> dict[str, str]:
-    """Narrowest type that takes every filled cell, found in one scan."""
-    found: dict[str, str] = {}
-    for chunk in chunks([c for c in cells.columns if c != SURPLUS]):
-        counts = cells.agg(*[
+def inspect(cells: DataFrame) -> tuple[dict[str, str], int]:
+    """Narrowest type that takes every filled cell of each column, and the number of
+    rows with surplus fields. One scan: a CSV file is parsed whole for any column."""
+    names = [c for c in cells.columns if c != SURPLUS]
+    counts = cells.agg(
+        F.count(col(SURPLUS)).alias("surplus"),
+        *[
             F.struct(
                 F.count(col(c)).alias("filled"),
                 *[F.count(parse(col(c))).alias(t) for t, parse in _PARSERS],
-            ).alias(str(i)) for i, c in enumerate(chunk)
-        ]).first()
-        for i, name in enumerate(chunk):
-            n = counts[i]
-            fits = [t for t, _ in _PARSERS if n["filled"] > 0 and n[t] == n["filled"]]
-            found[name] = fits[0] if fits else "string"
-    return found
+            ).alias(str(i)) for i, c in enumerate(names)
+        ],
+    ).first()
+    found: dict[str, str] = {}
+    for i, name in enumerate(names):
+        n = counts[str(i)]
+        fits = [t for t, _ in _PARSERS if n["filled"] > 0 and n[t] == n["filled"]]
+        found[name] = fits[0] if fits else "string"
+    return found, counts["surplus"]
 
 
 def typed(cells: DataFrame, types: dict[str, str]) -> DataFrame:
@@ -95,13 +95,15 @@ def read_csv(
     spark: SparkSession, path: str | Sequence[str], encoding: str = "UTF-8", multi_line: bool = False,
     types: dict[str, str] | None = None, on_surplus: str = "error", separator: str = ",",
 ) -> DataFrame:
-    """A typed table. Without ``types`` one scan finds them and checks the shape too."""
+    """A typed table. Without ``types``, or when surplus fields are an error, one scan
+    looks at the whole data first."""
     cells = read_text_cells(spark, path, encoding, multi_line, separator)
-    if on_surplus == "error":
-        bad = surplus_rows(cells)
-        if bad:
+    if types is None or on_surplus == "error":
+        found, bad = inspect(cells)
+        if bad and on_surplus == "error":
             raise CsvError(f"{bad} rows have more fields than the header")
-    return typed(cells, types if types is not None else column_types(cells))
+        types = found if types is None else types
+    return typed(cells, types)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -49,6 +49,12 @@ def test_duplicates_of_an_identifier(spark):
     assert (row["column_name"], row["affected_rows"]) == ("user_id", 2)
 
 
+def test_first_repeated_values(spark):
+    rows = [(1, "a"), (2, None), (3, "a"), (4, "b"), (5, None), (5, None), (6, "a"), (7, "c")]
+    found = quality.id_duplicate_samples(spark.createDataFrame(rows, "k int, code string"), "code", ["k"], 3)
+    assert [tuple(r) for r in found.collect()] == [(3, "a"), (5, None), (5, None)]
+
+
 def test_first_outliers_in_order(spark):
     rows = [(i, 0.0 if i % 2 else 1.0) for i in range(500)] + [(1000 + i, 1e6 + i) for i in range(4)]
     found = quality.outlier_samples(spark.createDataFrame(rows, "k long, v double"), ["k"], 3)
