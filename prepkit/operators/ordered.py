@@ -122,9 +122,11 @@ def fill(
         latest(F.col(s), F.when(F.col(s).isNotNull(), point)).alias(s) for s in slots
     ])
     carried = F.broadcast(_carried(ends, slots, backward))  # one row per bucket
+    # every bucket has a carried row; a left join keeps the filter an inner join would add
+    # out of one of the two uses of ``keyed``, so that its shuffle is done once
     lookup = (
         keyed.select(BUCKET, *names, *[F.last(F.col(s), True).over(running).alias(s) for s in slots])
-        .join(carried.select(BUCKET, *[F.col(s).alias(f"{s}_carried") for s in slots]), BUCKET)
+        .join(carried.select(BUCKET, *[F.col(s).alias(f"{s}_carried") for s in slots]), BUCKET, "left")
         .select(*names, *[F.coalesce(s, f"{s}_carried").alias(s) for s in slots])
     )
 
@@ -156,7 +158,7 @@ def dense_codes(
     within = Window.partitionBy(BUCKET).orderBy(col(column))
     return (
         bucketed.withColumn("__place", F.row_number().over(within) - 1)
-        .join(F.broadcast(offsets), BUCKET)
+        .join(F.broadcast(offsets), BUCKET, "left")
         .select(col(column), (F.col("offset") + F.col("__place")).cast("bigint").alias("code"))
     )
 
@@ -174,7 +176,7 @@ def average_ranks(
     within = Window.partitionBy(BUCKET).orderBy("value")
     return (
         bucketed.withColumn("__upto", F.sum("n").over(within))
-        .join(F.broadcast(offsets), BUCKET)
+        .join(F.broadcast(offsets), BUCKET, "left")
         .select(
             "value",
             (F.col("offset") + F.col("__upto") - F.col("n") + (F.col("n") + 1) / 2.0).alias("rank"),

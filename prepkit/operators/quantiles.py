@@ -167,16 +167,18 @@ def _tallies(values: DataFrame, brackets: DataFrame, keys: list[str], slots: int
         F.sum("n").alias("n"),
         F.min("least").alias("least"),
         F.max("most").alias("most"),
-    ).select(
-        *[col(k) for k in keys], "slot", "n",
-        F.when(F.col("side") < 0, F.col("most")).otherwise(F.col("least")).alias("value"),
-        _cell().alias("cell"),
-    )
+    ).withColumn(
+        "value", F.when(F.col("side") < 0, F.col("most")).otherwise(F.col("least"))
+    ).select(*[col(k) for k in keys], "slot", "n", "value", _cell().alias("cell"))
 
 
 def _cell() -> Column:
-    """Position of an inside value among CELLS equal cuts of its bracket."""
-    lo, hi, v = F.col("lo"), F.col("hi"), F.col("least")
+    """Position of an inside value among CELLS equal cuts of its bracket.
+
+    It is taken from the same value that is sorted later, so that the plan that adds up
+    cells and the plan that sorts one of them need the same shuffle, which is done once.
+    """
+    lo, hi, v = F.col("lo"), F.col("hi"), F.col("value")
     width = hi - lo
     cut = F.floor(F.try_divide(v - lo, width) * CELLS)
     bounded = (width > 0) & (width < float("inf"))
