@@ -24,6 +24,13 @@ from prepkit.sources import delimited  # noqa: E402
 from prepkit.sources.tables import read_parquet, scratch_path  # noqa: E402
 from prepkit.oracle import DIRTY_EVENTS, SPARSE_CUSTOMERS, oracle_queries  # noqa: E402
 
+try:
+    from prepkit.llm import queries as llm
+except ImportError as error:
+    if error.name not in ("prepkit.llm", "prepkit.llm.queries", "prepkit", "corpus_pipeline"):
+        raise
+    llm = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -175,6 +182,11 @@ def as_catalog(parts: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    """All queries: the inventory's, and those of the corpus operators if they are here."""
+    return core_queries() | (llm.queries() if llm else {})
+
+
+def core_queries() -> dict[str, Query]:
     """One entry per operator of the inventory."""
     ed = "events_dirty"
     return {
@@ -335,7 +347,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL that gives the same rows on the same tables."""
-    return oracle_queries()
+    return oracle_queries() | (llm.oracle_sql() if llm else {})
 
 
 def entry(spark: SparkSession) -> DataFrame:
