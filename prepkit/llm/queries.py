@@ -71,8 +71,8 @@ s AS (
     THEN [array_to_string(words[i:i + 3], ' ') FOR i IN range(1, len(words) - 2)]
     WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-both AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
-links AS (SELECT x, y FROM both JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y
   WHERE 100 * c >= 85 * (p.n + q.n - c)),
 reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, y FROM reach JOIN links ON x = r)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
