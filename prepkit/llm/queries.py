@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+from prepkit.llm import language_model, quality, rules
+from prepkit.llm.curriculum import planned
+from prepkit.llm.decontamination import leaks
 from prepkit.llm.jaccard import jaccard_components
+from prepkit.llm.licences import KNOWN, SPELLINGS, licences
+from prepkit.llm.lines import kept_lines
 from prepkit.llm.repeats import remove_repeats
 from prepkit.llm.sharding import shuffled_shards
 
@@ -18,6 +24,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(of: int) -> Column:
+    """The documents' fold: CRC-32 of the id as text, modulo ``of``."""
+    return F.crc32(F.col("doc_id").cast("string")) % of
+
+
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences(table(spark, sf_dir, "documents"))
+    return found.withColumn("noted", F.array_join("noted", "|"))
+
+
+def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planned(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", "copies", "positions")
+
+
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept_lines(table(spark, sf_dir, "documents"))
+
+
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fitted(docs.where(remainder(3) != 1), table(spark, sf_dir, "labels"))
+    return quality.scored(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = language_model.scored(table(spark, sf_dir, "documents"), remainder(10) != 0)
+    return scores.withColumn("held_out", F.coalesce(remainder(10) == 0, F.lit(False)))
+
+
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -37,14 +83,27 @@ def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
+        "op1_decontamination": decontamination,
         "op2_substring_dedup": substring_dedup,
+        "op3_license_scan": licence_scan,
+        "op4_source_mix": source_mix,
+        "op5_line_dedup": line_dedup,
         "op6_ngram_jaccard": ngram_jaccard,
+        "op7_quality_classifier": quality_classifier,
+        "op8_quality_rules": quality_rules,
+        "op9_lm_scoring": lm_scoring,
         "op10_sharding": sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": REPEATS_SQL, "op6_ngram_jaccard": JACCARD_SQL}
+    return {
+        "op2_substring_dedup": REPEATS_SQL,
+        "op3_license_scan": licence_sql(),
+        "op6_ngram_jaccard": JACCARD_SQL,
+        "op8_quality_rules": RULES_SQL,
+    }
 
 
 REPEATS_SQL = f"""
@@ -78,3 +137,58 @@ reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
 FROM documents d LEFT JOIN n USING (doc_id)
 JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) m USING (doc_id)"""
+
+
+def licence_sql() -> str:
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    def form(text: str) -> str:
+        lines = f"regexp_replace(lower({text}), '(?m)^\\s*(copyright\\b|\\(c\\)|©|all rights reserved).*$', '', 'g')"
+        out = f"trim(regexp_replace({lines}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+        for old, new in SPELLINGS:
+            out = f"replace({out}, '{old}', '{new}')"
+        return out
+
+    known = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in KNOWN)
+    return f"""
+WITH known AS (
+  SELECT sha256(f) AS digest, min(license) AS license
+  FROM (SELECT license, {form('text')} AS f FROM (VALUES {known}) v(license, text)) GROUP BY 1),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+noted AS (
+  SELECT doc_id, string_agg(DISTINCT license, '|' ORDER BY license) AS noted
+  FROM (SELECT doc_id, sha256({form('line')}) AS digest FROM lines WHERE {form('line')} <> '') JOIN known USING (digest)
+  GROUP BY doc_id),
+whole AS (SELECT doc_id, CASE WHEN f <> '' THEN sha256(f) END AS digest FROM (SELECT doc_id, {form('text')} AS f FROM documents))
+SELECT doc_id, digest, license, coalesce(noted, '') AS noted
+FROM whole LEFT JOIN known USING (digest) LEFT JOIN noted USING (doc_id)"""
+
+
+RULES_SQL = f"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words FROM documents),
+win AS (
+  SELECT doc_id, i, list_slice(words, i, i + 7) AS win
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8)),
+twice AS (SELECT doc_id, win FROM win GROUP BY ALL HAVING count(*) > 1),
+covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 8)) AS p FROM win JOIN twice USING (doc_id, win)),
+repeats AS (SELECT doc_id, count(*) AS n FROM covered GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '{WORD}') GROUP BY doc_id),
+m AS (
+  SELECT doc_id, text, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(repeats.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR n_symbols * 100 > n_words * 20
+    OR len(regexp_extract_all(text, '!!')) * 100 > n_words * 33
+    OR word_chars < n_words * 2 OR word_chars > n_words * 25
+    OR n_dup_lines * 100 > len(string_split(text, chr(10))) * 50
+    OR len(regexp_extract_all(text, '\\p{{L}}')) * 100 < word_chars * 60
+    OR len(regexp_extract_all(text, '\\p{{Lu}}')) > len(regexp_extract_all(text, '\\p{{Ll}}'))) AS kept
+FROM f"""

@@ -47,11 +47,12 @@ def real_id(name: str = "id") -> Column:
     return F.when(F.col(name) != NO_ID, F.col(name))
 
 
-def in_pieces(run: Callable[[pa.RecordBatch], pa.RecordBatch], limit: int = PIECE_BYTES) -> Callable:
+def in_pieces(run: Callable[[pa.RecordBatch], pa.RecordBatch], limit: int = PIECE_BYTES,
+              name: str = "text") -> Callable:
     """For ``mapInArrow``: hand the rows to ``run`` in pieces of bounded text size."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.asarray(pc.binary_length(batch.column("text")).fill_null(0), dtype=np.int64)
+            sizes = np.asarray(pc.binary_length(batch.column(name)).fill_null(0), dtype=np.int64)
             piece = np.cumsum(sizes) // limit
             edges = [0, *(np.flatnonzero(np.diff(piece)) + 1), len(sizes)]
             for a, b in zip(edges, edges[1:]):
@@ -146,4 +147,5 @@ LOWER_VALUES = np.concatenate([BYTE_VALUES[:65], BYTE_VALUES[97:123], BYTE_VALUE
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
-    return [t or b"" for t in batch.column(name).to_pylist()]
+    """Texts as bytes; a NULL is an empty one."""
+    return [t or b"" for t in batch.column(name).cast(pa.binary()).to_pylist()]
