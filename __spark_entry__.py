@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import os
 import sys
-from collections.abc import Callable, Sequence
+import tempfile
+from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -65,13 +66,9 @@ def on(name: str, run: Callable[[DataFrame], DataFrame], digits: int = 4) -> Que
     return query
 
 
-def step(name: str, kind: str, keep: Sequence[str] = (), **params) -> Query:
-    """A transformation of a whole table."""
-    def run(df: DataFrame) -> DataFrame:
-        out = tr.transform(df, kind, tr.Params(**params))
-        return out.select(*keep) if keep else out
-
-    return on(name, run)
+def step(name: str, kind: str, **params) -> Query:
+    """A transformation of a whole table, with all its columns."""
+    return on(name, lambda df: tr.transform(df, kind, tr.Params(**params)))
 
 
 def joined(df: DataFrame, *lists: str) -> DataFrame:
@@ -146,16 +143,47 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 7 == 0, "NaN").otherwise(F.col("c_nationkey").cast("string")).alias("c_nationkey"),
         F.when(k % 11 == 0, "#NULL!").otherwise(F.col("c_acctbal").cast("string")).alias("c_acctbal"),
         "c_mktsegment")
-    path = scratch_path(spark, "customer-csv")
+    path = scratch(spark, "customer-csv")
     delimited.write_csv(text, path)
     return rounded(delimited.read_csv(spark, path))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the cluster's shared folder; where none is set, as in a local run, one is made."""
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        return os.path.join(tempfile.mkdtemp(prefix="prepkit-"), name)
+    return scratch_path(spark, name)
+
+
+def csv_of_many_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers in two sets of CSV files whose headers order the columns differently, one of
+    them without the balance; columns are matched by name."""
+    suppliers = table(spark, sf_dir, "supplier")
+    path = scratch(spark, "supplier-csv")
+    odd = F.col("s_suppkey") % 2 == 1
+    delimited.write_csv(suppliers.filter(odd).select("s_suppkey", "s_name", "s_nationkey", "s_acctbal"), f"{path}/odd")
+    delimited.write_csv(suppliers.filter(~odd).select("s_nationkey", "s_suppkey", "s_name"), f"{path}/even")
+    return rounded(delimited.read_csv(spark, [f"{path}/odd", f"{path}/even"]))
+
+
+def checked_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of steps of which one fails when planned and one when run."""
+    steps = [
+        Step("remove_duplicates"),
+        Step("impute_constant", tr.Params(columns=("user_id",), constant_value="Unknown")),
+        Step("filter_rows", tr.Params(filter_condition="value / (user_id - user_id) > 1")),
+        Step("filter_rows", tr.Params(filter_condition="value > 20")),
+    ]
+    _, report = replay(dirty_events(spark, sf_dir), steps, checked=True)
+    rows = [(i, r["transformation"], r["success"], r.get("rows_after")) for i, r in enumerate(report, 1)]
+    return spark.createDataFrame(rows, "step int, transformation string, success boolean, rows_after bigint")
+
+
 def filtered_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_parquet(spark, os.path.join(sf_dir, "orders.parquet"), may_hold_nan=False)
     kept = tr.transform(orders, "filter_rows", tr.Params(
         filter_condition="o_orderstatus = 'F' AND o_totalprice > 100000"))
-    return rounded(kept.select("o_orderkey", "o_orderstatus", "o_totalprice"))
+    return rounded(kept)
 
 
 def stored_results(parts: DataFrame) -> DataFrame:
@@ -192,6 +220,7 @@ def core_queries() -> dict[str, Query]:
     return {
         # sources
         "s_csv_null_tokens": csv_round_trip,
+        "s_csv_many_files": csv_of_many_headers,
         "s_preview": on("customer", lambda d: delimited.preview(d, ["c_custkey"])),
         # metadata
         "m_dataset_summary": on(ed, metadata.dataset_summary),
@@ -235,13 +264,13 @@ def core_queries() -> dict[str, Query]:
         "q_type_issues": on(ed, lambda d: detailed(
             quality.issues_of(d, "type_inconsistency", "mixed_types"),
             numeric_values_pct="double", text_values_pct="double")),
-        "q_sampled_types": on(ed, lambda d: quality.sampled_type_checks(d, ["event_id"])),
+        "q_sampled_types": on(ed, quality.type_checks),
         "q_constant": on(ed, lambda d: detailed(
             quality.issues_of(d, "constant_column"), constant_value="string")),
         "q_low_variance": on(ed, lambda d: detailed(
             quality.issues_of(d, "low_variance"), mean="double", std="double", unique_count="bigint")),
         "q_high_cardinality": on("documents", lambda d: detailed(
-            quality.issues_of(d.select("text", "lang", "source"), "high_cardinality"),
+            quality.issues_of(d, "high_cardinality"),
             unique_count="bigint", cardinality_ratio="double")),
         "q_scores": on(ed, quality.scores),
         "q_all_issues": on(ed, lambda d: quality.all_issues(d).select(
@@ -249,60 +278,41 @@ def core_queries() -> dict[str, Query]:
             "affected_percentage")),
         "q_issue_summary": on(ed, lambda d: quality.issue_summary(quality.detected(d))),
         "q_prioritized": on(ed, lambda d: joined(
-            quality.prioritized(quality.detected(d)).drop("specific_recommendations"), "columns_affected")),
+            quality.prioritized(quality.detected(d)).withColumn(
+                "specific_recommendations", F.size("specific_recommendations")), "columns_affected")),
         "q_column_quality": on(ed, quality.column_quality),
         # transformations
-        "t_impute_mean": step(ed, "impute_mean", ["event_id", "value"], columns=["value"]),
-        "t_impute_median": step(ed, "impute_median", ["event_id", "value", "sparse_user"],
-                                columns=["value", "sparse_user"]),
-        "t_impute_mode": step(ed, "impute_mode", ["event_id", "event_type", "value"],
-                              columns=["event_type", "value"]),
-        "t_impute_constant": step(ed, "impute_constant", ["event_id", "event_type"],
-                                  columns=["event_type"], constant_value="Unknown"),
+        "t_impute_mean": step(ed, "impute_mean", columns=["value"]),
+        "t_impute_median": step(ed, "impute_median", columns=["value", "sparse_user"]),
+        "t_impute_mode": step(ed, "impute_mode", columns=["event_type", "value"]),
+        "t_impute_constant": step(ed, "impute_constant", columns=["event_type"], constant_value="Unknown"),
         "t_ffill": on(ed, lambda d: tr.transform(d.dropDuplicates(), "impute_forward_fill", tr.Params(
-            columns=["value", "event_type"], order_by=["event_id"])).select("event_id", "value", "event_type")),
+            columns=["value", "event_type"], order_by=["event_id"]))),
         "t_bfill": on(ed, lambda d: tr.transform(d.dropDuplicates(), "impute_backward_fill", tr.Params(
-            columns=["value", "event_type"], order_by=["event_id"])).select("event_id", "value", "event_type")),
-        "t_remove_z": step("events", "remove_outliers_zscore", ["event_id", "value", "user_id"],
-                           columns=["value", "user_id"]),
-        "t_remove_iqr": step("events", "remove_outliers_iqr", ["event_id", "value"], columns=["value"]),
-        "t_remove_iqr_documents": step("documents", "remove_outliers_iqr", ["doc_id", "n_chars"],
-                                       columns=["n_chars"]),
-        "t_cap_z": step("events", "cap_outliers_zscore", ["event_id", "value"], columns=["value"]),
-        "t_cap_iqr": step("events", "cap_outliers_iqr", ["event_id", "value"], columns=["value"]),
-        "t_onehot": step(ed, "encode_onehot", ["event_id", "event_type_error", "event_type_purchase",
-                                               "event_type_signup", "event_type_view"],
-                         columns=["event_type"]),
-        "t_label": step(ed, "encode_label", ["event_id", "event_type", "mixed"],
-                        columns=["event_type", "mixed"]),
-        "t_freq_encode": on(ed, lambda d: tr.frequency_encode(d, "event_type").select(
-            "event_id", "event_type", "event_type_encoded")),
-        "t_convert_int": step(ed, "convert_dtype", ["event_id", "num_text", "mixed"],
-                              columns=["num_text", "mixed"], target_dtype="int"),
-        "t_convert_float": step(ed, "convert_dtype", ["event_id", "mixed"],
-                                columns=["mixed"], target_dtype="float"),
-        "t_convert_str": step(ed, "convert_dtype", ["event_id", "sparse_user"],
-                              columns=["sparse_user"], target_dtype="str"),
-        "t_convert_datetime": step(ed, "convert_dtype", ["event_id", "date_text", "mixed"],
-                                   columns=["date_text", "mixed"], target_dtype="datetime"),
+            columns=["value", "event_type"], order_by=["event_id"]))),
+        "t_remove_z": step("events", "remove_outliers_zscore", columns=["value", "user_id"]),
+        "t_remove_iqr": step("events", "remove_outliers_iqr", columns=["value"]),
+        "t_remove_iqr_documents": step("documents", "remove_outliers_iqr", columns=["n_chars"]),
+        "t_cap_z": step("events", "cap_outliers_zscore", columns=["value"]),
+        "t_cap_iqr": step("events", "cap_outliers_iqr", columns=["value"]),
+        "t_onehot": step(ed, "encode_onehot", columns=["event_type"]),
+        "t_label": step(ed, "encode_label", columns=["event_type", "mixed"]),
+        "t_freq_encode": on(ed, lambda d: tr.frequency_encode(d, "event_type")),
+        "t_convert_int": step(ed, "convert_dtype", columns=["num_text", "mixed"], target_dtype="int"),
+        "t_convert_float": step(ed, "convert_dtype", columns=["mixed"], target_dtype="float"),
+        "t_convert_str": step(ed, "convert_dtype", columns=["sparse_user"], target_dtype="str"),
+        "t_convert_datetime": step(ed, "convert_dtype", columns=["date_text", "mixed"], target_dtype="datetime"),
         "t_drop_column": step("orders", "drop_column", columns=["o_orderdate", "o_custkey", "missing"]),
-        "t_drop_rows": step(ed, "drop_rows", ["event_id", "value", "event_type"],
-                            columns=["value", "event_type"]),
+        "t_drop_rows": step(ed, "drop_rows", columns=["value", "event_type"]),
         "t_filter_rows": filtered_orders,
         "t_dedup": step(ed, "remove_duplicates"),
-        "t_rename": step("orders", "rename_column", ["o_orderkey", "priority"],
-                         columns=["o_orderpriority"], new_name="priority"),
-        "t_scale_standard": step("lineitem", "scale_standard",
-                                 ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"],
-                                 columns=["l_quantity", "l_extendedprice"]),
-        "t_scale_minmax": step("lineitem", "scale_minmax",
-                               ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"],
-                               columns=["l_quantity", "l_extendedprice"]),
+        "t_rename": step("orders", "rename_column", columns=["o_orderpriority"], new_name="priority"),
+        "t_scale_standard": step("lineitem", "scale_standard", columns=["l_quantity", "l_extendedprice"]),
+        "t_scale_minmax": step("lineitem", "scale_minmax", columns=["l_quantity", "l_extendedprice"]),
         "t_before_after": on(ed, lambda d: tr.before_after(
             d, "impute_median", tr.Params(columns=["value"]))),
         "t_preview": on(ed, lambda d: tr.preview(
-            d, "impute_mean", tr.Params(columns=["value"], order_by=["event_id"])).after.select(
-            "event_id", "value", "event_type")),
+            d, "impute_mean", tr.Params(columns=["value"], order_by=["event_id"])).after),
         # recommendations
         "r_missing": on(ed, lambda d: recommend.for_missing(d).select(
             "column_name", "priority", "suggested_action", "affected_rows", "affected_percentage")),
@@ -323,8 +333,7 @@ def core_queries() -> dict[str, Query]:
         "v_box": boxes,
         "v_bar": on("documents", lambda d: charts.bar_chart(d, "source")),
         "v_correlation": on("lineitem", charts.correlation),
-        "v_rank_correlation": on("lineitem", lambda d: charts.rank_correlation(
-            d, ["l_quantity", "l_extendedprice", "l_discount"])),
+        "v_rank_correlation": on(ed, charts.rank_correlation),
         "v_missing_matrix": on(ed, lambda d: charts.missing_matrix(d.dropDuplicates(), ["event_id"])),
         "v_missing_patterns": on(ed, charts.missing_patterns),
         "v_scatter_grid": on("lineitem", lambda d: charts.scatter_grid(
@@ -334,6 +343,7 @@ def core_queries() -> dict[str, Query]:
         # lifecycle and catalog
         "l_history": on(ed, lambda d: with_steps(d).history()),
         "l_undo": on(ed, lambda d: with_steps(d).undo().table.select(*PIPELINE_COLUMNS)),
+        "l_replay_report": checked_replay,
         "l_pipeline_replay": on(ed, lambda d: replay(d, PIPELINE)[0].select(*PIPELINE_COLUMNS)),
         "l_cache_valid": on("part", valid_results),
         "l_cache_summary": on("part", lambda d: results.summary(stored_results(d)).select(

@@ -25,35 +25,47 @@ from prepkit.operators.stats import column_stats
 
 HISTOGRAM_BINS = 30
 BAR_CATEGORIES = 20
-CHARTED_COLUMNS = 10
-CORRELATED_COLUMNS = 15
 MATRIX_ROWS = 100
 FENCE = 1.5
 
 
+INFINITY = float("inf")
+
+
 def _bin(value: Column, low: Column, high: Column, bins: int) -> Column:
-    """0 to bins - 1; the maximum falls in the last bin, a constant in the first."""
+    """0 to bins - 1 for finite values: the maximum falls in the last bin, a constant in the
+    first. Minus infinity is bin -1, infinity is bin ``bins``."""
     share = F.try_divide(value - low, high - low)
-    return F.coalesce(F.least(F.floor(share * bins), F.lit(bins - 1)), F.lit(0)).cast("int")
+    inside = F.coalesce(F.least(F.floor(share * bins), F.lit(bins - 1)), F.lit(0))
+    return F.when(value == -INFINITY, -1).when(value == INFINITY, bins).otherwise(inside).cast("int")
 
 
-def _finite(name: str) -> Column:
-    x = present_double(name)
-    return F.when(F.abs(x) < float("inf"), x)
+def _ends(values: DataFrame, *names: str) -> DataFrame:
+    """One row with the least and the greatest finite value of each column."""
+    finite = {c: F.when(F.abs(c) < INFINITY, F.col(c)) for c in names}
+    return values.agg(*[f(x).alias(f"{end}_{c}") for c, x in finite.items() for end, f in (("low", F.min), ("high", F.max))])
 
 
 def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
-    """(bin, bin_start, bin_end, n) with empty bins; no rows without values."""
+    """(bin, bin_start, bin_end, n) with empty bins; no rows without values.
+
+    Infinite values, where there are any, are counted in bin -1 and in bin ``bins``, beyond
+    the finite ends.
+    """
     require_columns(df, [column])
-    values = df.select(_finite(column).alias("x")).filter(F.col("x").isNotNull())
-    ends = values.agg(F.min("x").alias("low"), F.max("x").alias("high")).filter(F.col("low").isNotNull())
-    counted = with_row(values, ends).groupBy(
-        _bin(F.col("x"), F.col("low"), F.col("high"), bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    width = (F.col("high") - F.col("low")) / bins
-    grid = ends.select("low", "high", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    return grid.join(F.broadcast(counted), "bin", "left").select(  # at most one row per bin
-        "bin", (F.col("low") + F.col("bin") * width).alias("bin_start"),
-        (F.col("low") + (F.col("bin") + 1) * width).alias("bin_end"),
+    values = df.select(present_double(column).alias("x")).filter(F.col("x").isNotNull())
+    ends = _ends(values, "x")
+    low, high = F.col("low_x"), F.col("high_x")
+    counted = with_row(values, ends).groupBy(_bin(F.col("x"), low, high, bins).alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"))
+    width = (high - low) / bins
+    grid = ends.select("low_x", "high_x", F.explode(F.sequence(F.lit(-1), F.lit(bins))).alias("bin"))
+    below, above = F.col("bin") == -1, F.col("bin") == bins
+    return grid.join(F.broadcast(counted), "bin", "left").filter(  # at most one row per bin
+        F.col("n").isNotNull() | (~below & ~above & low.isNotNull())
+    ).select(
+        "bin", F.when(below, -INFINITY).when(above, high).otherwise(low + F.col("bin") * width).alias("bin_start"),
+        F.when(below, low).when(above, INFINITY).otherwise(low + (F.col("bin") + 1) * width).alias("bin_end"),
         F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
@@ -132,13 +144,16 @@ def _pearson(df: DataFrame, names: Sequence[str], of: dict[str, dict]) -> DataFr
     return union_all(parts)
 
 
-def correlation(
-    df: DataFrame, columns: Sequence[str] | None = None, limit: int = CORRELATED_COLUMNS
-) -> DataFrame:
-    """Pearson matrix of the first numeric columns, long form, both triangles."""
+def _correlated(df: DataFrame, columns: Sequence[str] | None, limit: int | None) -> list[str]:
     names = numeric_columns(df, columns)[:limit]
     if len(names) < 2:
         raise ValueError("a correlation needs two numeric columns")
+    return names
+
+
+def correlation(df: DataFrame, columns: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Pearson matrix of the numeric columns, or of the first ``limit``, long form, both triangles."""
+    names = _correlated(df, columns, limit)
     of = fitted(column_stats(df, ["moments"], names), ["mean", "min", "max", "missing"])
     for found in of.values():
         found["constant"] = found["min"] == found["max"]
@@ -146,23 +161,50 @@ def correlation(
 
 
 def rank_correlation(
-    df: DataFrame, columns: Sequence[str] | None = None, limit: int = CORRELATED_COLUMNS,
+    df: DataFrame, columns: Sequence[str] | None = None, limit: int | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """Spearman matrix over the rows in which all chosen columns have a value."""
-    names = numeric_columns(df, columns)[:limit]
-    if len(names) < 2:
-        raise ValueError("a correlation needs two numeric columns")
-    complete = df.select(*[present_double(c).alias(f"x_{i}") for i, c in enumerate(names)]).dropna()
-    rows = complete.count()
-    ranked = complete
-    for i in range(len(names)):
-        values = complete.groupBy(F.col(f"x_{i}").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-        ranks = average_ranks(values, rows_per_bucket).select(
-            F.col("value").alias(f"x_{i}"), F.col("rank").alias(f"r_{i}"))
-        ranked = ranked.join(broadcast_if_small(ranks), f"x_{i}")
+    """Spearman matrix, long form, both triangles; each pair over the rows in which both
+    columns have a value.
+
+    Ranks depend on the rows they are taken over: columns are ranked once for all partners
+    without gaps, and anew for every partner that has some.
+    """
+    names = _correlated(df, columns, limit)
+    values = df.select(*[present_double(c).alias(f"x_{i}") for i, c in enumerate(names)])
+    held = values.agg(F.count(F.lit(1)).alias("rows"), *[F.count(f"x_{i}").alias(f"n_{i}") for i in range(len(names))]).first()
+    gapped = [i for i in range(len(names)) if held[f"n_{i}"] < held["rows"]]
+    whole = [i for i in range(len(names)) if i not in gapped]
+    # All pairs of columns without gaps at once, then each gapped column with those, then
+    # pairs of gapped columns by themselves.
+    groups = [(whole, ())] if whole else []
+    groups += [([i, *whole], (i,)) for i in gapped]
+    groups += [([i, j], (i, j)) for k, i in enumerate(gapped) for j in gapped[k + 1:]]
+    parts, done = [], set()
+    for members, present in groups:
+        rows = values.dropna(subset=[f"x_{i}" for i in present]) if present else values
+        wanted = [(a, b) for a in members for b in members if (a, b) not in done]
+        done.update(wanted)
+        matrix = _rank_matrix(rows, [f"x_{i}" for i in members], rows_per_bucket)
+        index = {f"x_{i}": names[i] for i in members}
+        label = F.create_map(*[F.lit(x) for pair in index.items() for x in pair])
+        asked = {(f"x_{a}", f"x_{b}") for a, b in wanted}
+        pair = F.concat_ws(" ", "column_a", "column_b")
+        parts.append(matrix.filter(pair.isin([f"{a} {b}" for a, b in sorted(asked)])).select(
+            label[F.col("column_a")].alias("column_a"), label[F.col("column_b")].alias("column_b"), "r"))
+    return union_all(parts)
+
+
+def _rank_matrix(values: DataFrame, names: Sequence[str], rows_per_bucket: int) -> DataFrame:
+    """Pearson matrix of the average ranks of columns without gaps."""
+    rows, ranked = values.count(), values.select(*names)
+    for name in names:
+        counts = values.groupBy(F.col(name).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        ranks = average_ranks(counts, rows_per_bucket).select(
+            F.col("value").alias(name), F.col("rank").alias(f"r_{name}"))
+        ranked = ranked.join(broadcast_if_small(ranks), name)
     of = {c: {"mean": (rows + 1) / 2, "missing": 0, "constant": False} for c in names}
-    return _pearson(ranked.select(*[F.col(f"r_{i}").alias(c) for i, c in enumerate(names)]), names, of)
+    return _pearson(ranked.select(*[F.col(f"r_{c}").alias(c) for c in names]), names, of)
 
 
 def _gap(df: DataFrame, name: str) -> Column:
@@ -199,15 +241,15 @@ def scatter_grid(
     df: DataFrame, x_column: str, y_column: str, color_column: str | None = None,
     bins: int = HISTOGRAM_BINS,
 ) -> DataFrame:
-    """(x_bin, y_bin[, color], n) of the cells that hold points."""
+    """(x_bin, y_bin[, color], n) of the cells that hold points; infinite coordinates fall
+    in bins -1 and ``bins``."""
     require_columns(df, [c for c in (x_column, y_column, color_column) if c])
     color = [col(color_column).cast("string").alias("color")] if color_column else []
-    points = df.select(_finite(x_column).alias("x"), _finite(y_column).alias("y"), *color).filter(
+    points = df.select(present_double(x_column).alias("x"), present_double(y_column).alias("y"), *color).filter(
         F.col("x").isNotNull() & F.col("y").isNotNull())
-    ends = points.agg(*[f(c).alias(f"{c}_{n}") for c in ("x", "y") for n, f in (("low", F.min), ("high", F.max))])
-    return with_row(points, ends).groupBy(
-        _bin(F.col("x"), F.col("x_low"), F.col("x_high"), bins).alias("x_bin"),
-        _bin(F.col("y"), F.col("y_low"), F.col("y_high"), bins).alias("y_bin"),
+    return with_row(points, _ends(points, "x", "y")).groupBy(
+        _bin(F.col("x"), F.col("low_x"), F.col("high_x"), bins).alias("x_bin"),
+        _bin(F.col("y"), F.col("low_y"), F.col("high_y"), bins).alias("y_bin"),
         *(["color"] if color else []),
     ).agg(F.count(F.lit(1)).alias("n"))
 
@@ -218,24 +260,26 @@ def violin(
 ) -> DataFrame:
     """(group, bin, density, n, q25, median, q75): density and quartiles per group.
 
-    All groups share the bins of the whole column; density sums to 1 per group.
+    All groups share the bins of the whole column; density sums to 1 per group. Rows without
+    a group are a group of their own, NULL; infinite values fall in bins -1 and ``bins``.
     """
     require_columns(df, [c for c in (column, group_column) if c])
     group = col(group_column).cast("string") if group_column else F.lit("all")
-    values = df.select(group.alias("group"), _finite(column).alias("x")).filter(
-        F.col("x").isNotNull() & F.col("group").isNotNull())
-    ends = values.agg(F.min("x").alias("low"), F.max("x").alias("high"))
-    binned = with_row(values, ends).groupBy(
-        "group", _bin(F.col("x"), F.col("low"), F.col("high"), bins).alias("bin")
+    values = df.select(group.alias("group"), present_double(column).alias("x")).filter(F.col("x").isNotNull())
+    # A name for every group, so that rows without one are ranked and joined like others.
+    named = values.select(F.when(F.col("group").isNull(), "-").otherwise(F.concat(F.lit("="), "group")).alias("name"), "x")
+    binned = with_row(named, _ends(named, "x")).groupBy(
+        "name", _bin(F.col("x"), F.col("low_x"), F.col("high_x"), bins).alias("bin")
     ).agg(F.count(F.lit(1)).alias("n"))
-    of_group = Window.partitionBy("group")  # at most one row per bin
-    quarters = quantiles(values, ["x"], by=["group"], approx=approx).drop("column_name")
-    return binned.withColumn("density", F.col("n") / F.sum("n").over(of_group)).join(
-        quarters, "group").select("group", "bin", "n", "density", "q25", "median", "q75")
+    of_group = Window.partitionBy("name")  # at most one row per bin
+    quarters = quantiles(named, ["x"], by=["name"], approx=approx).drop("column_name")
+    return binned.withColumn("density", F.col("n") / F.sum("n").over(of_group)).join(quarters, "name").select(
+        F.when(F.col("name") != "-", F.substr("name", F.lit(2))).alias("group"), "bin", "n", "density", "q25", "median", "q75")
 
 
-def chart_plan(df: DataFrame, per_family: int = CHARTED_COLUMNS) -> DataFrame:
-    """(chart_id, chart_type, column_name): the charts worth drawing, in order."""
+def chart_plan(df: DataFrame, per_family: int | None = None) -> DataFrame:
+    """(chart_id, chart_type, column_name): the charts worth drawing, in order; with
+    ``per_family`` only those of the first numeric and the first text columns."""
     numbers = numeric_columns(df)
     stats = with_distinct(column_stats(df, []), df, text_columns(df)[:per_family]) if text_columns(df) \
         else column_stats(df, []).withColumn("distinct_count", F.lit(0))

@@ -62,29 +62,36 @@ def text_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 5) -> DataFrame:
     """(column_name, rank, value, n): the k most frequent texts per column, ties by value.
 
-    Every task keeps only its own best rows per column before the shuffle. Texts sort
-    by their heads first, so ranking by head leaves all that can be among the best;
-    only for those is the whole text looked up.
+    What can be among the best is found in two steps that keep k rows per column and task:
+    the count of the k-th most frequent text, and, as texts sort by their heads first, the k-th
+    smallest head among those with just that count. Only texts at least as good are looked
+    up whole, however many of them share the last head.
     """
-    by_head = Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc("head"))
-    best = text_counts(df, columns).withColumn("place", F.rank().over(by_head)).filter(
-        F.col("place") <= k).drop("place")
-    found = best.limit(MOST_CANDIDATES + 1).collect()
-    if len(found) <= MOST_CANDIDATES:
-        best = F.broadcast(df.sparkSession.createDataFrame(found, best.schema))
-    whole = best.filter(F.col("tail").isNotNull())
-    if len(found) > MOST_CANDIDATES or any(r["tail"] is not None for r in found):
+    counts = text_counts(df, columns)
+    by_count = Window.partitionBy("column_name").orderBy(F.desc("n"))
+    least = counts.select("column_name", "n").withColumn("place", F.row_number().over(by_count)).filter(
+        F.col("place") <= k).groupBy("column_name").agg(F.min("n").alias("least"))
+    able = counts.join(F.broadcast(least), "column_name").filter(F.col("n") >= F.col("least"))  # a row per column
+    by_head = Window.partitionBy("column_name").orderBy("head")
+    edge = able.filter(F.col("n") == F.col("least")).select("column_name", "head").withColumn(
+        "place", F.row_number().over(by_head)).filter(F.col("place") <= k).groupBy("column_name").agg(
+        F.max("head").alias("edge"))
+    best = able.join(F.broadcast(edge), "column_name").filter(
+        (F.col("n") > F.col("least")) | (F.col("head") <= F.col("edge"))).drop("least", "edge")
+    whole = best.filter(F.col("tail").isNotNull()).select("column_name", "tail")
+    held = whole.limit(MOST_CANDIDATES + 1).count()
+    value = F.col("head")
+    if held:
         # the digest stands for one text, so any of its rows will do
+        few = F.broadcast(whole) if held <= MOST_CANDIDATES else whole
         texts = _text_cells(df, columns).filter(F.col("tail").isNotNull()).join(
-            whole, ["column_name", "tail"], "left_semi"
-        ).groupBy("column_name", "tail").agg(F.min("value").alias("value"))
-        best = best.join(texts, ["column_name", "tail"], "left").withColumn(
-            "value", F.coalesce("value", "head"))
-    else:
-        best = best.withColumn("value", F.col("head"))
+            few, ["column_name", "tail"], "left_semi"
+        ).groupBy("column_name", "tail").agg(F.min("value").alias("whole"))
+        best = best.join(texts, ["column_name", "tail"], "left")
+        value = F.coalesce("whole", "head")
     by_value = Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc("value"))
-    return best.withColumn("rank", F.row_number().over(by_value)).filter(F.col("rank") <= k).select(
-        "column_name", "rank", "value", "n")
+    return best.withColumn("value", value).withColumn("rank", F.row_number().over(by_value)).filter(
+        F.col("rank") <= k).select("column_name", "rank", "value", "n")
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

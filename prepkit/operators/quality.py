@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prepkit.functions import parsing
 from prepkit.functions.columns import (
     chunks,
     col,
@@ -127,7 +126,7 @@ def column_profile(
     parts = {p for t in wanted for p in NEEDS[t][1]}
     stats = column_stats(df, measures)
     if "distinct" in parts:
-        stats = with_distinct(stats, df)
+        stats = with_distinct(stats, df, _told_apart(df, wanted))
     names = numeric_columns(df)
     if "outliers" in parts and names:
         extra = outlier_profile(df, names, approx).select("column_name", *_OUTLIER_FIELDS)
@@ -138,6 +137,16 @@ def column_profile(
         F.lit(None).cast(t).alias(f) for f, t in absent.items() if f not in stats.columns])
 
 
+def _told_apart(df: DataFrame, wanted: Sequence[str]) -> list[str]:
+    """The columns whose distinct values an issue type of the wanted ones looks at."""
+    of = {
+        "duplicates": [c for c in df.columns if any(mark in c.lower() for mark in ID_MARKS)],
+        "low_variance": numeric_columns(df), "high_cardinality": text_columns(df), "constant_column": df.columns,
+    }
+    needed = {c for issue_type in wanted for c in of.get(issue_type, [])}
+    return [c for c in df.columns if c in needed] or df.columns[:1]
+
+
 def _details(**entries: Column) -> Column:
     """String map without the entries that are NULL."""
     pairs = [x for name, value in entries.items() for x in (F.lit(name), value.cast("string"))]
@@ -340,9 +349,8 @@ def prioritized(found: DataFrame) -> DataFrame:
     return grouped.select(
         F.row_number().over(Window.orderBy(order)).alias("priority"),  # at most eight rows
         titles[F.col("issue_type")].alias("action"), "issue_type", "issue_count",
-        F.slice(columns, 1, 10).alias("columns_affected"), "highest_severity",
-        F.slice(F.transform("shown", lambda s: s["recommendation"]), 1, 5)
-        .alias("specific_recommendations"))
+        columns.alias("columns_affected"), "highest_severity",
+        F.transform("shown", lambda s: s["recommendation"]).alias("specific_recommendations"))
 
 
 def scores(df: DataFrame, approx: bool = False) -> DataFrame:
@@ -463,9 +471,7 @@ def text_samples(df: DataFrame, order_by: Sequence[str], k: int = 5) -> DataFram
         .select("column_name", "rank", "value"))
 
 
-def sampled_type_checks(df: DataFrame, order_by: Sequence[str], rows: int = 1000) -> DataFrame:
-    """(column_name, sampled, numeric_loose) over the first ``rows`` texts of each column."""
-    return text_samples(df, order_by, rows).groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("sampled"),
-        F.count_if(parsing.looks_numeric(parsing.without_commas_and_spaces(F.col("value"))))
-        .alias("numeric_loose"))
+def type_checks(df: DataFrame) -> DataFrame:
+    """(column_name, checked, numeric_loose) over all texts of each text column."""
+    return column_stats(df, ["inconsistency"], text_columns(df)).select(
+        "column_name", F.col("non_null").alias("checked"), "numeric_loose")

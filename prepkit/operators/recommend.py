@@ -9,11 +9,11 @@ from prepkit.functions.columns import numeric_columns, percent, text_columns
 from prepkit.operators.frequency import row_counts, with_distinct
 from prepkit.operators.quality import FEWEST_VALUES, IQR_REACH, outlier_profile, severity_rank
 from prepkit.operators.stats import column_stats
+from prepkit.operators.transform import CONVERSIONS, KINDS
 
 # Limits of the advice. They differ from those of the issues.
 SKEWED = 1.0
 MANY_CATEGORIES = 50
-FEW_CATEGORIES = 5
 SCALE_RATIO = 10
 MOSTLY_NUMERIC = 90
 
@@ -30,8 +30,9 @@ def _above(share: Column, *rungs: tuple[float, str], otherwise: str) -> Column:
     return priority
 
 
-def _texts(*items: str) -> Column:
-    return F.array(*[F.lit(i) for i in items])
+def _others(group: str, *taken: str) -> Column:
+    """What else this package can do about it: the transformations of a group, by label."""
+    return F.array(*[F.lit(k.label) for name, k in KINDS.items() if k.group == group and name not in taken])
 
 
 def _rows(source: DataFrame, group: int, rec_type: str, priority: Column, title: Column,
@@ -57,8 +58,9 @@ def for_missing(df: DataFrame) -> DataFrame:
         _above(share, (50, "critical"), (20, "high"), (5, "medium"), otherwise="low"),
         F.format_string("Fill %d missing values in '%s'", "missing", "column_name"),
         F.concat(F.lit("Use "), method, F.lit(" imputation")),
-        F.when(numeric, _texts("median", "mean", "nearest neighbours", "drop the rows")).otherwise(
-            _texts("mode", "a category of its own", "forward or backward fill", "drop the rows")),
+        F.when(method == "median", _others("imputation", "impute_median"))
+        .when(method == "mean", _others("imputation", "impute_mean"))
+        .otherwise(_others("imputation", "impute_mode", "impute_mean", "impute_median")),
         F.when(method == "median", F.format_string("Skewness %.2f would pull the mean", skew))
         .when(method == "mean", F.lit("The distribution is about symmetric, so the mean is typical"))
         .otherwise(F.lit("The most frequent value keeps the categories as they are")),
@@ -74,7 +76,7 @@ def for_outliers(df: DataFrame, approx: bool = False) -> DataFrame:
         found, 2, "outlier_treatment", _above(share, (10, "high"), (5, "medium"), otherwise="low"),
         F.format_string("Treat %d outliers in '%s'", "iqr_outliers", "column_name"),
         F.lit("Cap outliers by IQR"),
-        _texts("cap at percentiles", "drop the rows", "log transformation", "keep true extremes"),
+        _others("outlier_treatment", "cap_outliers_iqr"),
         F.format_string("Values below %.2f or above %.2f are far from the middle half",
                         F.col("q25") - reach, F.col("q75") + reach),
         F.col("iqr_outliers"), share)
@@ -84,14 +86,12 @@ def for_encoding(df: DataFrame) -> DataFrame:
     texts = text_columns(df)
     stats = with_distinct(column_stats(df, [], texts), df, texts)
     n = F.col("distinct_count")
-    many, few = n > MANY_CATEGORIES, n <= FEW_CATEGORIES
+    many = n > MANY_CATEGORIES
     return _rows(
         stats, 3, "encoding", F.when(many, "medium").otherwise("low"),
         F.format_string("Encode '%s'", "column_name"),
         F.when(many, "Use target encoding").otherwise("Use one-hot encoding"),
-        F.when(many, _texts("frequency encoding", "target encoding", "group rare categories", "embedding"))
-        .when(few, _texts("one-hot encoding", "label encoding", "binary encoding"))
-        .otherwise(_texts("one-hot encoding", "label encoding", "frequency encoding")),
+        F.when(many, _others("encoding", "encode_onehot")).otherwise(_others("encoding")),
         F.format_string("%d categories", n), F.col("row_count"), F.lit(100.0))
 
 
@@ -110,7 +110,7 @@ def for_scaling(df: DataFrame) -> DataFrame:
     return _rows(
         names_frame, 4, "scaling", F.lit("medium"), F.lit("Bring numeric columns to similar ranges"),
         F.lit("Use standard scaling"),
-        _texts("standard scaling", "min-max scaling", "scaling by median and IQR", "none, for tree models"),
+        _others("scaling", "scale_standard"),
         F.format_string("The widest range is %.0f times the narrowest", "ratio"),
         F.col("row_count"), F.lit(100.0), whole_table=True)
 
@@ -121,7 +121,7 @@ def for_duplicates(df: DataFrame) -> DataFrame:
     return _rows(
         found, 5, "duplicate_handling", _above(share, (5, "high"), otherwise="medium"),
         F.format_string("Remove %d duplicate rows", "duplicate_rows"), F.lit("Remove duplicate rows"),
-        _texts("keep the first", "keep the last", "keep all", "match near copies"),
+        F.array().cast("array<string>"),
         F.format_string("%d of %d rows are left", "distinct_rows", "row_count"),
         F.col("duplicate_rows"), share, whole_table=True)
 
@@ -132,7 +132,7 @@ def for_type_conversion(df: DataFrame) -> DataFrame:
     return _rows(
         stats.filter(share > MOSTLY_NUMERIC), 6, "type_conversion", F.lit("medium"),
         F.format_string("Convert '%s' to a number", "column_name"), F.lit("Convert to numeric"),
-        _texts("whole number", "decimal number", "keep text, for codes"),
+        F.array(*map(F.lit, CONVERSIONS)),
         F.format_string("%.1f%% of the values are numbers", share), F.col("row_count"), F.lit(100.0))
 
 

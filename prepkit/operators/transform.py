@@ -28,15 +28,17 @@ from prepkit.functions.columns import (
     present_double,
     union_all,
 )
+from prepkit.functions.keys import row_digest
 from prepkit.operators.broadcasts import broadcast_if_small, fitted, with_row
-from prepkit.operators.frequency import value_counts, with_distinct
+from prepkit.operators.frequency import top_values, value_counts, with_distinct
 from prepkit.operators.ordered import ROWS_PER_BUCKET, dense_codes, fill
 from prepkit.operators.quantiles import quantiles
 from prepkit.operators.stats import column_stats, one_row_per_column
 
-#: One-hot columns are part of the schema, so their number must stay small.
+#: Beyond so many one-hot columns a preview warns.
 ONEHOT_WARNING = 20
-ONEHOT_LIMIT = 2000
+# What convert_dtype converts to.
+CONVERSIONS = ("int", "float", "str", "datetime")
 PREVIEW_ROWS = 10
 
 
@@ -54,6 +56,8 @@ class Params:
     order_by: Sequence[str] = ()
     approx: bool = False
     rows_per_bucket: int = ROWS_PER_BUCKET
+    #: "columns": a flag per category; "index": the place of the one flag that is set.
+    onehot_form: str = "columns"
 
     def to_dict(self) -> dict[str, Any]:
         return {k: list(v) if isinstance(v, tuple) else v for k, v in asdict(self).items()}
@@ -104,24 +108,35 @@ def _constant(text: str, data_type: T.DataType) -> Column:
     return F.lit(text).cast(data_type)
 
 
-def mode_of(df: DataFrame, column: str) -> str | None:
-    """The most frequent value, the smallest of several, as text."""
-    best = value_counts(df, column).orderBy(F.desc("n"), F.asc("value")).limit(1)
-    row = best.select(F.col("value").cast("string")).first()
-    return row[0] if row else None
+def modes_of(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+    """The most frequent value of each column, the smallest of several, as text: one job.
+    Texts are counted by head and digest."""
+    texts = [c for c in columns if is_text(df.schema[c].dataType)]
+    parts = [top_values(df, texts, 1).select("column_name", "value")] if texts else []
+    for c in columns:
+        if c not in texts:
+            best = value_counts(df, c).agg(F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("best"))
+            parts.append(best.select(F.lit(c).alias("column_name"), F.col("best.value").cast("string").alias("value")))
+    rows = union_all(parts).collect() if parts else []
+    return {r["column_name"]: r["value"] for r in rows if r["value"] is not None}
 
 
 def impute_mode(df: DataFrame, p: Params) -> DataFrame:
-    modes = {c: mode_of(df, c) for c in p.existing(df)}
     return _replace(df, {
         c: F.coalesce(_present(df, c), _constant(mode, df.schema[c].dataType))
-        for c, mode in modes.items() if mode is not None})
+        for c, mode in modes_of(df, p.existing(df)).items()})
 
 
 def impute_constant(df: DataFrame, p: Params) -> DataFrame:
     names = p.existing(df)
     if p.constant_value is None:
         return df
+    types = {c: df.schema[c].dataType for c in names}
+    if names:
+        one = df.sparkSession.range(1).select(*[F.lit(p.constant_value).try_cast(t).alias(c) for c, t in types.items()]).first()
+        unfit = [c for c in names if one[c] is None]
+        if unfit:
+            raise ValueError(f"{p.constant_value!r} is no {types[unfit[0]].simpleString()}, the type of '{unfit[0]}'")
     return _replace(df, {
         c: F.coalesce(_present(df, c), F.lit(p.constant_value).cast(df.schema[c].dataType)) for c in names})
 
@@ -198,14 +213,16 @@ cap_outliers_iqr = _cap(_iqr_bounds)
 
 def categories(df: DataFrame, column: str) -> list[str]:
     """Sorted distinct values as text, collected because they become columns."""
-    rows = value_counts(df, column).orderBy("value").limit(ONEHOT_LIMIT + 1)
-    values = [r[0] for r in rows.select(F.col("value").cast("string")).collect()]
-    if len(values) > ONEHOT_LIMIT:
-        raise ValueError(f"'{column}' has more than {ONEHOT_LIMIT} values: too many one-hot columns")
-    return values
+    rows = value_counts(df, column).orderBy("value")
+    return [r[0] for r in rows.select(F.col("value").cast("string")).collect()]
 
 
 def encode_onehot(df: DataFrame, p: Params) -> DataFrame:
+    """One flag column per category but the first. For columns of very many values there
+    is the sparse form: ``<column>_hot`` is the place of the flag that would be set, NULL where
+    none would be."""
+    if p.onehot_form == "index":
+        return _onehot_index(df, p)
     for name in p.existing(df):
         data_type = df.schema[name].dataType
         flags = [
@@ -215,10 +232,17 @@ def encode_onehot(df: DataFrame, p: Params) -> DataFrame:
     return df
 
 
+def _onehot_index(df: DataFrame, p: Params) -> DataFrame:
+    names = p.existing(df)
+    coded = encode_label(df, p)
+    return coded.select(*[col(c) for c in df.columns if c not in names], *[
+        F.when(col(c) > 0, col(c) - 1).alias(f"{c}_hot") for c in names])
+
+
 def encode_label(df: DataFrame, p: Params) -> DataFrame:
     out = df
     for name in p.existing(df):
-        codes = dense_codes(value_counts(out, name), "value", p.rows_per_bucket).select(
+        codes = dense_codes(value_counts(df, name), "value", p.rows_per_bucket).select(
             F.col("value").alias("__value"), F.col("code").alias("__code"))
         coded = out.join(broadcast_if_small(codes), _present(out, name) == F.col("__value"), "left")
         out = coded.select(*[
@@ -300,7 +324,8 @@ def filter_rows(df: DataFrame, p: Params) -> DataFrame:
 
 
 def remove_duplicates(df: DataFrame, p: Params) -> DataFrame:
-    return df.dropDuplicates()
+    """One of each set of equal rows, told by a digest: no text is a shuffle key."""
+    return df.withColumn("__digest", row_digest(df)).dropDuplicates(["__digest"]).drop("__digest")
 
 
 def rename_column(df: DataFrame, p: Params) -> DataFrame:

@@ -275,6 +275,8 @@ def oracle_queries() -> dict[str, str]:
  CASE WHEN c_custkey % 8 = 0 OR c_custkey % 9 = 0 OR c_custkey % 10 = 0 THEN NULL ELSE c_name END AS c_name,
  CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_nationkey::BIGINT END AS c_nationkey,
  CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE round(c_acctbal, 4) END AS c_acctbal, c_mktsegment FROM customer"""
+    q["s_csv_many_files"] = """SELECT s_suppkey, s_name, s_nationkey::BIGINT AS s_nationkey,
+ CASE WHEN s_suppkey % 2 = 1 THEN round(s_acctbal, 4) END AS s_acctbal FROM supplier"""
     q["s_preview"] = """SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_nationkey::VARCHAR AS c_nationkey,
  c_acctbal::VARCHAR AS c_acctbal, c_mktsegment FROM customer ORDER BY customer.c_custkey LIMIT 1000"""
 
@@ -411,9 +413,9 @@ SELECT n AS row_count, 6 AS column_count, round(bytes / 1048576.0, 2) AS megabyt
  CASE WHEN issue_type = 'mixed_types' THEN round((nn - loose) * 1e2 / nn, 2) END AS text_values_pct
  FROM issues JOIN stats USING (column_name) WHERE detector = 6"""
     q["q_sampled_types"] = dirty + "\nUNION ALL ".join(
-        f"""SELECT '{c}' AS column_name, count(*) AS sampled,
+        f"""SELECT '{c}' AS column_name, count(*) AS checked,
  count(*) FILTER (WHERE regexp_matches(replace(replace({c}, ',', ''), ' ', ''), '{NUMBER}')) AS numeric_loose
- FROM (SELECT {c} FROM {ed} WHERE {c} IS NOT NULL ORDER BY event_id LIMIT 1000)""" for c in _texts(EVENTS_DIRTY))
+ FROM {ed} WHERE {c} IS NOT NULL""" for c in _texts(EVENTS_DIRTY))
     q["q_constant"] = found + f"SELECT {plain}, least AS constant_value FROM issues JOIN stats USING (column_name) WHERE issue_type = 'constant_column'"
     q["q_low_variance"] = found + f"""SELECT {plain}, {_r('mean', 'std')}, d AS unique_count FROM issues JOIN stats USING (column_name)
  WHERE issue_type = 'low_variance'"""
@@ -436,73 +438,76 @@ SELECT 'QI-' || lpad(number::VARCHAR, 4, '0') AS issue_id, (row_number() OVER (O
  ('constant_column', 6, 'Remove Constant Columns'), ('high_cardinality', 7, 'Review High Cardinality Columns'),
  ('low_variance', 8, 'Consider Low Variance Features')),
 g AS (SELECT issue_type, count(*) AS issue_count, min({_SEVERITY}) AS top,
- coalesce(array_to_string((list(column_name ORDER BY {_SEVERITY}, detector, position, part) FILTER (WHERE column_name IS NOT NULL))[1:10], '|'), '')
+ coalesce(array_to_string((list(column_name ORDER BY {_SEVERITY}, detector, position, part) FILTER (WHERE column_name IS NOT NULL)), '|'), '')
  AS columns_affected FROM issues GROUP BY issue_type)
 SELECT (row_number() OVER (ORDER BY step))::INT AS priority, action, issue_type, issue_count, columns_affected,
- CASE top WHEN 1 THEN 'critical' WHEN 2 THEN 'high' WHEN 3 THEN 'medium' WHEN 4 THEN 'low' ELSE 'info' END AS highest_severity
+ issue_count::INT AS specific_recommendations, CASE top WHEN 1 THEN 'critical' WHEN 2 THEN 'high' WHEN 3 THEN 'medium' WHEN 4 THEN 'low' ELSE 'info' END AS highest_severity
  FROM g JOIN a USING (issue_type)"""
     q["q_column_quality"] = found + f""", k AS (SELECT *, nn * 1e2 / n AS filled,
  CASE WHEN dtype = 'string' AND commas > 0 AND commas < nn THEN 60e0 ELSE 100e0 END AS type_quality FROM stats)
 SELECT column_name, position, round(filled * 0.6 + type_quality * 0.4, 2) AS quality_score, round(filled, 2) AS completeness,
  type_quality, n - nn AS missing_count, {_pct('(n - nn)', 'n')} AS missing_percentage, d AS unique_count, dtype FROM k"""
 
-    # transformations
-    q["t_impute_mean"] = dirty + f"""SELECT event_id, round(coalesce(value, (SELECT avg(value) FROM {ed})), 4) AS value FROM {ed}"""
-    q["t_impute_median"] = dirty + f"""SELECT event_id, round(coalesce(value, (SELECT quantile_cont(value, 0.5) FROM {ed})), 4) AS value,
- round(coalesce(sparse_user::DOUBLE, (SELECT quantile_cont(sparse_user::DOUBLE, 0.5) FROM {ed})), 4) AS sparse_user FROM {ed}"""
-    q["t_impute_mode"] = dirty + f"""SELECT event_id, coalesce(event_type, {_mode('event_type', ed)}) AS event_type,
- round(coalesce(value, {_mode('value', ed)}), 4) AS value FROM {ed}"""
-    q["t_impute_constant"] = dirty + f"SELECT event_id, coalesce(event_type, 'Unknown') AS event_type FROM {ed}"
+    # transformations, with all columns of their tables
+    low = "round(low_var, 4) AS low_var"
+    price = "round(o_totalprice, 4) AS o_totalprice"
+    q["t_impute_mean"] = dirty + f"""SELECT * REPLACE (round(coalesce(value, (SELECT avg(value) FROM {ed})), 4) AS value, {low}) FROM {ed}"""
+    q["t_impute_median"] = dirty + f"""SELECT * REPLACE (round(coalesce(value, (SELECT quantile_cont(value, 0.5) FROM {ed})), 4) AS value, {low},
+ round(coalesce(sparse_user::DOUBLE, (SELECT quantile_cont(sparse_user::DOUBLE, 0.5) FROM {ed})), 4) AS sparse_user) FROM {ed}"""
+    q["t_impute_mode"] = dirty + f"""SELECT * REPLACE (coalesce(event_type, {_mode('event_type', ed)}) AS event_type, {low},
+ round(coalesce(value, {_mode('value', ed)}), 4) AS value) FROM {ed}"""
+    q["t_impute_constant"] = dirty + f"""SELECT * REPLACE (coalesce(event_type, 'Unknown') AS event_type, round(value, 4) AS value, {low}) FROM {ed}"""
     for name, f, frame in (("t_ffill", "last_value", "UNBOUNDED PRECEDING AND CURRENT ROW"),
                            ("t_bfill", "first_value", "CURRENT ROW AND UNBOUNDED FOLLOWING")):
         over = f"OVER (ORDER BY event_id ROWS BETWEEN {frame})"
-        q[name] = dedup + f"""SELECT event_id, round({f}(value IGNORE NULLS) {over}, 4) AS value,
- {f}(event_type IGNORE NULLS) {over} AS event_type FROM u"""
+        q[name] = dedup + f"""SELECT * REPLACE (round({f}(value IGNORE NULLS) {over}, 4) AS value, {low},
+ {f}(event_type IGNORE NULLS) {over} AS event_type) FROM u"""
     q["t_remove_z"] = """WITH a AS (SELECT * FROM events, (SELECT avg(value) AS m, stddev_samp(value) AS s FROM events)
  WHERE NOT coalesce(abs(value - m) / s > 3, false)),
-c AS (SELECT a.event_id, a.value, a.user_id FROM a, (SELECT avg(user_id) AS m2, stddev_samp(user_id) AS s2 FROM a)
+c AS (SELECT * FROM a, (SELECT avg(user_id) AS m2, stddev_samp(user_id) AS s2 FROM a)
  WHERE NOT coalesce(abs(user_id - m2) / s2 > 3, false))
-SELECT event_id, round(value, 4) AS value, user_id FROM c"""
+SELECT * EXCLUDE (m, s, m2, s2) REPLACE (round(value, 4) AS value) FROM c"""
 
     def fences(table, c):
         return (f"(SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM (SELECT quantile_cont({c}::DOUBLE, 0.25) AS q1, "
                 f"quantile_cont({c}::DOUBLE, 0.75) AS q3 FROM {table}))")
 
-    q["t_remove_iqr"] = f"""SELECT event_id, round(value, 4) AS value FROM events, {fences('events', 'value')}
+    q["t_remove_iqr"] = f"""SELECT * EXCLUDE (lo, hi) REPLACE (round(value, 4) AS value) FROM events, {fences('events', 'value')}
  WHERE value IS NULL OR (value >= lo AND value <= hi)"""
-    q["t_remove_iqr_documents"] = f"""SELECT doc_id, n_chars FROM documents, {fences('documents', 'n_chars')}
+    q["t_remove_iqr_documents"] = f"""SELECT * EXCLUDE (lo, hi) FROM documents, {fences('documents', 'n_chars')}
  WHERE n_chars IS NULL OR (n_chars >= lo AND n_chars <= hi)"""
     clip = "round(CASE WHEN value < lo THEN lo WHEN value > hi THEN hi ELSE value END, 4) AS value"
-    q["t_cap_z"] = f"""SELECT event_id, {clip} FROM events, (SELECT avg(value) - 3 * stddev_samp(value) AS lo,
+    q["t_cap_z"] = f"""SELECT * EXCLUDE (lo, hi) REPLACE ({clip}) FROM events, (SELECT avg(value) - 3 * stddev_samp(value) AS lo,
  avg(value) + 3 * stddev_samp(value) AS hi FROM events)"""
-    q["t_cap_iqr"] = f"SELECT event_id, {clip} FROM events, {fences('events', 'value')}"
-    q["t_onehot"] = dirty + "SELECT event_id, " + ", ".join(
+    q["t_cap_iqr"] = f"SELECT * EXCLUDE (lo, hi) REPLACE ({clip}) FROM events, {fences('events', 'value')}"
+    q["t_onehot"] = dirty + f"SELECT * EXCLUDE (event_type) REPLACE (round(value, 4) AS value, {low}), " + ", ".join(
         f"coalesce(event_type = '{v}', false) AS event_type_{v}" for v in ("error", "purchase", "signup", "view")) + f" FROM {ed}"
     codes = "(SELECT {c} AS v, row_number() OVER (ORDER BY {c}) - 1 AS code FROM (SELECT DISTINCT {c} FROM {t} WHERE {c} IS NOT NULL))"
-    q["t_label"] = dirty + f"""SELECT event_id, coalesce(a.code, -1) AS event_type, coalesce(m.code, -1) AS mixed FROM {ed}
+    q["t_label"] = dirty + f"""SELECT {ed}.* REPLACE (coalesce(a.code, -1) AS event_type, coalesce(m.code, -1) AS mixed, round(value, 4) AS value, {low}) FROM {ed}
  LEFT JOIN {codes.format(c='event_type', t=ed)} a ON event_type = a.v LEFT JOIN {codes.format(c='mixed', t=ed)} m ON mixed = m.v"""
-    q["t_freq_encode"] = dirty + f"""SELECT event_id, event_type, round(share, 4) AS event_type_encoded FROM {ed} LEFT JOIN (
+    q["t_freq_encode"] = dirty + f"""SELECT {ed}.* REPLACE (round(value, 4) AS value, {low}), round(share, 4) AS event_type_encoded FROM {ed} LEFT JOIN (
  SELECT event_type AS v, count(*) * 1e0 / sum(count(*)) OVER () AS share FROM {ed} WHERE event_type IS NOT NULL GROUP BY 1)
  ON event_type = v"""
     number = "CASE WHEN regexp_matches({c}, '" + NUMBER + "') THEN try_cast(trim({c}) AS {t}) END"
-    q["t_convert_int"] = dirty + f"""SELECT event_id, {number.format(c='num_text', t='BIGINT')} AS num_text,
- {number.format(c='mixed', t='BIGINT')} AS mixed FROM {ed}"""
-    q["t_convert_float"] = dirty + f"SELECT event_id, round({number.format(c='mixed', t='DOUBLE')}, 4) AS mixed FROM {ed}"
-    q["t_convert_str"] = dirty + f"SELECT event_id, sparse_user::VARCHAR AS sparse_user FROM {ed}"
-    q["t_convert_datetime"] = dirty + "SELECT event_id, " + ", ".join(
-        f"CASE WHEN regexp_matches({c}, '{DATE}') THEN try_cast({c} AS TIMESTAMP) END AS {c}" for c in ("date_text", "mixed")) + f" FROM {ed}"
+    q["t_convert_int"] = dirty + f"""SELECT * REPLACE ({number.format(c='num_text', t='BIGINT')} AS num_text, round(value, 4) AS value, {low},
+ {number.format(c='mixed', t='BIGINT')} AS mixed) FROM {ed}"""
+    q["t_convert_float"] = dirty + f"""SELECT * REPLACE (round({number.format(c='mixed', t='DOUBLE')}, 4) AS mixed, round(value, 4) AS value, {low}) FROM {ed}"""
+    q["t_convert_str"] = dirty + f"""SELECT * REPLACE (sparse_user::VARCHAR AS sparse_user, round(value, 4) AS value, {low}) FROM {ed}"""
+    q["t_convert_datetime"] = dirty + f"SELECT * REPLACE (round(value, 4) AS value, {low}, " + ", ".join(
+        f"CASE WHEN regexp_matches({c}, '{DATE}') THEN try_cast({c} AS TIMESTAMP) END AS {c}" for c in ("date_text", "mixed")) + f") FROM {ed}"
     q["t_drop_column"] = "SELECT o_orderkey, o_orderstatus, round(o_totalprice, 4) AS o_totalprice, o_orderpriority FROM orders"
-    q["t_drop_rows"] = dirty + f"""SELECT event_id, round(value, 4) AS value, event_type FROM {ed}
+    q["t_drop_rows"] = dirty + f"""SELECT * REPLACE (round(value, 4) AS value, {low}) FROM {ed}
  WHERE value IS NOT NULL AND event_type IS NOT NULL"""
-    q["t_filter_rows"] = """SELECT o_orderkey, o_orderstatus, round(o_totalprice, 4) AS o_totalprice FROM orders
+    q["t_filter_rows"] = f"""SELECT * REPLACE ({price}) FROM orders
  WHERE o_orderstatus = 'F' AND o_totalprice > 100000"""
     q["t_dedup"] = dedup + "SELECT * REPLACE (round(value, 4) AS value, round(low_var, 4) AS low_var) FROM u"
-    q["t_rename"] = "SELECT o_orderkey, o_orderpriority AS priority FROM orders"
+    q["t_rename"] = f"SELECT * EXCLUDE (o_orderpriority) REPLACE ({price}), o_orderpriority AS priority FROM orders"
     scaled = ("l_quantity", "l_extendedprice")
-    q["t_scale_standard"] = "SELECT l_orderkey, l_linenumber, " + ", ".join(
-        f"round(({c} - (SELECT avg({c}) FROM lineitem)) / (SELECT stddev_samp({c}) FROM lineitem), 4) AS {c}" for c in scaled) + " FROM lineitem"
-    q["t_scale_minmax"] = "SELECT l_orderkey, l_linenumber, " + ", ".join(
-        f"round(({c} - (SELECT min({c}) FROM lineitem)) / (SELECT max({c}) - min({c}) FROM lineitem), 4) AS {c}" for c in scaled) + " FROM lineitem"
+    others = "round(l_discount, 4) AS l_discount, round(l_tax, 4) AS l_tax, "
+    q["t_scale_standard"] = f"SELECT * REPLACE ({others}" + ", ".join(
+        f"round(({c} - (SELECT avg({c}) FROM lineitem)) / (SELECT stddev_samp({c}) FROM lineitem), 4) AS {c}" for c in scaled) + ") FROM lineitem"
+    q["t_scale_minmax"] = f"SELECT * REPLACE ({others}" + ", ".join(
+        f"round(({c} - (SELECT min({c}) FROM lineitem)) / (SELECT max({c}) - min({c}) FROM lineitem), 4) AS {c}" for c in scaled) + ") FROM lineitem"
     filled = f"(SELECT coalesce(value, (SELECT quantile_cont(value, 0.5) FROM {ed})) AS value FROM {ed})"
     q["t_before_after"] = dirty + "\nUNION ALL ".join(
         f"""SELECT '{phase}' AS phase, 'value' AS column_name, count(*) AS count, count(*) - count(value) AS missing,
@@ -510,7 +515,7 @@ SELECT event_id, round(value, 4) AS value, user_id FROM c"""
  stddev_samp(value) OVER () AS std, min(value) OVER () AS min, max(value) OVER () AS max,
  (SELECT quantile_cont(value, 0.5) FROM {source}) AS median FROM {source}) GROUP BY mean, std, min, max, median"""
         for phase, source in (("before", ed), ("after", filled)))
-    q["t_preview"] = dirty + f"""SELECT event_id, round(coalesce(value, (SELECT avg(value) FROM {ed})), 4) AS value, event_type
+    q["t_preview"] = dirty + f"""SELECT * REPLACE (round(coalesce(value, (SELECT avg(value) FROM {ed})), 4) AS value, {low})
  FROM {ed} ORDER BY event_id LIMIT 10"""
 
     # recommendations
@@ -569,11 +574,12 @@ SELECT g.bin::INT AS bin, round(low + g.bin * (high - low) / 30, 4) AS bin_start
     names = _numbers(LINEITEM)
     q["v_correlation"] = "\nUNION ALL ".join(
         f"SELECT '{a}' AS column_a, '{c}' AS column_b, round(corr({a}, {c}), 4) AS r FROM lineitem" for a in names for c in names)
-    ranked = ("l_quantity", "l_extendedprice", "l_discount")
-    q["v_rank_correlation"] = "WITH k AS (SELECT " + ", ".join(
-        f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in ranked) + " FROM lineitem)\n" + \
-        "\nUNION ALL ".join(
-            f"SELECT '{a}' AS column_a, '{c}' AS column_b, round(corr({a}, {c}), 4) AS r FROM k" for a in ranked for c in ranked)
+    pairs = [(a, c) for a in _numbers(EVENTS_DIRTY) for c in _numbers(EVENTS_DIRTY)]
+    q["v_rank_correlation"] = dirty + "\nUNION ALL ".join(
+        f"""SELECT '{a}' AS column_a, '{c}' AS column_b, round(corr(x, y), 4) AS r FROM (
+ SELECT rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2.0 AS x,
+ rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS y
+ FROM {ed} WHERE {a} IS NOT NULL AND {c} IS NOT NULL)""" for a, c in pairs)
     q["v_missing_matrix"] = dedup + """, m AS (SELECT * FROM u ORDER BY md5('42|' || event_id), event_id LIMIT 100),
 l AS (""" + "\nUNION ALL ".join(
         f"SELECT event_id, '{c}' AS column_name, ({c} IS NULL)::INT AS is_missing FROM m" for c in EVENTS_DIRTY) + """)
@@ -602,6 +608,9 @@ f AS """ + fences("m", "value") + """,
 c AS (SELECT m.* REPLACE (CASE WHEN value < lo THEN lo WHEN value > hi THEN hi ELSE value END AS value) FROM m, f),
 k AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT event_type AS v FROM c WHERE event_type IS NOT NULL))
 """
+    q["l_replay_report"] = dedup + """SELECT 1 AS step, 'remove_duplicates' AS transformation, true AS success, count(*) AS rows_after FROM u
+UNION ALL SELECT 2, 'impute_constant', false, NULL UNION ALL SELECT 3, 'filter_rows', false, NULL
+UNION ALL SELECT 4, 'filter_rows', true, count(*) FROM u WHERE value > 20"""
     q["l_undo"] = q3 + "SELECT event_id, event_type, round(value, 4) AS value, mixed FROM c"
     q["l_pipeline_replay"] = q3 + """SELECT event_id, coalesce(code, -1) AS event_type, round(value, 4) AS value, mixed
  FROM c LEFT JOIN k ON event_type = v"""

@@ -1,17 +1,13 @@
-"""Browsing and keeping a catalog table of datasets or pipelines."""
+"""Browsing a catalog table of datasets or pipelines."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prepkit.functions.columns import col
-from prepkit.sources.tables import materialise
-
-LARGEST_PAGE = 100
 
 
 def where(catalog: DataFrame, **equal: Any) -> DataFrame:
@@ -33,38 +29,25 @@ def search(catalog: DataFrame, text: str | None, *fields: str) -> DataFrame:
 
 
 def page(catalog: DataFrame, newest_by: str, key: str, number: int = 1, size: int = 20) -> DataFrame:
-    """One page in descending order, ties by key, with the total beside each row."""
-    if number < 1 or not 1 <= size <= LARGEST_PAGE:
-        raise ValueError(f"page starts at 1 and holds 1 to {LARGEST_PAGE} rows")
+    """One page in descending order, ties by key, with the total beside each row.
+
+    Rows before the page are sorted and skipped; to go far, take :func:`page_after`.
+    """
+    if number < 1 or size < 1:
+        raise ValueError("pages start at 1 and hold a row at least")
     total = catalog.agg(F.count(F.lit(1)).alias("total"))
     shown = catalog.orderBy(F.desc(newest_by), F.asc(key)).offset((number - 1) * size).limit(size)
     return shown.crossJoin(F.broadcast(total))
 
 
-def get(catalog: DataFrame, key: str, value: Any, **owner: Any) -> DataFrame:
-    return where(catalog, **{key: value}, **owner)
-
-
-def insert(catalog: DataFrame, rows: DataFrame) -> DataFrame:
-    return catalog.unionByName(rows, allowMissingColumns=True)
-
+def page_after(catalog: DataFrame, newest_by: str, key: str, last: tuple[Any, Any] | None = None, size: int = 20) -> DataFrame:
+    """The page that follows the row with these values of ``newest_by`` and ``key``: a filter
+    that reaches the files and a top list, however far down the page is."""
+    if last is not None:
+        value, name = F.lit(last[0]), F.lit(last[1])
+        catalog = catalog.filter((col(newest_by) < value) | ((col(newest_by) == value) & (col(key) > name)))
+    return catalog.orderBy(F.desc(newest_by), F.asc(key)).limit(size)
 
-def update(catalog: DataFrame, key: str, value: Any, changes: Mapping[str, Any]) -> DataFrame:
-    hit = col(key) == F.lit(value)
-    return catalog.select(*[
-        F.when(hit, F.lit(changes[c])).otherwise(col(c)).cast(catalog.schema[c].dataType).alias(c)
-        if c in changes else col(c) for c in catalog.columns])
 
-
-def delete(catalog: DataFrame, key: str, value: Any) -> DataFrame:
-    return catalog.filter(F.coalesce(col(key) != F.lit(value), F.lit(True)))
-
-
-def count_use(catalog: DataFrame, key: str, value: Any, counter: str = "usage_count") -> DataFrame:
-    return catalog.withColumn(
-        counter, F.when(col(key) == F.lit(value), col(counter) + 1).otherwise(col(counter)))
-
-
-def save(catalog: DataFrame, path: str) -> None:
-    """Rewrite the catalog table, also when it is being read from the same path."""
-    materialise(catalog, "catalog").write.mode("overwrite").parquet(path)
+def get(catalog: DataFrame, key: str, value: Any, **owner: Any) -> DataFrame:
+    return where(catalog, **{key: value}, **owner)

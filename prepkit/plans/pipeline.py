@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass, fields
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from prepkit.functions.columns import union_all
@@ -33,26 +34,43 @@ class Step:
 
 
 def replay(
-    df: DataFrame, steps: Sequence[Step], materialise_every: int | None = None
+    df: DataFrame, steps: Sequence[Step], materialise_every: int | None = None, checked: bool = False
 ) -> tuple[DataFrame, list[dict[str, Any]]]:
     """Run the steps one after the other; their statistics are taken from ``df``.
 
-    A step that cannot be planned is reported and skipped. Every later step reads
-    what came before, so a long pipeline over large data should be cut now and then
-    with ``materialise_every``.
+    A step that cannot be planned is reported and skipped, and with ``checked`` also one whose
+    table cannot be computed: every step is then run once to its end and the report says
+    how many rows it leaves. Failures that are not the step's, such as lost executors, are
+    raised. Every later step reads what came before, so a long pipeline over large data
+    should be cut now and then with ``materialise_every``.
     """
     report = []
     for number, step in enumerate(steps, 1):
+        line: dict[str, Any] = {"transformation": step.kind, "success": True}
         try:
-            df = transform(df, step.kind, step.params)
-            report.append({"transformation": step.kind, "success": True})
-        except Exception as error:
-            report.append({"transformation": step.kind, "success": False, "error": str(error)})
+            after = transform(df, step.kind, step.params)
+            if checked:
+                line["rows_after"] = computed_rows(after)
+            df = after
+        except ValueError as error:
+            line |= {"success": False, "error": str(error)}
+        except PySparkException as error:
+            if error.getCondition() is None:
+                raise
+            line |= {"success": False, "error": str(error)}
+        report.append(line)
         if materialise_every and number % materialise_every == 0:
             df = materialise(df)
     return df, report
 
 
+def computed_rows(df: DataFrame) -> int:
+    """The number of rows, found by computing every cell of them."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.format("noop").mode("overwrite").save()
+    return seen.get["rows"]
+
+
 @dataclass(frozen=True)
 class Dataset:
     """A source table, the steps applied to it, and the plan of every version.

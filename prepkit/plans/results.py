@@ -43,21 +43,6 @@ def still_valid(stored: DataFrame, now: Column) -> DataFrame:
     return fresh.join(newest, [*KEYS, "created_at"], "left_semi")
 
 
-def invalidate(spark: SparkSession, path: str, dataset_id: str, analysis_type: str | None = None) -> bool:
-    """Expire the results of a dataset, of one analysis or of all; true if there were any."""
-    doomed = load(spark, path).filter(F.col("dataset_id") == dataset_id)
-    if analysis_type:
-        doomed = doomed.filter(F.col("analysis_type") == analysis_type)
-    if doomed.isEmpty():
-        return False
-    # an empty partition cannot overwrite: keep the rows, but as long expired
-    gone = doomed.withColumn("expires_at", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
-    from prepkit.sources.tables import materialise
-
-    store(materialise(gone, "invalidate"), path)
-    return True
-
-
 def summary(stored: DataFrame) -> DataFrame:
     """(dataset_id, analyses): which analyses exist, when made, when they expire."""
     runs = stored.groupBy(*KEYS).agg(

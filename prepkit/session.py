@@ -7,10 +7,15 @@ import os
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: str | int = "*", name: str = "prepkit", memory: str | None = None) -> SparkSession:
+def local_session(
+    cpus: str | int = "*", name: str = "prepkit", memory: str | None = None, scratch: str | None = None
+) -> SparkSession:
     partitions = os.cpu_count() if cpus == "*" else int(cpus)
+    builder = SparkSession.builder
+    if scratch:
+        builder = builder.config("spark.checkpoint.dir", scratch)
     return (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.driver.memory", memory or os.environ.get("PREPKIT_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", str(partitions))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ NULL_TOKENS = [
     "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "none", "null",
 ]
 PREVIEW_ROWS = 1000
-SURPLUS = "__surplus"
+SURPLUS, LINE = "__surplus", "__line"
 
 
 class CsvError(ValueError):
@@ -28,14 +30,28 @@ def null_tokens_to_null(df: DataFrame) -> DataFrame:
     return df.select([F.when(~col(c).isin(NULL_TOKENS), col(c)).alias(c) for c in df.columns])
 
 
+def headers(spark: SparkSession, path: str | Sequence[str], **options) -> dict[str, list[str]]:
+    """The header of each file that has one. A header is the start of one file, so each is a
+    job of one task; they run side by side."""
+    files = [unquote(f) for f in spark.read.text(path).inputFiles()]
+
+    def header(file: str) -> list[str]:
+        return spark.read.options(**options).csv(file).columns
+
+    with ThreadPool(16) as pool:
+        return {f: names for f, names in zip(files, pool.map(header, files)) if names}
+
+
 def read_text_cells(
     spark: SparkSession, path: str | Sequence[str], encoding: str = "UTF-8", multi_line: bool = False,
-    separator: str = ",",
+    separator: str = ",", keep_line: bool = False,
 ) -> DataFrame:
     """All cells as text, missing tokens as NULL, short rows padded with NULL.
 
-    One more column than the header has is read, so fields beyond the header show up
-    in ``__surplus`` instead of being lost. Files with line breaks inside quotes need
+    Columns are matched by the header of each file: files may order them differently, lack
+    some (then NULL) or have more. One more column than the header has is read, so fields
+    beyond the header show up in ``__surplus`` instead of being lost; ``keep_line`` puts the
+    whole line there when there are several. Files with line breaks inside quotes need
     ``multi_line``, which makes each file one task.
     """
     options = {
@@ -43,14 +59,29 @@ def read_text_cells(
         "escape": '"', "nullValue": "\u0000",
     }
     try:
-        names = spark.read.options(**options).csv(path).columns
+        found = headers(spark, path, **options)
     except Exception as error:
         raise CsvError(f"cannot read a header: {error}") from error
-    if not names:
-        raise CsvError("no header: the file is empty")
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, SURPLUS]])
-    cells = spark.read.options(**options, mode="PERMISSIVE", enforceSchema=True).schema(schema).csv(path)
-    return null_tokens_to_null(cells)
+    if not found:
+        raise CsvError("no header: the files are empty")
+    alike: dict[tuple[str, ...], list[str]] = {}
+    for file, names in found.items():
+        alike.setdefault(tuple(names), []).append(file)
+    parts = []
+    for names, files in alike.items():
+        extra = [SURPLUS, LINE] if keep_line else [SURPLUS]
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, *extra]])
+        cells = spark.read.options(
+            **options, mode="PERMISSIVE", enforceSchema=True, columnNameOfCorruptRecord=LINE,
+            columnPruning=not keep_line).schema(schema).csv(files)
+        if keep_line:
+            cells = cells.withColumn(SURPLUS, F.when(
+                F.col(SURPLUS).isNotNull(), F.coalesce(LINE, SURPLUS))).drop(LINE)
+        parts.append(null_tokens_to_null(cells))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    return whole.select(*[col(c) for c in whole.columns if c != SURPLUS], SURPLUS)
 
 
 _PARSERS: list[tuple[str, object]] = [
@@ -81,14 +112,15 @@ def inspect(cells: DataFrame) -> tuple[dict[str, str], int]:
     return found, counts["surplus"]
 
 
-def typed(cells: DataFrame, types: dict[str, str]) -> DataFrame:
+def typed(cells: DataFrame, types: dict[str, str], with_surplus: bool = False) -> DataFrame:
     parsers = dict(_PARSERS)
 
     def cell(name: str) -> Column:
         parse = parsers.get(types[name])
         return (parse(col(name)) if parse else col(name)).alias(name)
 
-    return cells.select(*[cell(c) for c in cells.columns if c != SURPLUS])
+    beyond = [col(SURPLUS)] if with_surplus else []
+    return cells.select(*[cell(c) for c in cells.columns if c != SURPLUS], *beyond)
 
 
 def read_csv(
@@ -96,14 +128,18 @@ def read_csv(
     types: dict[str, str] | None = None, on_surplus: str = "error", separator: str = ",",
 ) -> DataFrame:
     """A typed table. Without ``types``, or when surplus fields are an error, one scan
-    looks at the whole data first."""
-    cells = read_text_cells(spark, path, encoding, multi_line, separator)
-    if types is None or on_surplus == "error":
+    looks at the whole data first. With ``on_surplus="keep"`` a column ``__surplus`` holds
+    what a row has beyond the header: the field, or the whole line if there are several."""
+    if on_surplus not in ("error", "keep"):
+        raise ValueError('on_surplus is "error" or "keep"')
+    keep = on_surplus == "keep"
+    cells = read_text_cells(spark, path, encoding, multi_line, separator, keep)
+    if types is None or not keep:
         found, bad = inspect(cells)
-        if bad and on_surplus == "error":
+        if bad and not keep:
             raise CsvError(f"{bad} rows have more fields than the header")
         types = found if types is None else types
-    return typed(cells, types)
+    return typed(cells, types, keep)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

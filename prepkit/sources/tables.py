@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,12 +25,10 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder. Only where none is set, as in a local test, a
-    temporary one is made and set."""
+    """The folder that the driver and all executors share, as the cluster names it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="prepkit-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return folder
 
 

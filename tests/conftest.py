@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -10,7 +11,7 @@ from prepkit.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, "prepkit-tests", "4g")
+    session = local_session(4, "prepkit-tests", "4g", tempfile.mkdtemp(prefix="prepkit-tests-"))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

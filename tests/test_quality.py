@@ -1,8 +1,11 @@
+import random
+
 import pandas as pd
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from prepkit.operators import charts, quality, recommend
+from prepkit.operators import charts, frequency, quality, recommend
 from tests.conftest import by_column
 
 
@@ -75,12 +78,52 @@ def test_correlation_of_a_constant_is_null(spark):
 
 
 def test_rank_correlation_is_that_of_pandas(spark):
-    rows = [(float(i * 7 % 13), float(i * i % 11), None if i % 9 == 0 else i % 4 + 0.0) for i in range(60)]
-    pdf = pd.DataFrame(rows, columns=["a", "b", "c"]).dropna()
-    want = pdf.corr(method="spearman")
-    found = charts.rank_correlation(spark.createDataFrame(rows, "a double, b double, c double"), rows_per_bucket=4)
-    for row in found.collect():
-        assert abs(row["r"] - want.loc[row["column_a"], row["column_b"]]) < 1e-12
+    """Each pair over the rows in which both have a value, also when a third column has gaps."""
+    rng = random.Random(3)
+    rows = [tuple(None if rng.random() < share else float(rng.randint(0, 9)) for share in (0, 0, 0.2, 0.4)) for _ in range(40)]
+    found = charts.rank_correlation(
+        spark.createDataFrame(rows, "a double, b double, c double, d double"), rows_per_bucket=4)
+    expected = pd.DataFrame(rows, columns=list("abcd"), dtype=float).corr(method="spearman")
+    assert found.count() == 16
+    for r in found.collect():
+        assert r["r"] == pytest.approx(expected.loc[r["column_a"], r["column_b"]])
+
+
+def test_rank_correlation_with_one_gap(spark):
+    rows = [(1.0, 4.0, 1.0), (2.0, 6.0, 2.0), (3.0, 1.0, 3.0), (4.0, 5.0, 4.0), (5.0, 7.0, 5.0), (6.0, 8.0, None)]
+    found = charts.rank_correlation(spark.createDataFrame(rows, "a double, b double, c double"))
+    assert found.filter("column_a = 'a' AND column_b = 'b'").first()["r"] == pytest.approx(
+        pd.DataFrame(rows, columns=list("abc"))[["a", "b"]].corr(method="spearman").iloc[0, 1])
+
+
+def test_no_column_is_left_out(spark):
+    wide = spark.range(30).selectExpr(*[f"(id * {k + 3}) % 17 AS n{k}" for k in range(18)], *[
+        f"concat('t', id % {k + 2}) AS t{k}" for k in range(12)])
+    assert charts.correlation(wide).count() == 18 * 18
+    assert charts.correlation(wide, limit=4).count() == 16
+    plan = {(r["chart_type"], r["column_name"]) for r in charts.chart_plan(wide).collect()}
+    assert {("histogram", f"n{k}") for k in range(18)} | {("bar_chart", f"t{k}") for k in range(12)} <= plan
+    gaps = spark.range(4).selectExpr(*[f"CASE WHEN id = 1 THEN NULL ELSE id END AS g{k}" for k in range(12)])
+    first = quality.prioritized(quality.detected(gaps)).filter("issue_type = 'missing_values'").first()
+    assert len(first["columns_affected"]) == 12 and len(first["specific_recommendations"]) == first["issue_count"]
+
+
+def test_infinite_values_are_counted(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(1.0, "a"), (2.0, None), (inf, "a"), (-inf, None), (None, "a")], "x double, g string")
+    assert {r["bin"]: r["n"] for r in charts.histogram(df, "x", 2).collect()} == {-1: 1, 0: 1, 1: 1, 2: 1}
+    assert charts.scatter_grid(df, "x", "x", bins=2).groupBy().sum("n").first()[0] == 4
+    held = {(r["group"], r["bin"]): r["n"] for r in charts.violin(df, "x", "g", 2).collect()}
+    assert held == {("a", 0): 1, ("a", 2): 1, (None, 1): 1, (None, -1): 1}
+
+
+def test_top_values_behind_one_long_head(spark):
+    """However many texts share a head, a task passes on a few rows per column."""
+    head = "h" * 60
+    df = spark.range(3_000).selectExpr(f"concat('{head}', lpad(id, 6, '0')) AS t")
+    found = frequency.top_values(df, k=3)
+    assert [r["value"] for r in found.orderBy("rank").collect()] == [f"{head}{i:06d}" for i in range(3)]
+    assert found._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 2
 
 
 def test_histogram_edges(numbers):

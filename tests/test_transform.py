@@ -1,6 +1,8 @@
 import json
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 from prepkit.operators import broadcasts
 from prepkit.operators import transform as tr
@@ -27,10 +29,33 @@ def test_onehot_with_null(spark):
     assert [tuple(r)[1:] for r in out.collect()] == [(True, False), (False, False), (False, False), (False, True)]
 
 
-def test_onehot_of_too_many_values_is_refused(spark, monkeypatch):
-    monkeypatch.setattr(tr, "ONEHOT_LIMIT", 5)
+def test_onehot_of_very_many_values(spark):
+    many = spark.range(2_001).selectExpr("id AS i", "concat('v', id) AS k")
+    out = tr.transform(many, "encode_onehot", Params(columns=["k"], onehot_form="index"))
+    places = {r["i"]: r["k_hot"] for r in out.collect()}
+    order = sorted(range(2_001), key=lambda i: f"v{i}")
+    assert places == {i: None if n == 0 else n - 1 for n, i in enumerate(order)}
+    assert len(tr.transform(many.limit(60), "encode_onehot", Params(columns=["k"])).columns) == 60
+
+
+def test_constant_of_another_type_is_an_error(spark):
+    df = spark.createDataFrame([(1, "a"), (None, None)], "n bigint, k string")
     with pytest.raises(ValueError):
-        tr.transform(spark.range(10), "encode_onehot", Params(columns=["id"]))
+        tr.transform(df, "impute_constant", Params(columns=["k", "n"], constant_value="Unknown"))
+
+
+def test_modes_of_all_types_in_one_go(spark):
+    df = spark.createDataFrame([(2, 1.5, "b"), (10, 1.5, "a"), (10, 0.5, "b"), (2, None, "a"), (None, None, None)],
+                               "n int, v double, k string")
+    assert tr.modes_of(df, ["n", "v", "k"]) == {"n": "2", "v": "1.5", "k": "a"}
+
+
+def test_dedup_of_texts_shuffles_digests(spark):
+    df = spark.createDataFrame([("x" * 200, None), ("x" * 200, None), ("y", 1.0)], "t string, v double")
+    out = tr.transform(df, "remove_duplicates", Params())
+    assert out.count() == 2 and out.columns == ["t", "v"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(__digest" in plan and "hashpartitioning(t" not in plan
 
 
 @pytest.mark.parametrize("rows_per_bucket", [1_000_000, 2])
@@ -134,24 +159,24 @@ def test_affected_rows(spark):
 
 
 STEPS = [
-    Step("impute_mean", Params(columns=("v",))), Step("impute_median", Params(columns=("v",))),
-    Step("remove_duplicates"), Step("scale_standard", Params(columns=("v",))),
-    Step("encode_label", Params(columns=("s",)))]
+    Step(kind, Params(columns=columns, order_by=("i",), constant_value=4, target_dtype="float", new_name="w",
+                      filter_condition="v > 1 OR v IS NULL"))
+    for kind, columns in [(k, ("s",) if k.startswith("encode") else ("v",)) for k in tr.KINDS]]
 
 
 @pytest.fixture
 def small(spark):
-    rows = [(1.0, "a"), (None, "b"), (3.0, None), (3.0, None), (8.0, "a")]
-    return spark.createDataFrame(rows, "v double, s string")
+    rows = [(1, 1.0, "a"), (2, None, "b"), (3, 3.0, None), (3, 3.0, None), (5, 8.0, "a")]
+    return spark.createDataFrame(rows, "i int, v double, s string")
 
 
 def as_set(df):
     return sorted(map(tuple, df.collect()), key=str)
 
 
-@pytest.mark.parametrize("length", [0, 1, 3, 5])
-def test_replay_of_a_saved_pipeline_equals_its_steps(spark, small, length):
-    steps = STEPS[:length]
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.sampled_from(STEPS), max_size=4))
+def test_replay_of_a_saved_pipeline_equals_its_steps(spark, small, steps):
     dataset = Dataset(small)
     for s in steps:
         dataset = dataset.apply(s.kind, s.params)
@@ -177,6 +202,14 @@ def test_undo_and_clear(small):
 
 
 def test_a_failing_step_is_reported_and_skipped(small):
-    out, report = replay(small, [Step("filter_rows", Params(filter_condition="nowhere = 1")), STEPS[0]])
+    mean = Step("impute_mean", Params(columns=("v",)))
+    out, report = replay(small, [Step("filter_rows", Params(filter_condition="nowhere = 1")), mean])
     assert [r["success"] for r in report] == [False, True]
     assert out.filter("v IS NULL").count() == 0
+
+
+def test_a_step_that_fails_at_run_time_is_reported(small):
+    steps = [Step("filter_rows", Params(filter_condition="v / (i - i) > 1")), Step("remove_duplicates")]
+    out, report = replay(small, steps, checked=True)
+    assert [(r["success"], r.get("rows_after")) for r in report] == [(False, None), (True, 4)]
+    assert "DIVIDE_BY_ZERO" in report[0]["error"] and out.count() == 4
