@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import lru_cache
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +11,15 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is unset, as in a local test, a folder is made."""
+    """``spark.checkpoint.dir``; only where it is unset, as in a local test, a folder is made,
+    one per application."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="prepkit-llm-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return (folder or _own_folder(spark.sparkContext.applicationId)).rstrip("/")
+
+
+@lru_cache
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"prepkit-{application}-")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
