@@ -12,8 +12,11 @@ lowest part of the hash range, which is where the merged lists lie; the order of
 (long, hash), the same for every document, so the bound holds whatever is called long.
 
 Equal sets are one node from the start. Links are found up to connection: every list links its
-members to its head; lists whose members are then still in different components have these
-compared with each other, across components only. No link between components is left out.
+members to its head, the set that has the fewest shingles before this one and so, among near
+copies, the one with the fewest changes of its own; lists whose members are then still in different components have these
+compared with each other, across components only. There a shingle counts as the first that two
+sets share, so what stands before it in either set is not shared: whoever has it too late
+can only link to smaller sets that have it early. No link between components is left out.
 """
 
 from __future__ import annotations
@@ -70,11 +73,11 @@ def jaccard_links(base: DataFrame, percent: int, gram: int) -> tuple[DataFrame,
     long_lists = _long_lists(base, gram)
     members = stored(
         base.select("text").mapInArrow(in_pieces(_short_lists(gram, percent, long_lists)), POSTING)
-        .repartition("shingle", "part").sortWithinPartitions("shingle", "part", "node")
-        .mapInArrow(_merge, "shingle long, head long, node long, parted boolean"), "lists")
+        .repartition("shingle", "part").sortWithinPartitions("shingle", "part", "at", "node")
+        .mapInArrow(_merge, "shingle long, head long, node long, at int, parted boolean"), "lists")
     # A long list was merged in parts: the heads of its parts are a list again.
-    heads = members.where("parted").groupBy("shingle", F.col("head").alias("node")).agg(F.lit(1))
-    tops = heads.groupBy("shingle").agg(F.min("node").alias("head"))
+    heads = members.where("parted and node = head").select("shingle", "node", "at").distinct()
+    tops = heads.groupBy("shingle").agg(F.min_by("node", F.struct("at", "node")).alias("head"))
     across = heads.join(tops, "shingle").select("head", "node")
     stars = members.select("head", "node").union(across).where("head != node").distinct()
 
@@ -85,14 +88,16 @@ def jaccard_links(base: DataFrame, percent: int, gram: int) -> tuple[DataFrame,
         F.col("head").alias("a"), F.col("node").alias("b")), one, percent), percent, gram), "links")
 
     rooted = components(first)
-    held = members.join(rooted, "node", "left").select("shingle", "node", F.coalesce("root", "node").alias("root"))
+    held = members.join(rooted, "node", "left").select("shingle", "node", "at", F.coalesce("root", "node").alias("root"))
     split = (held.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"))
              .where("low < high").select("shingle"))
     apart = held.join(split, "shingle", "left_semi").join(one.select("node", "n"), "node")
-    x, y = apart.alias("x"), apart.alias("y")
-    # Only across components, and only where the sizes allow the similarity.
-    near = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") < F.col("y.root"))
-                  & (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent))
+    # What two sets can share from this shingle on, against what they have to share.
+    apart = stored(apart.withColumn("left", F.col("n") - F.col("at")), "apart")
+    x, y = apart.where(F.col("left") * (100 + percent) >= F.col("n") * (2 * percent)).alias("x"), apart.alias("y")
+    near = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root"))
+                  & (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
+                  & (F.least("x.left", "y.left") * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent))
     pairs = near.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     tried = stars.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
@@ -101,7 +106,7 @@ def jaccard_links(base: DataFrame, percent: int, gram: int) -> tuple[DataFrame,
 
 
 NODE = "id long, mark long, node long, n long, profile binary"
-POSTING = "shingle long, part int, node long"
+POSTING = "shingle long, part int, node long, at int"
 
 
 class _Sets:
@@ -182,7 +187,8 @@ def _short_lists(gram: int, percent: int, long_lists: np.ndarray):
         # Whatever may be long is merged in parts.
         parted = _within(known, h) | (h >= COUNTED_BELOW)
         part = np.where(parted, 1 + (node >> np.uint64(40)) % np.uint64(PARTS), np.uint64(0)).astype(np.int32)
-        return pa.record_batch([signed(h), pa.array(part), signed(node)], names=["shingle", "part", "node"])
+        at = np.concatenate([*map(np.arange, counts), np.empty(0, np.int64)]).astype(np.int32)
+        return pa.record_batch([signed(h), pa.array(part), signed(node), pa.array(at)], names=["shingle", "part", "node", "at"])
     return postings
 
 
@@ -201,7 +207,7 @@ def _merge(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        shingle, part, node = (np.asarray(batch.column(i)) for i in range(3))
+        shingle, part, node, at = (np.asarray(batch.column(i)) for i in range(4))
         new = np.ones(len(shingle), bool)
         new[1:] = (shingle[1:] != shingle[:-1]) | (part[1:] != part[:-1])
         goes_on = last == (shingle[0], part[0])
@@ -214,7 +220,7 @@ def _merge(batches):
         if goes_on:
             out[0] = node[0] != previous
         single = new & np.append(new[1:], False) & (part == 0)
-        columns = [shingle, heads, node, part > 0]
+        columns = [shingle, heads, node, at, part > 0]
         if new[-1] and part[-1] == 0:
             single[-1] = True  # decided by the next batch
         rows = [c[out & ~single] for c in columns]
@@ -222,11 +228,11 @@ def _merge(batches):
             rows = [np.insert(c, 0, p) for c, p in zip(rows, pending)]
             pending = None
         if new[-1] and part[-1] == 0:
-            pending = [shingle[-1], node[-1], node[-1], False]
+            pending = [shingle[-1], node[-1], node[-1], at[-1], False]
         elif not goes_on or new.any():
             pending = None
         last, head, previous = (shingle[-1], part[-1]), heads[-1], node[-1]
-        yield pa.record_batch([pa.array(c) for c in rows], names=["shingle", "head", "node", "parted"])
+        yield pa.record_batch([pa.array(c) for c in rows], names=["shingle", "head", "node", "at", "parted"])
 
 
 def _first(new: np.ndarray) -> int:
