@@ -35,42 +35,35 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(whole, "\n"), lambda x: F.translate(x, BLANK_CHARS, "") != "")
+    # Each step is a column of its own, so that what it uses twice is computed once.
     wide = docs.withColumn(HASHES, F.transform(words(whole), lambda w: F.xxhash64(w)))
     wide = wide.withColumn("n_words", F.size(HASHES).cast("long"))
-    wide = wide.withColumn(HASHES, F.when(F.col("n_words") > WINDOW, _windows(F.col(HASHES))).otherwise(F.array().cast("array<bigint>")))
-    repeated = F.when(F.size(F.array_distinct(HASHES)) < F.size(HASHES), _covered(F.col(HASHES))).otherwise(F.lit(0))
+    for width in (1, 2, 4):  # neighbours of one, two and four words make windows of eight
+        n = F.greatest(F.size(HASHES) - width, F.lit(0))
+        wide = wide.withColumn(HASHES, F.zip_with(
+            F.slice(HASHES, 1, n), F.slice(HASHES, width + 1, n), lambda a, b: F.xxhash64(a, b)))
+    wide = wide.withColumn(AGAIN, F.size(F.array_distinct(HASHES)) < F.size(HASHES))
+    # Repeated windows stand together when sorted by hash. Their places, sorted, cover eight
+    # words each or the way to the next one.
+    wide = wide.withColumn(PLACED, F.when(F.col(AGAIN), F.sort_array(F.transform(
+        HASHES, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
+    twins = F.filter(F.zip_with(PLACED, F.slice(PLACED, 2, F.size(PLACED)), lambda a, b: F.struct(
+        a["i"].alias("i"), b["i"].alias("j"), (a["h"] == b["h"]).alias("same"))), lambda p: p["same"])
+    wide = wide.withColumn(PLACED, F.sort_array(F.array_distinct(F.flatten(
+        F.transform(twins, lambda p: F.array(p["i"], p["j"]))))))
+    steps = F.zip_with(PLACED, F.slice(PLACED, 2, F.size(PLACED)), lambda a, b: F.least(
+        F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW))))
+    repeated = F.when(F.col(AGAIN), F.aggregate(steps, F.lit(0), lambda total, x: total + x)).otherwise(0)
     out = wide.withColumns({
         "word_chars": F.char_length(F.translate(whole, BLANK_CHARS, "")).cast("long"),
         "n_symbols": F.regexp_count(whole, F.lit(f"[{SYMBOLS}]")).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_repeat_words": repeated.cast("long"),
-    }).drop(HASHES)
+    }).drop(HASHES, AGAIN, PLACED)
     return out.withColumn("base_failed", (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30))
 
 
-HASHES = "__windows"
-
-
-def _windows(h: Column) -> Column:
-    """Hashes of all windows of eight, by joining neighbours of one, two and four."""
-    for width in (1, 2, 4):
-        h = F.zip_with(h, F.slice(h, F.lit(width + 1), F.greatest(F.size(h) - width, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-        # The last ones have no right neighbour.
-        h = F.slice(h, F.lit(1), F.greatest(F.size(h) - width, F.lit(0)))
-    return h
-
-
-def _covered(h: Column) -> Column:
-    """Words in windows found at least twice: repeated windows stand together when sorted by
-    hash; their places, sorted, cover eight words each or the way to the next one."""
-    placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    neighbours = F.zip_with(placed, F.slice(placed, F.lit(2), F.size(placed)), lambda a, b: F.struct(
-        a["i"].alias("i"), b["i"].alias("j"), (a["h"] == b["h"]).alias("same")))
-    twins = F.filter(neighbours, lambda p: p["same"])
-    places = F.sort_array(F.array_distinct(F.flatten(F.transform(twins, lambda p: F.array(p["i"], p["j"])))))
-    steps = F.zip_with(places, F.slice(places, F.lit(2), F.size(places)), lambda a, b: F.least(
-        F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW))))
-    return F.aggregate(steps, F.lit(0), lambda total, x: total + x)
+HASHES, AGAIN, PLACED = "__windows", "__again", "__placed"
 
 
 def rules(text: Column) -> dict[str, Column]:
