@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from prepkit.llm.text import FIRST, PIECE_BYTES, gram_hashes, mixed
 
@@ -39,9 +40,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kinds = dict(base.dtypes)["doc_id"], benchmark.schema[item_id].dataType.simpleString()
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, edits int, first long, n_chars long"
+    id_type = to_arrow_type(benchmark.schema[item_id].dataType)
     found = None
     for items in _blocks(base, benchmark, item_id, item_text, q, edits, block_bytes):
-        rows = base.mapInArrow(_reporter(items), schema)
+        rows = base.mapInArrow(_reporter(items, id_type), schema)
         found = rows if found is None else found.union(rows)
     if found is None:
         found = base.sparkSession.createDataFrame([], schema)
@@ -112,6 +114,8 @@ class _Index:
         place = np.minimum(place, len(self.known) - 1)
         hit = self.known[place] == h[at]
         at, place = at[hit], place[hit]
+        if not len(at):
+            return []
         n = self.first[place + 1] - self.first[place]
         at = np.repeat(at, n)
         entry = np.repeat(self.first[place] - np.cumsum(n) + n, n) + np.arange(len(at))
@@ -201,7 +205,7 @@ def _pieces(texts: list[str | None]):
         yield first, piece
 
 
-def _reporter(index):
+def _reporter(index, id_type: pa.DataType):
     def report(batches):
         for batch in batches:
             for first, texts in _pieces(batch.column("text").to_pylist()):
@@ -210,7 +214,7 @@ def _reporter(index):
                     text, item, edits, at, n = zip(*found)
                     yield pa.record_batch([
                         batch.column("doc_id").take(pa.array([first + t for t in text])),
-                        pa.array([index.value.items[i][0] for i in item]), pa.array(edits, pa.int32()),
+                        pa.array([index.value.items[i][0] for i in item], id_type), pa.array(edits, pa.int32()),
                         pa.array(at, pa.int64()), pa.array(n, pa.int64())],
                         names=["doc_id", "item_id", "edits", "first", "n_chars"])
     return report
