@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prepkit.llm.text import FIRST, SECOND, Words, in_pieces, mixed, texts_of
+from prepkit.llm.text import FIRST, PIECE_BYTES, SECOND, Words, in_pieces, mixed, texts_of
 
 #: The classifier is fitted on a sample of labelled rows: so many at most, the ones with the
 #: smallest seeded hash, as far as their texts fit into so many bytes.
-SAMPLE_ROWS, SAMPLE_BYTES = 6_000, 24_000_000
+SAMPLE_ROWS, SAMPLE_BYTES = 6_000, 16_000_000
 SIZE, NONZERO, REACH, UNITS = 64, 4, 2, 20_000
 HIDDEN, EPOCHS, RATE, BATCH, DECAY, SEED = 32, 60, 2e-3, 64, 1e-4, 5
 #: One training document in so many is kept apart for the temperature.
@@ -100,9 +100,8 @@ BYTE_KIND[65:91], BYTE_KIND[97:123], BYTE_KIND[48:58] = 1, 2, 3
 BYTE_KIND[list(b".,;:'\"?!-()")] = 4
 
 
-def _ids(w: Words, units: np.ndarray) -> np.ndarray:
+def _ids(word: np.ndarray, shape: np.ndarray, units: np.ndarray) -> np.ndarray:
     """The unit of each word: itself, else its shape, else the last one, a vector of zeros."""
-    word, shape = _units(w)
     at = np.minimum(np.searchsorted(units, word), len(units) - 1)
     other = units[at] != word
     odd = np.minimum(np.searchsorted(units, shape[other]), len(units) - 1)
@@ -115,7 +114,7 @@ def _pooled(texts: list[bytes], units: np.ndarray, vectors: np.ndarray) -> np.nd
     out = np.zeros((len(texts), 2 * vectors.shape[1] + 2), np.float32)
     if not len(w.hashes):
         return out
-    ids, owner, some = _ids(w, units), w.owner, w.counts > 0
+    ids, owner, some = _ids(*_units(w), units), w.owner, w.counts > 0
     starts = w.offsets[:-1][some]
     out[some, :SIZE] = np.add.reduceat(vectors[ids], starts) / w.counts[some, None]
     # A word again in the same text: sort words within texts and keep the first of equals.
@@ -133,12 +132,14 @@ def _pooled(texts: list[bytes], units: np.ndarray, vectors: np.ndarray) -> np.nd
 
 def _context_vectors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Random indexing over the training texts: units, and their context vectors of length one."""
-    w = Words(texts)
-    word, shape = _units(w)
+    parts = [Words(p) for p in _pieces(texts)]
+    word, shape = (np.concatenate(x) for x in zip(*map(_units, parts)))
+    counts = np.concatenate([p.counts for p in parts])
+    del parts
     seen, count = np.unique(word, return_counts=True)
     frequent = seen[np.argsort(-count, kind="stable")[:UNITS]]
     units = np.unique(np.concatenate([frequent[np.isin(frequent, seen[count >= 5])], shape, [np.uint64(0)]]))
-    ids, owner = _ids(w, units), w.owner
+    ids, owner = _ids(word, shape, units), np.repeat(np.arange(len(counts)), counts)
     keys = mixed(units[:, None] + np.arange(1, NONZERO + 1, dtype=np.uint64) * FIRST)
     place = (keys % np.uint64(SIZE)).astype(np.int64)
     sign = np.where(keys >> np.uint64(63), 1.0, -1.0)
@@ -157,6 +158,19 @@ def _context_vectors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return units, np.vstack([vectors, np.zeros((1, SIZE))]).astype(np.float32)
 
 
+def _pieces(texts: list[bytes]):
+    """The texts in pieces of bounded size; a longer text is a piece alone."""
+    piece, size = [], 0
+    for t in texts:
+        if piece and size + len(t) > PIECE_BYTES:
+            yield piece
+            piece, size = [], 0
+        piece.append(t)
+        size += len(t)
+    if piece:
+        yield piece
+
+
 def _forward(x: np.ndarray, layers: tuple) -> tuple[np.ndarray, np.ndarray]:
     w1, b1, w2, b2 = layers
     hidden = np.tanh(x @ w1 + b1)
@@ -169,7 +183,7 @@ def _train(texts: list[bytes], y: np.ndarray) -> Model:
         zero = (np.zeros((len(none), 1), np.float32), np.zeros(1), np.zeros(1, np.float32), 0.0)
         return Model(np.zeros(1, np.uint64), np.zeros((2, SIZE), np.float32), none, none + 1, zero, 1.0)
     units, vectors = _context_vectors(texts)
-    x = _pooled(texts, units, vectors)
+    x = np.vstack([_pooled(p, units, vectors) for p in _pieces(texts)])
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
     x = (x - centre) / scale
     apart = np.arange(len(y)) % CALIBRATION == 0
