@@ -73,6 +73,7 @@ def tokens(text):
 @pytest.mark.parametrize("copied", [0, 5, 10**6])
 def test_base_score(spark, copied, monkeypatch):
     monkeypatch.setattr(language_model, "MOST_COPIED", copied)
+    monkeypatch.setattr(language_model, "STEPS", 20)  # the base score needs no good model
     rows = cases.awkward_rows()
     docs = spark.createDataFrame(rows, cases.SCHEMA).repartition(3)
     got = language_model.scored(docs, F.crc32(F.col("doc_id").cast("string")) % 10 != 0).collect()
@@ -91,8 +92,9 @@ def test_base_score(spark, copied, monkeypatch):
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
 
 
-def test_classes_follow_their_context():
+def test_classes_follow_their_context(monkeypatch):
     """A cycle of classes is learnt, and every context's probabilities add up to one."""
+    monkeypatch.setattr(language_model, "STEPS", 500)
     k = language_model.CLASSES
     cycle = [3, 9, 4, 77, 9, 5]
     grams = Counter()
@@ -105,7 +107,8 @@ def test_classes_follow_their_context():
     assert (10.0 ** table[keys]).min() > 0.5
 
 
-def test_model_beats_the_base_on_held_out_texts(spark):
+def test_model_beats_the_base_on_held_out_texts(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "STEPS", 500)
     rng = random.Random(6)
     after = {w: rng.sample(cases.prose(rng, 60), 3) for w in cases.prose(rng, 60)}
     rows = []
