@@ -7,8 +7,7 @@ of all documents are merged at once by a shuffle on the shingle, sorted, so that
 list after list and holds nothing of them but their head. Candidates then probe the other
 party's sorted set by binary search, the long lists last, and give up as soon as T is out of reach.
 
-"Long" needs the lists' lengths. They are counted over all documents for the shingles in the
-lowest part of the hash range, which is where the merged lists lie; the order of the lists is
+"Long" needs the lists' lengths, which are counted over all documents. The order of the lists is
 (long, hash), the same for every document, so the bound holds whatever is called long.
 
 Equal sets are one node from the start. Links are found up to connection: every list links its
@@ -34,9 +33,6 @@ from prepkit.llm.text import (
 PERCENT, GRAM = 85, 4
 #: Lists longer than this are long, unless more than MOST_LONG would be.
 LONG_LIST, MOST_LONG = 64, 1_000_000
-#: The share of the hash range in which lists are counted.
-COUNTED = 0.3
-COUNTED_BELOW = np.uint64(int(COUNTED * 2**64))
 #: Long lists are merged in so many parts, whose heads are merged in turn.
 PARTS = 64
 #: Cells of the count profile that rules candidates out before their texts are fetched.
@@ -150,12 +146,13 @@ def _long_lists(base: DataFrame, gram: int) -> np.ndarray:
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         s = _Sets(texts_of(batch), gram)
         sets = [s.sets[i] for i in np.unique(s.nodes, return_index=True)[1]]
-        low = [h[:np.searchsorted(h, COUNTED_BELOW)] for h in sets]
-        h, n = np.unique(np.concatenate([*low, np.empty(0, np.uint64)]), return_counts=True)
+        h, n = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_counts=True)
         return pa.record_batch([signed(h), pa.array(n, pa.int64())], names=["shingle", "n"])
 
+    # A piece has counted its own; most shingles occur once, so hashing them again before the
+    # shuffle would only fill memory.
     lists = (base.select("text").mapInArrow(in_pieces(count, 4_000_000), "shingle long, n long")
-             .groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > LONG_LIST))
+             .repartition("shingle").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > LONG_LIST))
     lists = stored(lists, "long")
     by_size = {r["size"]: r["count"] for r in lists.groupBy(F.floor(F.log2("n")).alias("size")).count().collect()}
     least, held = 0, 0
@@ -184,8 +181,7 @@ def _short_lists(gram: int, percent: int, long_lists: np.ndarray):
             counts.append(keep)
         h = np.concatenate([*shingles, np.empty(0, np.uint64)])
         node = np.repeat(np.array(nodes, np.uint64), counts)
-        # Whatever may be long is merged in parts.
-        parted = _within(known, h) | (h >= COUNTED_BELOW)
+        parted = _within(known, h)
         part = np.where(parted, 1 + (node >> np.uint64(40)) % np.uint64(PARTS), np.uint64(0)).astype(np.int32)
         at = np.concatenate([*map(np.arange, counts), np.empty(0, np.int64)]).astype(np.int32)
         return pa.record_batch([signed(h), pa.array(part), signed(node), pa.array(at)], names=["shingle", "part", "node", "at"])
