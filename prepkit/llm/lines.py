@@ -4,16 +4,17 @@ Equal lines are one line first. Each distinct line is a set of character shingle
 signature holds, for each of a number of hash functions, the smallest hash of a shingle. The
 functions are one 64-bit hash XORed with constants, each a permutation of the hash range. Lines
 that agree on a band of the signature meet in a bucket. There every line is held against the
-bucket's leader by exact Jaccard similarity. Lines that fail are split by size and elect some
-leaders among themselves, more in every round, until each line has matched a leader or been one;
-a bucket of few lines is compared in full. Distributed
-union-find over the matches gives components, of which the first line stays.
+bucket's leader by exact Jaccard similarity, and distributed union-find over the matches gives
+components. In buckets that then still span several components, lines of different components
+are compared, matched or not: all with all where that is few pairs, else all with a share of
+them that grows every round until it is all. Of each component the first line stays.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 from math import log
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +29,12 @@ BANDS, ROWS = 8, 4
 #: Places of a signature in which lines have to agree to be compared: at similarity 0.8 they
 #: agree in fewer with a chance of 0.007 %.
 AGREE = BANDS * ROWS // 2
-#: Leaders of a bucket in its second round, on average; twice as many in each further one.
-LEADERS = 16
+#: Leaders of a bucket in the first round across components, on average; GROWTH times as many in
+#: each further one. Buckets with no more pairs across components than half as many for each of
+#: their lines are compared in full.
+LEADERS, GROWTH = 128, 4
+#: Places of a signature that share a word of the sketch: seven bits and a guard bit each.
+PLACES = 7
 #: The constants of the hash functions are multiples of this modulo 2 ** 64.
 STEP = 0x9E3779B97F4A7C15
 
@@ -83,7 +88,7 @@ def _lines(base: DataFrame) -> DataFrame:
 def _kept(base: DataFrame) -> DataFrame:
     """``id, mark, n_lines, kept`` of documents that have lines."""
     lines = _lines(base)
-    rooted = components(_links(lines))
+    rooted = _rooted(lines)
     places = lines.groupBy("line").agg(F.min(F.struct("id", "i", "mark")).alias("place"))
     named = places.join(rooted.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
     best = named.groupBy("root").agg(F.min("place").alias("best"))
@@ -108,8 +113,8 @@ def _last_place(wide: str) -> Column:
     return F.expr(f"cast(octet_length({wide}) / 4 as int) - {SHINGLE}")
 
 
-def _links(lines: DataFrame) -> DataFrame:
-    """``a, b``: lines that are like the leader of a bucket."""
+def _rooted(lines: DataFrame) -> DataFrame:
+    """``node`` and ``root`` of lines that are like another one of a bucket, by components."""
     enough = lines.where(F.char_length("content") >= SHINGLE)
     once = enough.groupBy("line").agg(F.first("content").alias("content"))
     # Still partitioned by line, so the signature needs no shuffle of its own.
@@ -120,35 +125,77 @@ def _links(lines: DataFrame) -> DataFrame:
     signature = hashed.groupBy("line").agg(*[
         F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(signed)])
     bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
-    sketch = F.array(*[F.expr(f"cast(m{k} & 127 as tinyint)") for k in range(BANDS * ROWS)])
-    signed_lines = stored(signature.select("line", bands.alias("bands"), sketch.alias("sketch")), "line-signatures")
+    signed_lines = stored(signature.select("line", bands.alias("bands"), *_sketch()), "line-signatures")
     buckets = signed_lines.select("line", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low < high")
-    open_ = stored(buckets.join(shared.select("bucket"), "bucket", "left_semi"), "line-members")
-    wanted = open_.select("line").distinct()
+    shared = buckets.groupBy("bucket").agg(F.min("line").alias("leader"), F.max("line").alias("high")).where("leader < high")
+    led = stored(buckets.join(shared.select("bucket", "leader"), "bucket").where("line != leader"), "line-members")
+    wanted = led.select("line").union(led.select("leader")).distinct()
     contents = lines.join(small_if_few(wanted), "line", "left_semi").groupBy("line").agg(F.first("content").alias("content"))
-    contents = stored(contents.join(signed_lines.select("line", "sketch"), "line"), "line-texts")
-    leaders = open_.groupBy("bucket").agg(F.min("line").alias("leader"))
-    led = open_.join(leaders, "bucket").where("line != leader")
-    links = [_alike(led.select("leader", "line").distinct(), contents)]
-    open_ = led.join(links[0], ["leader", "line"], "left_anti").select("bucket", "line")
-    # What is left of a bucket is cut by size: lines as alike as asked for share one of two classes.
-    left = _with_sets(contents.join(open_.select("line").distinct(), "line", "left_semi"), content="x")
-    size = F.floor(F.log(F.size("x")) / float(log(100 / PERCENT)))
-    sizes = left.select("line", F.explode(F.array(size, size + 1)).alias("class"))
-    open_ = open_.join(sizes, "line").select(F.xxhash64("bucket", "class").alias("bucket"), "line")
-    most = LEADERS
-    while not (open_ := stored(open_, "line-members")).isEmpty():
-        counts = open_.groupBy("bucket").agg(F.count("*").alias("n"), F.min("line").alias("low"))
-        share = F.pmod(F.xxhash64("bucket", "line", F.lit(most)), F.lit(1_000_000)) * F.col("n") < most * 1_000_000
-        held = open_.join(counts.where("n > 1"), "bucket").withColumn("leads", share | (F.col("line") == F.col("low")))
-        leaders = held.where("leads").select("bucket", F.col("line").alias("leader"))
-        pairs = held.join(leaders, "bucket").where("line != leader and (not leads or leader < line)")
-        links.append(_alike(pairs.select("leader", "line").distinct(), contents))
-        done = links[-1].select("line").distinct()
-        open_ = held.where("not leads").select("bucket", "line").join(done, "line", "left_anti")
-        most *= 2
-    return reduce(DataFrame.union, links).toDF("a", "b")
+    contents = stored(contents.join(signed_lines.drop("bands"), "line"), "line-texts")
+    sketches = contents.drop("content")
+    pairs = led.select("leader", "line").distinct()
+    pairs = pairs.join(_named(sketches, "x_", line="leader"), "leader").join(_named(sketches, "y_", line="line"), "line")
+    rooted = components(_alike(pairs.where(_agree("x_", "y_") >= AGREE), contents), "leader", "line")
+
+    # The leader has met all lines of its bucket. The others are cut by size: lines as alike as
+    # asked for share one of two classes.
+    members = _across(led.select("bucket", "line"), rooted).select("bucket", "line")
+    sizes = _with_sets(contents.join(members.select("line").distinct(), "line", "left_semi"), content="x")
+    sizes = sizes.select("line", *WORDS, F.size("x").alias("n"))
+    size = F.floor(F.log("n") / float(log(100 / PERCENT)))
+    members = members.join(sizes.withColumn("class", F.explode(F.array(size, size + 1))), "line")
+    members = members.withColumn("bucket", F.xxhash64("bucket", "class")).drop("class")
+    before, most = 0, LEADERS
+    while not (members := stored(_across(members, rooted), "line-members")).isEmpty():
+        held = members.withColumn("full", F.col("pairs") * 2 <= F.col("lines") * most)
+        place = F.pmod(F.xxhash64("bucket", "line"), F.lit(1_000_000)) * F.col("lines")
+        # Whoever led before has met all lines of the bucket. More leaders contain the fewer.
+        held = held.where(place >= before * 1_000_000).withColumn("leads", F.col("full") | (place < most * 1_000_000))
+        held = held.select("bucket", "line", "root", "n", "leads", *WORDS)
+        pairs = _named(held.where("leads"), "x_", bucket="bucket", line="leader").join(
+            _named(held, "y_", bucket="bucket", line="line"), "bucket")
+        pairs = pairs.where("x_root != y_root and (not y_leads or leader < line)")
+        pairs = pairs.where(F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * PERCENT).where(_agree("x_", "y_") >= AGREE)
+        links = _alike(pairs, contents).toDF("node", "root")
+        rooted = components(rooted.union(links), "node", "root")
+        members = members.where(F.col("pairs") * 2 > F.col("lines") * most)
+        before, most = most, most * GROWTH
+    return rooted
+
+
+def _across(members: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The members of buckets that span several components, with their ``root``, and of the
+    bucket the ``lines`` and the ``pairs`` across components."""
+    held = members.drop("root", "lines", "pairs").join(rooted.withColumnRenamed("node", "line"), "line", "left")
+    held = held.withColumn("root", F.coalesce("root", "line"))
+    counts = held.groupBy("bucket", "root").agg(F.count("*").alias("k")).groupBy("bucket").agg(
+        F.sum("k").alias("lines"), F.sum(F.col("k") * F.col("k")).alias("same"))
+    pairs = (F.col("lines") * F.col("lines") - F.col("same")) / 2
+    return held.join(counts.select("bucket", "lines", pairs.cast("long").alias("pairs")).where("pairs > 0"), "bucket")
+
+
+def _named(df: DataFrame, prefix: str, **names: str) -> DataFrame:
+    """Columns under the names given, all others with a prefix."""
+    return df.select(*[F.col(c).alias(names.get(c, prefix + c)) for c in df.columns])
+
+
+#: The words of a sketch, and for each the guard bits of its places.
+WORDS = [f"s{w}" for w in range(-(-BANDS * ROWS // PLACES))]
+GUARDS = [sum(0x80 << 8 * j for j in range(min(PLACES, BANDS * ROWS - w * PLACES))) for w in range(len(WORDS))]
+
+
+def _sketch() -> list[Column]:
+    """Seven bits of each place of a signature, in a few words."""
+    def part(k: int) -> Column:
+        return F.shiftleft(F.col(f"m{k}").bitwiseAND(F.lit(127)), 8 * (k % PLACES))
+
+    return [reduce(add, map(part, range(w * PLACES, min((w + 1) * PLACES, BANDS * ROWS)))).alias(name) for w, name in enumerate(WORDS)]
+
+
+def _agree(x: str, y: str) -> Column:
+    """In how many places two sketches agree: there a guard bit outlives the subtraction."""
+    return reduce(add, [F.bit_count((F.lit(g) - F.col(x + w).bitwiseXOR(F.col(y + w))).bitwiseAND(F.lit(g)))
+                        for w, g in zip(WORDS, GUARDS)])
 
 
 def _with_sets(df: DataFrame, **sets: str) -> DataFrame:
@@ -162,14 +209,10 @@ def _with_sets(df: DataFrame, **sets: str) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, contents: DataFrame) -> DataFrame:
-    """The pairs whose Jaccard similarity over shingles reaches the threshold. Signatures that
-    agree in too few places for that rule a pair out before its texts are compared."""
-    sketches = contents.select("line", "sketch")
-    both = pairs.join(sketches.toDF("leader", "s"), "leader").join(sketches.toDF("line", "t"), "line")
-    agree = F.size(F.filter(F.zip_with("s", "t", lambda x, y: x == y), lambda same: same))
-    likely = both.where(agree >= AGREE).select("leader", "line")
+    """The pairs, ``leader`` and ``line``, whose Jaccard similarity over shingles reaches the threshold."""
     texts = contents.select("line", "content")
-    both = likely.join(texts.toDF("leader", "one"), "leader").join(texts.toDF("line", "other"), "line")
+    both = pairs.select("leader", "line").distinct()
+    both = both.join(texts.toDF("leader", "one"), "leader").join(texts.toDF("line", "other"), "line")
     sets = _with_sets(both, one="x", other="y").select("leader", "line", "x", "y")
     shared = sets.select("leader", "line", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("all"))
     return stored(shared.where(F.col("n") * 100 >= (F.col("all") - F.col("n")) * PERCENT).select("leader", "line"), "line-pairs")

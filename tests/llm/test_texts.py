@@ -196,6 +196,25 @@ def test_lines_kept(spark):
     assert extra <= 0.02 * len(placed)
 
 
+@pytest.mark.parametrize("leaders", [None, 1])
+def test_lines_like_a_matched_line(spark, monkeypatch, leaders):
+    """Chains L ~ A ~ B with L and B apart, and buckets of several such lines."""
+    if leaders:
+        monkeypatch.setattr(lines, "LEADERS", leaders)
+    rng = random.Random(12)
+    chains = []
+    for _ in range(100):
+        base = [rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(148)]
+        chain = ["".join(["s", *base, "t"])]
+        for at in (40, 100):
+            chain.append(chain[-1][:at] + "#" + chain[-1][at + 1:])
+        assert similar(chain[0], chain[1]) and similar(chain[1], chain[2]) and not similar(chain[0], chain[2])
+        chains.append(chain)
+    docs = [(i, "\n".join(chain)) for i, chain in enumerate(chains)]
+    got = {r.doc_id: r.kept for r in lines.kept_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: [0] for i, _ in docs}
+
+
 def test_text_of_kept_lines(spark):
     table = spark.createDataFrame([(2, "one line of text\nanother one here\n\nshort"), (1, "One line of text\nshort"), (3, None)],
                                   "doc_id long, text string")
