@@ -19,6 +19,8 @@ from prepkit.llm.scratch import shared_folder
 from prepkit.llm.sharding import shuffled_shards
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Near copies share 80 % of their five-word shingles; op6_ngram_jaccard has 85 % of four words.
+PERCENT, GRAM = 80, 5
 
 
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +34,7 @@ def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id. Documents
     without a word or an id are in no group and stay."""
-    groups = jaccard_components(docs)
+    groups = jaccard_components(docs, percent=PERCENT, gram=GRAM)
     others = groups.where("n_shingles > 0 and doc_id != component_id").select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
 

@@ -57,6 +57,16 @@ def test_pipeline_stages_keep_their_word(spark, tmp_path):
     assert set(held[-1].columns) == {*docs.columns, "shard", "slot"}
 
 
+def test_pipeline_takes_five_words_and_80_percent(spark):
+    """Two of 100 words changed: 86 of 106 five-word shingles, but 89 of 105 of four words. With
+    three changed, 81 of 111."""
+    base = [f"w{i}" for i in range(100)]
+    changed = lambda places: " ".join(f"x{w}" if i in places else w for i, w in enumerate(base))
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, changed((30, 60))), (3, changed((10, 50, 80)))], "doc_id long, text string")
+    docs = docs.selectExpr("doc_id", "text", "'en' AS lang", "'web' AS source", "1L AS n_chars")
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, SF_DIR).collect()) == [1, 3]
+
+
 def test_pipeline_with_awkward_rows(spark):
     from tests.llm import cases
     rows = [(i, t, lang, s, n) for i, t, lang, s, n, *_ in cases.awkward_rows()]
