@@ -1,6 +1,6 @@
 """Licence scan by canonical digest.
 
-A text is brought to a canonical form (lower case, no copyright lines, no punctuation, one
+A text is brought to a canonical form (lower case, no copyright statements, no punctuation, one
 spelling where several are in use, single blanks), and the digest of the whole form is joined
 with the digests of known licences. The known texts go through the same form.
 """
@@ -12,8 +12,18 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Lines that state a copyright, and spellings in use for the same word.
-COPYRIGHT_LINE = r"^\s*(copyright\b|\(c\)|©|all rights reserved).*$"
+from prepkit.llm.known_licences import DIGESTS, TEXTS
+
+#: How licences go on after a copyright statement on the same line, and how lines of
+#: their texts go on that begin with the word.
+OPENINGS = (r"(permission is hereby granted|permission to use|redistribution and use|everyone is permitted|licensed under|"
+            r"released under|this work is licensed|this program is free|this library is free|this file is part|"
+            r"this is free and unencumbered|this source code form|spdx license identifier|spdx-license-identifier)")
+BODY = r"(?!\s+(holders?|owners?|notices?|laws?|licen[sc]e|statements?|permission|disclaimer|interest|treaty|and|or|in|on|the|to)\b)"
+#: A statement ends with its line, or where the licence begins. Amid a line it is one only before that.
+STATEMENT = (rf"(?m)^\s*(copyright\b{BODY}|\(c\)(?=\s*(copyright|by\b|[\d<\[©]))|©|all rights reserved).*?(?=\b{OPENINGS}|$)"
+             rf"|\bcopyright\s+(\(c\)|©|\d{{4}}).*?(?=\b{OPENINGS})")
+#: Spellings in use for the same word.
 SPELLINGS = (("licence", "license"), ("sub license", "sublicense"), ("non infringement", "noninfringement"),
              ("merchantibility", "merchantability"), ("organisation", "organization"), ("favour", "favor"),
              ("whilst", "while"), ("per cent", "percent"), ("acknowledgement", "acknowledgment"),
@@ -76,7 +86,7 @@ KNOWN: tuple[tuple[str, str], ...] = (
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text; "" for one without letters or digits, NULL for NULL."""
-    text = F.regexp_replace(F.lower(text), "(?m)" + COPYRIGHT_LINE, "")
+    text = F.regexp_replace(F.lower(text), STATEMENT, "")
     text = F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "))
     for old, new in SPELLINGS:
         text = F.replace(text, F.lit(old), F.lit(new))
@@ -87,12 +97,15 @@ def digest(form: Column) -> Column:
     return F.when(form != "", F.sha2(form, 256))
 
 
-def known_licences(spark: SparkSession, texts: Mapping[str, str] | tuple = KNOWN) -> DataFrame:
-    """``license`` and ``digest`` of known texts, one row per digest."""
-    rows = list(texts.items() if isinstance(texts, Mapping) else texts)
+def known_licences(spark: SparkSession, texts: Mapping[str, str] | tuple | None = None) -> DataFrame:
+    """``license`` and ``digest`` of known texts, one row per digest; without texts, of all that
+    this package knows."""
+    rows = list(KNOWN + TEXTS if texts is None else texts.items() if isinstance(texts, Mapping) else texts)
     known = spark.createDataFrame(rows, "license string, text string")
-    return (known.select("license", digest(canonical(F.col("text"))).alias("digest"))
-            .where("digest is not null").groupBy("digest").agg(F.min("license").alias("license")))
+    known = known.select("license", digest(canonical(F.col("text"))).alias("digest")).where("digest is not null")
+    if texts is None:
+        known = known.union(spark.createDataFrame([(name, held) for held, name in DIGESTS.items()], known.schema))
+    return known.groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def licences(docs: DataFrame, known: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,6 +114,23 @@ def test_licences(spark):
                           (6, None, (), False), (-1, None, two, False), (2, None, two, False)], key=str)
 
 
+def test_usual_licences_are_known(spark):
+    from prepkit.llm import known_licences as known
+    by = "Copyright (c) 2020 Some One"
+    bsd = [t for name, t in known.TEXTS if name == "BSD-3-Clause"]
+    whole = [("MIT", f"{by} {licences.MIT}".replace("\n", " ")), ("MIT", f"MIT License {by} {licences.MIT}".replace("\n", " ")),
+             ("MIT", f"{by}. All rights reserved. " + licences.MIT.replace("\n", " ")), ("BSD-3-Clause", f"{by}\nAll rights reserved.\n\n{bsd[0]}"),
+             ("BSD-3-Clause", bsd[0].replace(" ", "\n")), ("Unlicense", known.UNLICENSE), ("MPL-2.0", known.MPL_HEADER.format(scheme="http")),
+             ("GPL-2.0", f"{by}\n\n" + known.GNU_HEADER.format(what="program", kind="", version="2"))]
+    for name, held in (("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("Apache-2.0", "Apache-2.0"), ("MPL-2.0", "MPL-2.0"), ("LGPL-3.0", "LGPL-3")):
+        if (path := Path("/usr/share/common-licenses", held)).exists():
+            whole.append((name, path.read_text()))
+    docs = [(i, t) for i, (_, t) in enumerate(whole)] + [(100, "code\nLicensed under the BSD 3-Clause License.\n// SPDX-License-Identifier: GPL-2.0-or-later")]
+    got = {r.doc_id: r for r in licences.licences(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [got[i].license for i in range(len(whole))] == [name for name, _ in whole]
+    assert got[100].license is None and got[100].noted == ["BSD-3-Clause", "GPL-2.0"]
+
+
 def test_licences_of_no_documents(none):
     assert licences.licences(none).count() == 0
 
