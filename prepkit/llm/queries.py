@@ -11,11 +11,14 @@ import corpus_pipeline
 from prepkit.llm import language_model, quality, rules
 from prepkit.llm.curriculum import planned
 from prepkit.llm.decontamination import leaks
+from prepkit.llm.filter_audit import filter_audit
 from prepkit.llm.jaccard import jaccard_components
 from prepkit.llm.licences import KNOWN, SPELLINGS, licences
 from prepkit.llm.lines import kept_lines
+from prepkit.llm.merkle import altered_text, manifest
 from prepkit.llm.repeats import remove_repeats
 from prepkit.llm.sharding import shuffled_shards
+from prepkit.llm.token_counts import token_counts
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -81,6 +84,21 @@ def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"), altered_text(F.col("doc_id"), F.col("text")))
+
+
+def counted_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        return token_counts(table(spark, sf_dir, "documents"), file.read())
+
+
+def filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "pipeline": corpus_pipeline.run,
@@ -94,6 +112,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": quality_rules,
         "op9_lm_scoring": lm_scoring,
         "op10_sharding": sharding,
+        "op11_merkle_manifest": merkle_manifest,
+        "op12_token_counts": counted_tokens,
+        "op13_filter_audit": filter_interactions,
     }
 
 
@@ -103,6 +124,8 @@ def oracle_sql() -> dict[str, str]:
         "op3_license_scan": licence_sql(),
         "op6_ngram_jaccard": JACCARD_SQL,
         "op8_quality_rules": RULES_SQL,
+        "op11_merkle_manifest": merkle_sql(),
+        "op13_filter_audit": AUDIT_SQL,
     }
 
 
@@ -192,3 +215,87 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR len(regexp_extract_all(text, '\\p{{L}}')) * 100 < word_chars * 60
     OR len(regexp_extract_all(text, '\\p{{Lu}}')) > len(regexp_extract_all(text, '\\p{{Ll}}'))) AS kept
 FROM f"""
+
+
+def checksum(text: str) -> str:
+    """CRC-32 of a short text in SQL: a step per bit; every eighth takes in the next byte."""
+    steps = f"flatten([[ord(c), 0, 0, 0, 0, 0, 0, 0] FOR c IN string_split({text}, '')])"
+    fold = ("list_reduce(list_prepend(CAST(4294967295 AS BIGINT), CAST(" + steps + " AS BIGINT[])), lambda h, x: "
+            "xor(xor(h, x) >> 1, (xor(h, x) & 1) * 3988292384))")
+    return f"xor({fold}, 4294967295)"
+
+
+def merkle_sql(heights: tuple[int, int] = (6, 4)) -> str:
+    """Trees of up to 16 ** 6 documents a source and 16 ** 4 sources, level by level. A node
+    alone is carried up as it is."""
+    fields = " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in (
+        "CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", "{text}"))
+    letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+    def levels(name: str, group: str, height: int) -> str:
+        return "".join(f"""
+{name}{k + 1} AS (
+  SELECT {group}, i // 16 AS i, CASE WHEN max(n) > 1 THEN sha256(string_agg(d, '' ORDER BY i)) ELSE min(d) END AS d,
+    (max(n) + 15) // 16 AS n
+  FROM {name}{k} GROUP BY {group}, i // 16),""" for k in range(height))
+
+    def steps(name: str, group: str, height: int) -> str:
+        """Per lowest node and level the siblings on both sides."""
+        return " UNION ALL ".join(f"""
+  SELECT x.{group} AS g, x.i, {k} AS k, coalesce(string_agg(s.d, '' ORDER BY s.i) FILTER (s.i < x.i // {16 ** k}), '') AS l,
+    coalesce(string_agg(s.d, '' ORDER BY s.i) FILTER (s.i > x.i // {16 ** k}), '') AS r
+  FROM {name}0 x JOIN {name}{k} s ON s.{group} = x.{group} AND s.i // 16 = x.i // {16 ** (k + 1)} AND s.n > 1
+  GROUP BY ALL""" for k in range(height))
+
+    low, high = heights
+    return f"""
+WITH leaves AS (
+  SELECT doc_id, coalesce('+' || source, '') AS g, sha256({fields.format(text='text')}) AS d,
+    CASE WHEN {checksum('CAST(doc_id AS VARCHAR)')} % 5 = 0 THEN sha256({fields.format(text=f'translate(text, {letters})')}) END AS t
+  FROM documents),
+a0 AS (SELECT doc_id, g, d, t, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY g) AS n
+  FROM leaves WINDOW w AS (PARTITION BY g ORDER BY doc_id NULLS FIRST, d)),{levels('a', 'g', low)}
+b0 AS (SELECT 0 AS z, g AS member, d, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM a{low}),{levels('b', 'z', high)}
+a_steps AS ({steps('a', 'g', low)}),
+b_steps AS ({steps('b', 'z', high)}),
+path AS (
+  SELECT g, i, k, l, r FROM a_steps
+  UNION ALL SELECT a0.g, a0.i, 100 + k, l, r FROM a0 JOIN b0 ON member = a0.g JOIN b_steps s ON s.i = b0.i),
+ways AS (SELECT g, i, string_agg(l || r, '' ORDER BY k) AS siblings, list({{l: l, r: r}} ORDER BY k) AS way FROM path GROUP BY g, i),
+folds AS (
+  SELECT a0.doc_id, a0.d AS leaf, b0.d AS subroot, top.d AS root, sha256(coalesce(siblings, '')) AS proof_sha256,
+    CASE WHEN a0.t IS NULL THEN top.d ELSE list_reduce(
+      list_prepend({{l: a0.t, r: ''}}, coalesce(way, [])), lambda x, y: {{l: sha256(y.l || x.l || y.r), r: ''}}).l END AS folded_root
+  FROM a0 JOIN b0 ON member = a0.g CROSS JOIN b{high} top LEFT JOIN ways ON ways.g = a0.g AND ways.i = a0.i)
+SELECT *, folded_root = root AS verified FROM folds"""
+
+
+AUDIT_SQL = f"""
+WITH w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '{WORD}') AS words FROM documents),
+said AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    [len(words) < 50, 100 * len(list_distinct(words)) < 65 * len(words),
+     100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text), regexp_matches(text, '[#$%&*|]'),
+     coalesce(min(doc_id) OVER (PARTITION BY text) < doc_id, false)] AS fails
+  FROM w LEFT JOIN said USING (doc_id)),
+f AS (SELECT unnest(range(1, 6)) AS f),
+o AS (
+  SELECT [a.f, b.f, c.f, d.f, e.f] AS o FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+masks AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY part, fails),
+steps AS (
+  SELECT part, o, s, o[s] AS f,
+    sum(n) FILTER (NOT list_bool_or([fails[x] FOR x IN o[:s]])) AS kept,
+    sum(n) FILTER (fails[o[s]] AND NOT coalesce(list_bool_or([fails[x] FOR x IN o[:s - 1]]), false)) AS removed,
+    sum(n) FILTER (fails[o[s]] AND coalesce(list_bool_or([fails[x] FOR x IN o[:s - 1]]), false)) AS redundant,
+    sum(n) FILTER (fails[o[s]] AND len(list_filter(fails, lambda x: x)) = 1) AS unique_fails,
+    sum(good) FILTER (fails[o[s]] AND NOT coalesce(list_bool_or([fails[x] FOR x IN o[:s - 1]]), false)) AS good_lost,
+    sum(toxic) FILTER (fails[o[s]] AND NOT coalesce(list_bool_or([fails[x] FOR x IN o[:s - 1]]), false)) AS toxic_lost
+  FROM masks, o, (SELECT unnest(range(1, 6)) AS s) GROUP BY part, o, s)
+SELECT part, array_to_string([substr('ABCDE', CAST(x AS INTEGER), 1) FOR x IN o], '') AS filter_order, CAST(s AS INTEGER) AS step,
+  {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, f), 0) AS BIGINT) AS shapley
+FROM steps"""
