@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 SMALL_BYTES = 32 * 1024 * 1024
 
 
-def broadcast_if_small(frame: DataFrame, most: int | None = None) -> DataFrame:
+def broadcast_if_small(frame: DataFrame, most: int | None = None, known: int | None = None) -> DataFrame:
     """Broadcast a lookup table after measuring it; a larger one is left to a shuffle
     join, whose hot keys adaptive execution splits. The measuring pass is cheap beside
-    shuffling the table that looks things up."""
+    shuffling the table that looks things up, and left out where the table is ``known`` to
+    take no more than so many bytes and that is little enough."""
+    if known is not None and known <= (SMALL_BYTES if most is None else most):
+        return F.broadcast(frame)
     size = sum((F.octet_length(F.col(c).cast("string")) + 8 for c in frame.columns), F.lit(0))
     held = frame.agg(F.coalesce(F.sum(F.coalesce(size, F.lit(8))), F.lit(0))).first()[0]
     return F.broadcast(frame) if held <= (SMALL_BYTES if most is None else most) else frame

@@ -167,44 +167,63 @@ def rank_correlation(
     """Spearman matrix, long form, both triangles; each pair over the rows in which both
     columns have a value.
 
-    Ranks depend on the rows they are taken over: columns are ranked once for all partners
-    without gaps, and anew for every partner that has some.
+    Ranks depend on the rows they are taken over. A column's distinct values are sorted once;
+    beside the count of its rows each carries, for every partner with gaps, the count of rows the
+    partner misses, and the running sums give the ranks towards all partners.
     """
     names = _correlated(df, columns, limit)
+    places = range(len(names))
     values = df.select(*[present_double(c).alias(f"x_{i}") for i, c in enumerate(names)])
-    held = values.agg(F.count(F.lit(1)).alias("rows"), *[F.count(f"x_{i}").alias(f"n_{i}") for i in range(len(names))]).first()
-    gapped = [i for i in range(len(names)) if held[f"n_{i}"] < held["rows"]]
-    whole = [i for i in range(len(names)) if i not in gapped]
-    # All pairs of columns without gaps at once, then each gapped column with those, then
-    # pairs of gapped columns by themselves.
-    groups = [(whole, ())] if whole else []
-    groups += [([i, *whole], (i,)) for i in gapped]
-    groups += [([i, j], (i, j)) for k, i in enumerate(gapped) for j in gapped[k + 1:]]
-    parts, done = [], set()
-    for members, present in groups:
-        rows = values.dropna(subset=[f"x_{i}" for i in present]) if present else values
-        wanted = [(a, b) for a in members for b in members if (a, b) not in done]
-        done.update(wanted)
-        matrix = _rank_matrix(rows, [f"x_{i}" for i in members], rows_per_bucket)
-        index = {f"x_{i}": names[i] for i in members}
-        label = F.create_map(*[F.lit(x) for pair in index.items() for x in pair])
-        asked = {(f"x_{a}", f"x_{b}") for a, b in wanted}
-        pair = F.concat_ws(" ", "column_a", "column_b")
-        parts.append(matrix.filter(pair.isin([f"{a} {b}" for a, b in sorted(asked)])).select(
-            label[F.col("column_a")].alias("column_a"), label[F.col("column_b")].alias("column_b"), "r"))
+    held = values.agg(F.count(F.lit(1)).alias("rows"), *[F.count(f"x_{i}").alias(f"n_{i}") for i in places]).first()
+    gapped = [i for i in places if held[f"n_{i}"] < held["rows"]]
+    shared = _shared_rows(values, gapped)
+
+    def rows_of(i: int, j: int) -> int:
+        return shared[i, j] if (i, j) in shared else min(held[f"n_{i}"], held[f"n_{j}"])
+
+    def rank(i: int, j: int) -> str:
+        """The column that holds the ranks of i among the rows that j has a value in."""
+        return f"r_{i}_{j}" if j in gapped and j != i else f"r_{i}"
+
+    ranked = values
+    for i in places:
+        partners = [j for j in gapped if j != i]
+        counts = values.where(F.col(f"x_{i}").isNotNull()).groupBy(F.col(f"x_{i}").alias("value")).agg(
+            F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(f"x_{j}").isNull()).alias(f"r_{i}_{j}") for j in partners])
+        most = held[f"n_{i}"]
+        ranks = average_ranks(counts, rows_per_bucket, [f"r_{i}_{j}" for j in partners], most).withColumnsRenamed(
+            {"value": f"x_{i}", "rank": f"r_{i}"})
+        lookup = broadcast_if_small(ranks, known=16 * most * (2 + len(partners)))
+        ranked = ranked.join(lookup, f"x_{i}", "left" if i in gapped else "inner")
+    parts = []
+    for chunk in chunks([(i, j) for i in places for j in places[i:]], lambda _: 6):
+        sums, rows = [], []
+        for i, j in chunk:
+            # Relative to the mean of ranks 1 to n, so the sums keep their precision.
+            middle = (rows_of(i, j) + 1) / 2
+            x, y = F.col(rank(i, j)) - middle, F.col(rank(j, i)) - middle
+            both = F.col(f"x_{i}").isNotNull() & F.col(f"x_{j}").isNotNull()
+            own = [x * y, x * x, y * y]
+            sums += [F.sum(F.when(both, v)).alias(f"{kind}_{i}_{j}") for kind, v in zip(("xy", "xx", "yy"), own)]
+            xy, xx, yy = (F.col(f"{kind}_{i}_{j}") for kind in ("xy", "xx", "yy"))
+            varies = (xx > 0) & (yy > 0)
+            r = F.when(varies, xy / F.when(varies, F.sqrt(xx) * F.sqrt(yy)))
+            rows += [F.struct(F.lit(names[a]).alias("column_a"), F.lit(names[b]).alias("column_b"), r.alias("r"))
+                     for a, b in dict.fromkeys([(i, j), (j, i)])]
+        parts.append(ranked.agg(*sums).select(F.inline(F.array(*rows))))
     return union_all(parts)
 
 
-def _rank_matrix(values: DataFrame, names: Sequence[str], rows_per_bucket: int) -> DataFrame:
-    """Pearson matrix of the average ranks of columns without gaps."""
-    rows, ranked = values.count(), values.select(*names)
-    for name in names:
-        counts = values.groupBy(F.col(name).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-        ranks = average_ranks(counts, rows_per_bucket).select(
-            F.col("value").alias(name), F.col("rank").alias(f"r_{name}"))
-        ranked = ranked.join(broadcast_if_small(ranks), name)
-    of = {c: {"mean": (rows + 1) / 2, "missing": 0, "constant": False} for c in names}
-    return _pearson(ranked.select(*[F.col(f"r_{c}").alias(c) for c in names]), names, of)
+def _shared_rows(values: DataFrame, gapped: Sequence[int]) -> dict[tuple[int, int], int]:
+    """Rows in which both columns have a value, for pairs of columns with gaps."""
+    found = {}
+    pairs = [(i, j) for i in gapped for j in gapped if i < j]
+    for chunk in chunks(pairs, lambda _: 1):
+        counted = values.agg(*[F.count_if(F.col(f"x_{i}").isNotNull() & F.col(f"x_{j}").isNotNull()).alias(f"n_{i}_{j}")
+                               for i, j in chunk]).first()
+        for i, j in chunk:
+            found[i, j] = found[j, i] = counted[f"n_{i}_{j}"]
+    return found
 
 
 def _gap(df: DataFrame, name: str) -> Column:

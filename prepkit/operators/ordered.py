@@ -1,8 +1,8 @@
 """Operators that need a global row order, spread over many tasks.
 
-The order key is cut into buckets at sampled edges. Buckets follow each other in
-order, so whatever has to pass from one to the next (a running count, the last
-value seen) is one small row per bucket.
+The order key is cut into buckets at two levels of sampled edges: a few coarse edges, and
+within each coarse part edges of its own. Buckets follow each other in order, so whatever has to
+pass from one to the next (a running count, the last value seen) is one small row per bucket.
 """
 
 from __future__ import annotations
@@ -13,60 +13,88 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prepkit.functions.columns import FRACTIONAL_TYPES, col, require_columns
+from prepkit.functions.columns import FRACTIONAL_TYPES, col, is_text, require_columns
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 32_768
-#: Sampled keys per bucket; more gives evener buckets.
-SAMPLES_PER_BUCKET = 8
+#: Buckets of a coarse part, as long as the coarse parts are fewer than that too.
+FINE = 1_024
+#: Sampled keys per edge, within the coarse parts and between them; more gives evener buckets.
+SAMPLES_PER_EDGE, SAMPLES_PER_COARSE_EDGE = 8, 64
+#: Letters of a text that an edge keeps. A shortened text is an edge as good as any.
+EDGE_LETTERS = 64
+#: Values of the hash that picks the sampled keys.
+HASHES = 1 << 40
 
-BUCKET = "__bucket"
+BUCKET, COARSE, EDGES = "__bucket", "__coarse", "__edges"
 
 
 def with_bucket(
     df: DataFrame, order_by: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:
-    """Add the bucket number of each row under ``order_by``.
+    """Add the bucket number of each row under ``order_by``, ascending with the order.
 
-    Counts the rows and collects a bounded sample of keys. The sample decides how
-    even the buckets are, not what any operator returns.
+    Keys are sampled by their hash, so the sample follows from the data and not from how it
+    lies in partitions, and a key counts once however often it occurs. It decides how even
+    the buckets are, not what any operator returns. There are as many buckets as the rows
+    ask for. To the driver come the coarse edges, as many as the root of the number of
+    buckets, and an edge of bounded length per bucket, which is broadcast.
     """
     require_columns(df, order_by)
     rows = df.count()
-    buckets = min(MAX_BUCKETS, -(-rows // rows_per_bucket)) if rows else 1
-    if buckets == 1:
-        return df.withColumn(BUCKET, F.lit(0))
-    edges = _edges(df, order_by, rows, buckets)
-    return df.withColumn(BUCKET, _edges_passed(df, order_by, edges))
+    buckets = -(-rows // rows_per_bucket)
+    if buckets <= 1:
+        return df.withColumn(BUCKET, F.lit(0).cast("long"))
+    parts = max(-(-buckets // FINE), 1 if buckets <= FINE else int(buckets ** 0.5))
+    fine = -(-buckets // parts)
+    keys, edge_type = _edge_keys(df, order_by)
+    sampled = df.select(F.struct(*keys).alias("key")).where(_sampled(order_by, buckets / rows)).distinct()
+    coarse = _coarse_edges(sampled, parts, min(rows, buckets * SAMPLES_PER_EDGE))
+    spark = df.sparkSession
+    in_parts = sampled.withColumn(COARSE, _edges_passed(F.from_json(F.lit(coarse), edge_type), F.col("key"), parts))
+    tables = in_parts.groupBy(COARSE).agg(F.to_json(_spaced(F.array_sort(F.collect_list("key")), fine)).alias("json"))
+    rows_of = spark.createDataFrame(tables.collect(), tables.schema)  # an edge of bounded length per bucket
+    table = F.broadcast(rows_of.select(COARSE, F.from_json("json", edge_type).alias(EDGES)))
+    key = F.struct(*[col(c).alias(f"k{i}") for i, c in enumerate(order_by)])
+    cut = df.withColumn(COARSE, _edges_passed(F.from_json(F.lit(coarse), edge_type), key, parts)).join(table, COARSE, "left")
+    passed = F.coalesce(_edges_passed(F.col(EDGES), key, fine), F.lit(0))
+    return cut.withColumn(BUCKET, F.col(COARSE).cast("long") * (1 << 32) + passed).select(*[col(c) for c in df.columns], BUCKET)
 
 
-def _edges(df: DataFrame, order_by: Sequence[str], rows: int, buckets: int) -> str:
-    """Sampled keys at even distances, sorted, as one JSON array."""
-    share = min(1.0, buckets * SAMPLES_PER_BUCKET / rows)
-    step = max(1, round(rows * share / buckets))
-    key = F.struct(*[col(c).alias(f"k{i}") for i, c in enumerate(order_by)])
-    sampled = df.select(key.alias("key")).sample(fraction=share, seed=17)
-    ordered = sampled.agg(F.array_sort(F.collect_list("key")).alias("keys"))
-    spaced = F.filter("keys", lambda _, i: F.pmod(i, F.lit(step)) == step - 1)
-    return ordered.select(F.to_json(F.array_distinct(spaced))).first()[0]
+def _edge_keys(df: DataFrame, order_by: Sequence[str]) -> tuple[list[Column], T.ArrayType]:
+    types = [df.schema[c].dataType for c in order_by]
+    keys = [(F.substring(col(c), 1, EDGE_LETTERS) if is_text(t) else col(c)).alias(f"k{i}")
+            for i, (c, t) in enumerate(zip(order_by, types))]
+    return keys, T.ArrayType(T.StructType([T.StructField(f"k{i}", t) for i, t in enumerate(types)]))
 
 
-def _edges_passed(df: DataFrame, order_by: Sequence[str], edges: str) -> Column:
-    """Number of edges at or below the key, by halving steps over the sorted edges.
+def _sampled(order_by: Sequence[str], edges_per_row: float) -> Column:
+    share = min(1.0, edges_per_row * SAMPLES_PER_EDGE)
+    return F.pmod(F.xxhash64(*[col(c) for c in order_by]), F.lit(HASHES)) < int(share * HASHES)
 
-    The edges are a constant, so every plan that uses them cuts at the same places.
-    """
-    names = [f"k{i}" for i in range(len(order_by))]
-    edge_type = T.StructType([
-        T.StructField(n, df.schema[c].dataType) for n, c in zip(names, order_by)
-    ])
-    table = F.from_json(F.lit(edges), T.ArrayType(edge_type))
-    key = F.struct(*[col(c).alias(n) for n, c in zip(names, order_by)])
-    steps = [1 << power for power in reversed(range(MAX_BUCKETS.bit_length()))]
+
+def _coarse_edges(sampled: DataFrame, parts: int, held: int) -> str:
+    """Edges between the coarse parts, from so much of the sample, of some ``held`` keys, as they need."""
+    if parts == 1:
+        return "[]"
+    share = min(1.0, parts * SAMPLES_PER_COARSE_EDGE / held)
+    few = sampled.where(F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(HASHES)) < int(share * HASHES))
+    ordered = few.agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    return ordered.select(F.to_json(_spaced(F.col("keys"), parts))).first()[0]
+
+
+def _spaced(keys: Column, parts: int) -> Column:
+    """At most ``parts`` - 1 of the sorted keys, at even distances, each once."""
+    step = F.ceil(F.size(keys) / parts)
+    return F.array_distinct(F.filter(keys, lambda _, i: (F.pmod(i + 1, step) == 0) & (i + 1 < F.size(keys))))
+
+
+def _edges_passed(edges: Column, key: Column, most: int) -> Column:
+    """Number of sorted edges at or below the key, by halving steps; there are ``most`` at most."""
+    steps = [1 << power for power in reversed(range(max(1, most).bit_length()))]
     return F.aggregate(
         F.array(*[F.lit(s) for s in steps]),
         F.lit(0),
-        lambda passed, step: F.when(F.get(table, passed + step - 1) <= key, passed + step)
+        lambda passed, step: F.when(F.get(edges, passed + step - 1) <= key, passed + step)
         .otherwise(passed),
     )
 
@@ -74,7 +102,7 @@ def _edges_passed(df: DataFrame, order_by: Sequence[str], edges: str) -> Column:
 def _carried(per_bucket: DataFrame, columns: Sequence[str], backward: bool) -> DataFrame:
     """Last known value before each bucket (next one after it when backward).
 
-    The window has one row per bucket, at most MAX_BUCKETS of them.
+    The window has one row per bucket.
     """
     order = F.desc(BUCKET) if backward else F.asc(BUCKET)
     before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -164,21 +192,38 @@ def dense_codes(
 
 
 def average_ranks(
-    counts: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET
+    counts: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, gaps: Sequence[str] = (), most: int | None = None
 ) -> DataFrame:
-    """(value, rank) from (value, n): equal values share the mean of their places."""
+    """(value, rank) from (value, n): equal values share the mean of their places.
+
+    ``gaps`` are columns like ``n`` that count those rows of a value that a partner column has no
+    value for. Each is replaced by the rank among the other rows: its running count is taken off
+    the running count of all, so one sort serves every partner. Where there are known to be ``most``
+    values and those fit one bucket, nothing is counted first.
+    """
+    held = ["n", *gaps]
+    if most is not None and most <= rows_per_bucket:
+        whole = Window.partitionBy(F.lit(0)).orderBy("value")
+        return _ranked(counts.select("value", *held, *[F.sum(c).over(whole).alias(f"__upto_{c}") for c in held],
+                                     *[F.lit(0).alias(f"__before_{c}") for c in held]), gaps)
     bucketed = with_bucket(counts, ["value"], rows_per_bucket)
-    sizes = bucketed.groupBy(BUCKET).agg(F.sum("n").alias("held"))
+    sizes = bucketed.groupBy(BUCKET).agg(*[F.sum(c).alias(c) for c in held])
     earlier = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
     offsets = sizes.select(
-        BUCKET, F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("offset")
-    )
+        BUCKET, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"__before_{c}") for c in held])
     within = Window.partitionBy(BUCKET).orderBy("value")
-    return (
-        bucketed.withColumn("__upto", F.sum("n").over(within))
-        .join(F.broadcast(offsets), BUCKET, "left")
-        .select(
-            "value",
-            (F.col("offset") + F.col("__upto") - F.col("n") + (F.col("n") + 1) / 2.0).alias("rank"),
-        )
+    placed = bucketed.select(
+        BUCKET, "value", *held, *[F.sum(c).over(within).alias(f"__upto_{c}") for c in held]
+    ).join(F.broadcast(offsets), BUCKET, "left")
+    return _ranked(placed, gaps)
+
+
+def _ranked(placed: DataFrame, gaps: Sequence[str]) -> DataFrame:
+    def below(c: str) -> Column:
+        return F.col(f"__before_{c}") + F.col(f"__upto_{c}") - F.col(c)
+
+    return placed.select(
+        "value",
+        (below("n") + (F.col("n") + 1) / 2.0).alias("rank"),
+        *[(below("n") - below(g) + (F.col("n") - F.col(g) + 1) / 2.0).alias(g) for g in gaps],
     )

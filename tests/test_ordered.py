@@ -3,6 +3,8 @@ import random
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from prepkit.operators.ordered import average_ranks, dense_codes, fill, with_bucket
 
 BUCKETS = [1_000_000, 37, 5]
@@ -79,3 +81,30 @@ def test_buckets_follow_the_order_and_are_even(spark):
     assert len(spans) > 20
     starts = [r["min(id)"] for r in spans]
     assert starts == sorted(starts) and max(r["count(1)"] for r in spans) < 500
+
+
+@pytest.mark.parametrize("fine", [1_024, 4, 1])
+@pytest.mark.parametrize("keys", ["numbers", "texts", "long texts"])
+def test_buckets_follow_the_order_at_both_levels(spark, monkeypatch, fine, keys):
+    from prepkit.operators import ordered
+    monkeypatch.setattr(ordered, "FINE", fine)
+    rng = random.Random(1)
+    made = {"numbers": lambda: rng.random(), "texts": lambda: "".join(rng.choices("abcé", k=8)),
+            "long texts": lambda: "".join(rng.choices("ab", k=6)) + "x" * 500 + rng.choice("ab")}[keys]
+    rows = [(made(),) for _ in range(600)] + [(None,)] * 20
+    rows += [rows[0]] * 200
+    df = spark.createDataFrame(rows, "k double" if keys == "numbers" else "k string")
+    got = with_bucket(df.repartition(4), ["k"], 20)
+    again = with_bucket(df.repartition(7), ["k"], 20)
+    assert sorted(map(str, got.collect())) == sorted(map(str, again.collect()))  # whatever the partitions
+    ordered_rows = sorted(got.collect(), key=lambda r: (r["k"] is not None, r["k"] or (0 if keys == "numbers" else "")))
+    found = [r[ordered.BUCKET] for r in ordered_rows]
+    assert found == sorted(found) and len(rows) == len(found)
+    held = pd.Series({k: b for k, b in zip([r["k"] for r in ordered_rows], found)}).value_counts()
+    assert 10 < len(held) <= 60 and held.max() <= 80
+
+
+def test_more_buckets_than_any_fixed_number(spark):
+    df = spark.range(80_000).select((80_000 - F.col("id")).alias("k"))
+    got = with_bucket(df, ["k"], 1)
+    assert got.select("__bucket").distinct().count() > 40_000
