@@ -48,6 +48,7 @@ def test_more_rows_than_the_sketch_keeps(spark, shape):
 
 def test_a_coarse_sketch_changes_nothing(spark, monkeypatch):
     monkeypatch.setattr(q, "ACCURACY", 50)
+    monkeypatch.setattr(q, "COLUMN_ACCURACY", 50)
     monkeypatch.setattr(q, "CELLS", 7)
     df = spark.range(0, 20_000, 1, 5).select((F.rand(3) * F.rand(4) * 100).alias("x"))
     values = [r[0] for r in df.collect()]
@@ -76,3 +77,19 @@ def test_approximate_is_near(spark):
     df = spark.range(100_000).select(F.col("id").cast("double").alias("x"))
     row = q.approx_quantiles(df, ["x"]).first()
     assert abs(row["median"] - 50_000) <= 100_000 / q.ACCURACY + 1
+
+
+def test_no_task_merges_the_sketches_of_all_scan_tasks(spark):
+    df = spark.range(0, 50_000, 1, 8).select(*[(F.col("id") * k % 1_009).cast("double").alias(f"x{k}") for k in range(1, 9)])
+    sketches = q.column_sketches(df, df.columns)
+    plan = sketches._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and plan.count("Exchange hashpartitioning") == 2 and plan.count("Range (") == 1
+    assert sketches.count() == 8
+
+
+def test_sketches_of_slices_add_up(spark):
+    df = spark.range(60_000).select(F.col("id").cast("double").alias("x"))
+    slices = [q.column_sketches(df.where(f"x >= {a} AND x < {b}"), ["x"]) for a, b in ((0, 100), (100, 50_000), (50_000, 60_000))]
+    merged = q.merged_sketches(slices[0].unionByName(slices[1]).unionByName(slices[2]))
+    n, median = merged.select(F.kll_sketch_get_n_double("sketch"), F.kll_sketch_get_quantile_double("sketch", F.lit(0.5))).first()
+    assert n == 60_000 and abs(median - 30_000) <= 60_000 / q.COLUMN_ACCURACY
