@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prepkit.functions.columns import (
     FRACTIONAL_TYPES,
+    NESTED_TYPES,
+    chunks,
     col,
     is_integral,
     is_numeric,
@@ -18,7 +20,7 @@ from prepkit.functions.columns import (
     text_columns,
     union_all,
 )
-from prepkit.functions.keys import _printable, row_key, text_key
+from prepkit.functions.keys import _printable, _settled, row_key, text_key
 
 #: Characters of a text that are kept in its grouping key.
 HEAD_LENGTH = 48
@@ -94,12 +96,37 @@ def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 5)
         F.col("rank") <= k).select("column_name", "rank", "value", "n")
 
 
-def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+#: Logarithm of the registers of a distinct sketch: a relative standard error of 0.8 %.
+DISTINCT_REGISTERS = 14
+
+
+def distinct_sketch(df: DataFrame, name: str) -> Column:
+    """The aggregate that sketches the distinct values of a column, in some ten kilobytes."""
+    data_type = df.schema[name].dataType
+    value = _printable(name, data_type) if isinstance(data_type, NESTED_TYPES) else _settled(name, data_type)
+    return F.hll_sketch_agg(F.when(col(name).isNotNull() & value.isNotNull(), F.xxhash64(value)), F.lit(DISTINCT_REGISTERS))
+
+
+def approx_distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Like :func:`distinct_counts`, from sketches: one scan, no shuffle of values, off by 0.8 %
+    in the standard deviation, and exact in practice for a few hundred values."""
+    names = df.columns if columns is None else list(columns)
+    parts = []
+    for chunk in chunks(names, lambda _: 1, 256):
+        sketches = df.agg(*[F.hll_sketch_estimate(distinct_sketch(df, c)).alias(f"n_{i}") for i, c in enumerate(chunk)])
+        parts.append(sketches.select(F.inline(F.array(*[
+            F.struct(F.lit(c).alias("column_name"), F.col(f"n_{i}").alias("distinct_count")) for i, c in enumerate(chunk)]))))
+    return union_all(parts).where("distinct_count > 0")
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """(column_name, distinct_count) without missing values.
 
     Columns are counted family by family, so that numbers stay numbers and only
     long texts are replaced by a digest. A column without values gives no row.
     """
+    if approx:
+        return approx_distinct_counts(df, columns)
     wanted = df.columns if columns is None else list(columns)
     integral = names_where(df, is_integral, wanted)
     numeric = [c for c in names_where(df, is_numeric, wanted)
@@ -134,9 +161,11 @@ def row_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
     ).withColumn("duplicate_rows", F.col("row_count") - F.col("distinct_rows"))
 
 
-def with_distinct(stats: DataFrame, df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def with_distinct(
+    stats: DataFrame, df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False
+) -> DataFrame:
     """Add ``distinct_count`` to a one-row-per-column frame."""
-    counts = F.broadcast(distinct_counts(df, columns))  # one row per column of the schema
+    counts = F.broadcast(distinct_counts(df, columns, approx))  # one row per column of the schema
     return stats.join(counts, "column_name", "left").withColumn(
         "distinct_count", F.coalesce("distinct_count", F.lit(0).cast("bigint"))
     )

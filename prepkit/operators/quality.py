@@ -25,6 +25,7 @@ from prepkit.functions.keys import row_key
 from prepkit.operators.frequency import row_counts, with_distinct
 from prepkit.operators.profile import missing_cells
 from prepkit.operators.quantiles import quantiles
+from prepkit.operators.state import Assessment
 from prepkit.operators.stats import MEASURES, column_stats, one_row_per_column
 
 SEVERITIES = ["critical", "high", "medium", "low", "info"]
@@ -126,7 +127,7 @@ def column_profile(
     parts = {p for t in wanted for p in NEEDS[t][1]}
     stats = column_stats(df, measures)
     if "distinct" in parts:
-        stats = with_distinct(stats, df, _told_apart(df, wanted))
+        stats = with_distinct(stats, df, _told_apart(df, wanted), approx)
     names = numeric_columns(df)
     if "outliers" in parts and names:
         extra = outlier_profile(df, names, approx).select("column_name", *_OUTLIER_FIELDS)
@@ -265,10 +266,13 @@ def column_issues(profile: DataFrame, issue_types: Sequence[str] | None = None)
 
 
 def table_issues(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
-    """Mostly empty rows and exact duplicate rows."""
-    gaps = missing_cells(df)
-    sparse = df.select((gaps > len(df.columns) * 0.5).alias("sparse")).agg(
-        F.count(F.lit(1)).alias("row_count"), F.count_if("sparse").alias("n"))
+    """Mostly empty rows and exact duplicate rows; ``counts`` is the one row of an assessment."""
+    if counts is None:
+        gaps = missing_cells(df)
+        sparse = df.select((gaps > len(df.columns) * 0.5).alias("sparse")).agg(
+            F.count(F.lit(1)).alias("row_count"), F.count_if("sparse").alias("n"))
+    else:
+        sparse = counts.select("row_count", F.col("sparse_rows").alias("n"))
     share = percent(F.col("n"), F.col("row_count"))
     empty_rows = sparse.select(_issue(
         F.col("n") > 0, 2, 0, "missing_values",
@@ -290,8 +294,11 @@ def table_issues(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
         "issue.affected_rows", "issue.affected_percentage", "issue.recommendation", "issue.details")
 
 
-def detected(df: DataFrame, approx: bool = False) -> DataFrame:
-    """All issues with the order in which they are detected."""
+def detected(df: DataFrame, approx: bool = False, assessed: Assessment | None = None) -> DataFrame:
+    """All issues with the order in which they are detected, read off the table or off what was
+    :func:`~prepkit.operators.state.assess`-ed of it before."""
+    if assessed:
+        return column_issues(assessed.columns).unionByName(table_issues(df, assessed.table))
     return column_issues(column_profile(df, approx=approx)).unionByName(table_issues(df))
 
 
@@ -305,8 +312,8 @@ def numbered(found: DataFrame) -> DataFrame:
         *ISSUE_FIELDS)
 
 
-def all_issues(df: DataFrame, approx: bool = False) -> DataFrame:
-    return numbered(detected(df, approx))
+def all_issues(df: DataFrame, approx: bool = False, assessed: Assessment | None = None) -> DataFrame:
+    return numbered(detected(df, approx, assessed))
 
 
 def issues_of(df: DataFrame, *issue_types: str, approx: bool = False) -> DataFrame:
@@ -353,16 +360,16 @@ def prioritized(found: DataFrame) -> DataFrame:
         F.transform("shown", lambda s: s["recommendation"]).alias("specific_recommendations"))
 
 
-def scores(df: DataFrame, approx: bool = False) -> DataFrame:
+def scores(df: DataFrame, approx: bool = False, assessed: Assessment | None = None) -> DataFrame:
     """One row: overall score and its four parts, each 0 to 100."""
-    counts = row_counts(df)
+    counts = assessed.table if assessed else row_counts(df)
     kinds = ["type_inconsistency", "mixed_types", "outliers"]
-    found = column_issues(column_profile(df, kinds, approx), kinds)
+    found = column_issues(assessed.columns if assessed else column_profile(df, kinds, approx), kinds)
     from_issues = found.agg(
         F.count_if(F.col("issue_type").isin("type_inconsistency", "mixed_types")).alias("type_issues"),
         F.coalesce(F.sum(F.when(F.col("issue_type") == "outliers", F.col("affected_percentage"))),
                    F.lit(0.0)).alias("outlying"))
-    cells = column_stats(df, []).agg(
+    cells = (assessed.columns if assessed else column_stats(df, [])).agg(
         F.sum("row_count").alias("cells"), F.sum("missing").alias("missing"))
     whole = counts.crossJoin(F.broadcast(from_issues)).crossJoin(F.broadcast(cells))
     parts = whole.select(

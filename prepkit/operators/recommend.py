@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from prepkit.functions.columns import numeric_columns, percent, text_columns
 from prepkit.operators.frequency import row_counts, with_distinct
 from prepkit.operators.quality import FEWEST_VALUES, IQR_REACH, outlier_profile, severity_rank
+from prepkit.operators.state import Assessment
 from prepkit.operators.stats import column_stats
 from prepkit.operators.transform import CONVERSIONS, KINDS
 
@@ -47,9 +48,12 @@ def _rows(source: DataFrame, group: int, rec_type: str, priority: Column, title:
         why.alias("why"), rows.cast("bigint").alias("affected_rows"), share.alias("affected_percentage"))
 
 
-def for_missing(df: DataFrame) -> DataFrame:
+# Every kind of advice is read off the table, or off an assessment's row per column.
+
+
+def for_missing(df: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     numeric = F.col("column_name").isin(numeric_columns(df))
-    stats = column_stats(df, ["shape"]).filter(F.col("missing") > 0)
+    stats = (column_stats(df, ["shape"]) if stats is None else stats).filter(F.col("missing") > 0)
     share = percent(F.col("missing"), F.col("row_count"))
     skew = F.when(F.col("non_null") > 2, F.coalesce("skewness", F.lit(0.0))).otherwise(0.0)
     method = F.when(numeric & (F.abs(skew) > SKEWED), "median").when(numeric, "mean").otherwise("mode")
@@ -67,8 +71,8 @@ def for_missing(df: DataFrame) -> DataFrame:
         F.col("missing"), share)
 
 
-def for_outliers(df: DataFrame, approx: bool = False) -> DataFrame:
-    found = outlier_profile(df, approx=approx).filter(
+def for_outliers(df: DataFrame, approx: bool = False, stats: DataFrame | None = None) -> DataFrame:
+    found = (outlier_profile(df, approx=approx) if stats is None else _among(stats, numeric_columns(df))).filter(
         (F.col("non_null") >= FEWEST_VALUES) & (F.col("iqr_outliers") > 0))
     share = percent(F.col("iqr_outliers"), F.col("non_null"))
     reach = (F.col("q75") - F.col("q25")) * IQR_REACH
@@ -82,9 +86,13 @@ def for_outliers(df: DataFrame, approx: bool = False) -> DataFrame:
         F.col("iqr_outliers"), share)
 
 
-def for_encoding(df: DataFrame) -> DataFrame:
+def _among(stats: DataFrame, names: list[str]) -> DataFrame:
+    return stats.filter(F.col("column_name").isin(names))
+
+
+def for_encoding(df: DataFrame, approx: bool = False, stats: DataFrame | None = None) -> DataFrame:
     texts = text_columns(df)
-    stats = with_distinct(column_stats(df, [], texts), df, texts)
+    stats = with_distinct(column_stats(df, [], texts), df, texts, approx) if stats is None else _among(stats, texts)
     n = F.col("distinct_count")
     many = n > MANY_CATEGORIES
     return _rows(
@@ -95,15 +103,15 @@ def for_encoding(df: DataFrame) -> DataFrame:
         F.format_string("%d categories", n), F.col("row_count"), F.lit(100.0))
 
 
-def for_scaling(df: DataFrame) -> DataFrame:
+def for_scaling(df: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """Numeric columns whose ranges differ more than tenfold."""
     names = numeric_columns(df)
     if len(names) < 2:
-        names_frame = column_stats(df, []).filter(F.lit(False)).withColumn("ratio", F.lit(0.0))
+        names_frame = (column_stats(df, []) if stats is None else stats).filter(F.lit(False)).withColumn("ratio", F.lit(0.0))
     else:
         width = F.col("max") - F.col("min")
         narrowest = F.when(F.min(width) > 0, F.min(width)).otherwise(1.0)
-        names_frame = column_stats(df, ["moments"], names).groupBy().agg(
+        names_frame = (column_stats(df, ["moments"], names) if stats is None else _among(stats, names)).groupBy().agg(
             F.max("row_count").alias("row_count"),
             (F.max(width) / narrowest).alias("ratio"),
         ).filter(F.col("ratio") > SCALE_RATIO)
@@ -115,8 +123,8 @@ def for_scaling(df: DataFrame) -> DataFrame:
         F.col("row_count"), F.lit(100.0), whole_table=True)
 
 
-def for_duplicates(df: DataFrame) -> DataFrame:
-    found = row_counts(df).filter(F.col("duplicate_rows") > 0)
+def for_duplicates(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    found = (row_counts(df) if counts is None else counts).filter(F.col("duplicate_rows") > 0)
     share = percent(F.col("duplicate_rows"), F.col("row_count"))
     return _rows(
         found, 5, "duplicate_handling", _above(share, (5, "high"), otherwise="medium"),
@@ -126,8 +134,9 @@ def for_duplicates(df: DataFrame) -> DataFrame:
         F.col("duplicate_rows"), share, whole_table=True)
 
 
-def for_type_conversion(df: DataFrame) -> DataFrame:
-    stats = column_stats(df, ["parse"], text_columns(df))
+def for_type_conversion(df: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    texts = text_columns(df)
+    stats = column_stats(df, ["parse"], texts) if stats is None else _among(stats, texts)
     share = percent(F.col("numeric_plain"), F.col("row_count"))
     return _rows(
         stats.filter(share > MOSTLY_NUMERIC), 6, "type_conversion", F.lit("medium"),
@@ -136,16 +145,17 @@ def for_type_conversion(df: DataFrame) -> DataFrame:
         F.format_string("%.1f%% of the values are numbers", share), F.col("row_count"), F.lit(100.0))
 
 
-def all_recommendations(df: DataFrame, approx: bool = False) -> DataFrame:
+def all_recommendations(df: DataFrame, approx: bool = False, assessed: Assessment | None = None) -> DataFrame:
     """Numbered in order of generation, ranked by priority. A few rows per column: small."""
-    parts = [for_missing(df)]
+    stats, counts = (assessed.columns, assessed.table) if assessed else (None, None)
+    parts = [for_missing(df, stats)]
     if numeric_columns(df):
-        parts.append(for_outliers(df, approx))
+        parts.append(for_outliers(df, approx, stats))
     if text_columns(df):
-        parts += [for_encoding(df)]
-    parts += [for_scaling(df), for_duplicates(df)]
+        parts += [for_encoding(df, approx, stats)]
+    parts += [for_scaling(df, stats), for_duplicates(df, counts)]
     if text_columns(df):
-        parts.append(for_type_conversion(df))
+        parts.append(for_type_conversion(df, stats))
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)

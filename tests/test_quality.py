@@ -150,3 +150,29 @@ def test_quality_properties(spark, rows):
     assert copies == ([int(pdf.duplicated().sum())] if pdf.duplicated().any() else [])
     assert all(0 <= x <= 100 for x in quality.scores(df).first())
     assert set(by_column(quality.column_quality(df))) == {"v", "s", "code"}
+
+
+@pytest.mark.parametrize("rows_per_bucket", [1_000_000, 40])
+def test_rank_correlation_with_gaps_is_that_of_pandas(spark, rows_per_bucket):
+    """Three columns with gaps, two without, one constant, one without any value; many ties."""
+    rng = np.random.default_rng(4)
+    n = 300
+    base = rng.normal(size=n)
+    frame = pd.DataFrame({
+        "a": np.where(rng.random(n) < 0.3, np.nan, np.round(base, 1)), "b": np.where(rng.random(n) < 0.5, np.nan, base + rng.normal(size=n)),
+        "c": np.where(base > 0.5, np.nan, np.floor(base * 3)), "d": rng.integers(0, 5, n).astype(float), "e": base ** 3,
+        "flat": 1.0, "void": np.nan})
+    df = spark.createDataFrame(frame.astype(object).where(frame.notna(), None).values.tolist(), ", ".join(f"{c} double" for c in frame))
+    got = {(r.column_a, r.column_b): r.r for r in charts.rank_correlation(df, rows_per_bucket=rows_per_bucket).collect()}
+    assert len(got) == 49
+    for a in frame:
+        for b in frame:
+            pair = frame[[a, b]].dropna() if a != b else frame[[a]].dropna()
+            want = pair[a].rank().corr(pair[b].rank()) if len(pair) > 1 else np.nan
+            assert got[a, b] is None if np.isnan(want) else got[a, b] == pytest.approx(want, abs=1e-9)
+
+
+def test_rank_correlation_sorts_each_column_once(spark):
+    df = spark.range(50).selectExpr(*[f"IF(id % {k} = 0, NULL, id * {k} % 17) AS c{k}" for k in (2, 3, 5, 7)])
+    plan = charts.rank_correlation(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 4 and plan.count("Join ") == 4
