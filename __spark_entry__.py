@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from prepkit.functions.columns import union_all  # noqa: E402
-from prepkit.operators import charts, metadata, profile, quality, recommend  # noqa: E402
+from prepkit.operators import charts, frequency, metadata, profile, quality, recommend, state  # noqa: E402
 from prepkit.operators import transform as tr  # noqa: E402
 from prepkit.plans import catalog, results  # noqa: E402
-from prepkit.plans.pipeline import Dataset, Step, replay  # noqa: E402
+from prepkit.plans.pipeline import Dataset, Step, apply_logged, read_log, replay  # noqa: E402
 from prepkit.sources import delimited  # noqa: E402
 from prepkit.sources.tables import read_parquet, scratch_path  # noqa: E402
 from prepkit.oracle import DIRTY_EVENTS, SPARSE_CUSTOMERS, oracle_queries  # noqa: E402
@@ -186,6 +186,59 @@ def filtered_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(kept)
 
 
+def assessed(name: str, read: Callable) -> Query:
+    """A report read off an assessment of the table instead of the table."""
+    return on(name, lambda df: read(df, state.assess(df)))
+
+
+def distinct_sketches(df: DataFrame) -> DataFrame:
+    """Whether distinct counts by sketch are within 4 % of the exact ones, and exact for few values."""
+    about = frequency.approx_distinct_counts(df).withColumnRenamed("distinct_count", "about")
+    exact = frequency.distinct_counts(df)
+    n = F.col("distinct_count")
+    near = F.abs(F.col("about") - n) <= F.when(n <= 200, 0).otherwise(n * 0.04)
+    return exact.join(about, "column_name").select("column_name", n, near.alias("near"))
+
+
+def slices_of_state(df: DataFrame) -> DataFrame:
+    """Statistics of the whole from the states of its months, as if each had been stored on its own."""
+    months = [state.column_state(df.where(F.month("o_orderdate") == m), ()) for m in (1, 2)]
+    months.append(state.column_state(df.where(F.month("o_orderdate") > 2), ()))
+    whole = state.finished(state.merged_states(union_all(months)))
+    return whole.where("mean IS NOT NULL").select("column_name", "row_count", "non_null", "mean", "std", "min", "max", "skewness")
+
+
+def step_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log that steps leave while they are applied."""
+    folder = scratch(spark, "step-log")
+    apply_logged(dirty_events(spark, sf_dir), PIPELINE, folder, "events")
+    return read_log(spark, folder, "events").select(
+        "sequence_order", "transformation_type", "columns", "affected_rows", "rows_after")
+
+
+def csv_of_many_charsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in CSV files of three charsets, told apart file by file and read as one table."""
+    text = table(spark, sf_dir, "customer").withColumn("c_name", F.concat(F.lit("é"), "c_name"))
+    path = scratch(spark, "charset-csv")
+    for i, charset in enumerate(("UTF-8", "UTF-16", "ISO-8859-1")):
+        text.where(F.col("c_custkey") % 3 == i).write.options(header=True, escape='"', encoding=charset).csv(f"{path}/{i}")
+    return rounded(delimited.read_csv(spark, path, encoding="detect"))
+
+
+def same_fingerprints(df: DataFrame) -> DataFrame:
+    """Fingerprints of a table, of its rows in another order, and of the table with a row repeated
+    and with a cell changed: how often each occurs."""
+    first = df.agg(F.min("doc_id").alias("least"))
+    marked = df.crossJoin(F.broadcast(first))
+    repeated = df.unionByName(marked.where("doc_id = least").select(*df.columns))
+    changed = marked.withColumn("text", F.when(F.col("doc_id") == F.col("least"), "x").otherwise(F.col("text"))).select(*df.columns)
+    kinds = {"same": df.repartition("lang"), "repeated": repeated, "changed": changed}
+    own = results.fingerprints(df).select(F.col("fingerprint").alias("own"))
+    return union_all([results.fingerprints(made).crossJoin(F.broadcast(own)).select(
+        F.lit(kind).alias("kind"), "row_count", (F.col("fingerprint") == F.col("own")).alias("equal"))
+        for kind, made in kinds.items()])
+
+
 def stored_results(parts: DataFrame) -> DataFrame:
     """Result rows made from parts: several runs per dataset, some expired, some for ever."""
     created = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
@@ -221,6 +274,7 @@ def core_queries() -> dict[str, Query]:
         # sources
         "s_csv_null_tokens": csv_round_trip,
         "s_csv_many_files": csv_of_many_headers,
+        "s_csv_many_charsets": csv_of_many_charsets,
         "s_preview": on("customer", lambda d: delimited.preview(d, ["c_custkey"])),
         # metadata
         "m_dataset_summary": on(ed, metadata.dataset_summary),
@@ -228,6 +282,8 @@ def core_queries() -> dict[str, Query]:
         "m_type_summary": on(ed, metadata.type_summary),
         "m_numeric_stats": on("lineitem", metadata.numeric_stats),
         "m_numeric_text_stats": on(ed, lambda d: metadata.numeric_stats(d.select("num_text", "value", "mixed"))),
+        "m_distinct_sketch": on(ed, distinct_sketches),
+        "m_merged_slices": on("orders", slices_of_state),
         "m_text_stats": on(ed, metadata.text_stats),
         "m_datetime_stats": on(ed, metadata.datetime_stats),
         # profile
@@ -276,6 +332,10 @@ def core_queries() -> dict[str, Query]:
         "q_all_issues": on(ed, lambda d: quality.all_issues(d).select(
             "issue_id", "display_order", "issue_type", "severity", "column_name", "affected_rows",
             "affected_percentage")),
+        "q_assessed_issues": assessed(ed, lambda d, a: quality.all_issues(d, assessed=a).select(
+            "issue_id", "display_order", "issue_type", "severity", "column_name", "affected_rows",
+            "affected_percentage")),
+        "q_assessed_scores": assessed(ed, lambda d, a: quality.scores(d, assessed=a)),
         "q_issue_summary": on(ed, lambda d: quality.issue_summary(quality.detected(d))),
         "q_prioritized": on(ed, lambda d: joined(
             quality.prioritized(quality.detected(d)).withColumn(
@@ -327,6 +387,8 @@ def core_queries() -> dict[str, Query]:
             "column_name", "priority", "affected_rows")),
         "r_all": on(ed, lambda d: recommend.all_recommendations(d).select(
             "rec_id", "display_order", "column_name", "rec_type", "priority", "affected_rows")),
+        "r_assessed": assessed(ed, lambda d, a: recommend.all_recommendations(d, assessed=a).select(
+            "rec_id", "display_order", "column_name", "rec_type", "priority", "affected_rows")),
         "r_summary": on(ed, lambda d: recommend.summary(recommend.all_recommendations(d))),
         # charts
         "v_histogram": on("lineitem", lambda d: charts.histogram(d, "l_extendedprice")),
@@ -342,6 +404,8 @@ def core_queries() -> dict[str, Query]:
         "v_chart_plan": on(ed, charts.chart_plan),
         # lifecycle and catalog
         "l_history": on(ed, lambda d: with_steps(d).history()),
+        "l_step_log": step_log,
+        "l_fingerprint": on("documents", same_fingerprints),
         "l_undo": on(ed, lambda d: with_steps(d).undo().table.select(*PIPELINE_COLUMNS)),
         "l_replay_report": checked_replay,
         "l_pipeline_replay": on(ed, lambda d: replay(d, PIPELINE)[0].select(*PIPELINE_COLUMNS)),

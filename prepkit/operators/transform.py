@@ -8,12 +8,15 @@ the changed table.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 from typing import Any
 from uuid import uuid4
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +40,8 @@ from prepkit.operators.stats import column_stats, one_row_per_column
 
 #: Beyond so many one-hot columns a preview warns.
 ONEHOT_WARNING = 20
+#: Beyond so many there is no form with a column per value.
+MOST_ONEHOT = 5_000
 # What convert_dtype converts to.
 CONVERSIONS = ("int", "float", "str", "datetime")
 PREVIEW_ROWS = 10
@@ -172,9 +177,29 @@ def _iqr_bounds(df: DataFrame, name: str, p: Params) -> DataFrame:
     return q.select("column_name", (F.col("q25") - reach).alias("low"), (F.col("q75") + reach).alias("high"))
 
 
+#: Limits fitted within one step, by column and kind of bounds.
+_FITTED: ContextVar[dict | None] = ContextVar("fitted", default=None)
+
+
+@contextmanager
+def fitted_once() -> Iterator[None]:
+    """Inside, what a step fits is kept: its plan and the report on it are made from one fit."""
+    token = _FITTED.set({})
+    try:
+        yield
+    finally:
+        _FITTED.reset(token)
+
+
 def _limits(df: DataFrame, name: str, p: Params, bounds_of) -> tuple[float, float] | None:
+    held = _FITTED.get()
+    if held is not None and (name, bounds_of) in held:
+        return held[name, bounds_of]
     found = fitted(bounds_of(df, name, p), ["low", "high"]).get(name)
-    return None if not found or found["low"] is None else (found["low"], found["high"])
+    limits = None if not found or found["low"] is None else (found["low"], found["high"])
+    if held is not None:
+        held[name, bounds_of] = limits
+    return limits
 
 
 def _remove(bounds_of) -> Callable[[DataFrame, Params], DataFrame]:
@@ -212,8 +237,12 @@ cap_outliers_iqr = _cap(_iqr_bounds)
 # Encoding
 
 def categories(df: DataFrame, column: str) -> list[str]:
-    """Sorted distinct values as text, collected because they become columns."""
-    rows = value_counts(df, column).orderBy("value")
+    """Sorted distinct values as text, collected because they become columns: MOST_ONEHOT at most."""
+    counts = value_counts(df, column)
+    held = counts.limit(MOST_ONEHOT + 1).count()
+    if held > MOST_ONEHOT:
+        raise ValueError(f"'{column}' has more than {MOST_ONEHOT} values to make columns of: use onehot_form='index'")
+    rows = counts.orderBy("value")
     return [r[0] for r in rows.select(F.col("value").cast("string")).collect()]
 
 
@@ -427,19 +456,29 @@ def affected_rows(df: DataFrame, after: DataFrame, kind: str, params: Params) ->
         return with_row(after.agg(F.count(F.lit(1)).alias("after")), before).select(
             (F.col("before") - F.col("after")).alias("affected"))
     if kind.startswith("cap_outliers_"):
-        bounds_of = _z_bounds if kind.endswith("zscore") else _iqr_bounds
-        beyond = F.lit(0).cast("bigint")
-        for name in params.numeric(df):
-            limits = _limits(df, name, params, bounds_of)
-            if limits:
-                x = present_double(name)
-                beyond = beyond + F.count_if((x < limits[0]) | (x > limits[1]))
-        return df.agg(beyond.alias("affected"))
-    touches = names and not (
+        return df.agg(capped_cells(df, kind, params).alias("affected"))
+    touched = touches_rows(df, kind, params)
+    return df.agg((F.count(F.lit(1)) if touched else F.lit(0).cast("bigint")).alias("affected"))
+
+
+def capped_cells(df: DataFrame, kind: str, params: Params) -> Column:
+    """The aggregate that counts the cells a capping step changes."""
+    bounds_of = _z_bounds if kind.endswith("zscore") else _iqr_bounds
+    beyond = F.lit(0).cast("bigint")
+    for name in params.numeric(df):
+        limits = _limits(df, name, params, bounds_of)
+        if limits:
+            x = present_double(name)
+            beyond = beyond + F.count_if((x < limits[0]) | (x > limits[1]))
+    return beyond
+
+
+def touches_rows(df: DataFrame, kind: str, params: Params) -> bool:
+    """Whether a step that is neither a fill, a filter nor a cap does anything."""
+    return bool(params.existing(df)) and not (
         (kind == "rename_column" and (len(params.columns) != 1 or not params.new_name))
         or (kind == "convert_dtype" and not params.target_dtype)
         or (kind in ("scale_standard", "scale_minmax") and not params.numeric(df)))
-    return df.agg((F.count(F.lit(1)) if touches else F.lit(0).cast("bigint")).alias("affected"))
 
 
 def warnings_of(df: DataFrame, kind: str, params: Params) -> list[str]:
@@ -447,7 +486,7 @@ def warnings_of(df: DataFrame, kind: str, params: Params) -> list[str]:
     if kind in ("impute_mean", "impute_median"):
         return [f"'{c}' is not numeric and is skipped" for c in params.columns if c not in params.numeric(df)]
     if kind == "encode_onehot":
-        sizes = {c: len(categories(df, c)) for c in params.existing(df)}
+        sizes = {c: value_counts(df, c).count() for c in params.existing(df)}
         return [f"'{c}' has {n} values and becomes as many columns"
                 for c, n in sizes.items() if n > ONEHOT_WARNING]
     if kind == "convert_dtype" and params.target_dtype == "int":
@@ -474,9 +513,10 @@ def step_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         *[F.round(f, 4).alias(f) for f in ("mean", "std", "min", "max", "median")])
 
 
-def before_after(df: DataFrame, kind: str, params: Params) -> DataFrame:
-    """(phase, column_name, statistics...) of the columns a step names."""
-    after = transform(df, kind, params)
+def before_after(df: DataFrame, kind: str, params: Params, after: DataFrame | None = None) -> DataFrame:
+    """(phase, column_name, statistics...) of the columns a step names; ``after`` is the step's
+    table where it has been made already."""
+    after = transform(df, kind, params) if after is None else after
     frames = [
         step_stats(frame, params.columns).select(F.lit(phase).alias("phase"), "*")
         for phase, frame in (("before", df), ("after", after))
@@ -508,12 +548,13 @@ def _head(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
 
 def preview(df: DataFrame, kind: str, params: Params) -> Preview:
     """What a step would do. The input is a plan and cannot be changed by it."""
-    after = transform(df, kind, params)
-    affected = affected_rows(df, after, kind, params).first()[0] or 0
+    with fitted_once():
+        after = transform(df, kind, params)
+        affected = affected_rows(df, after, kind, params).first()[0] or 0
     warnings = warnings_of(df, kind, params)
     return Preview(
         kind, not warnings, affected, list(params.columns), _head(df, params.order_by),
-        _head(after, params.order_by), before_after(df, kind, params) if params.existing(df) else None,
+        _head(after, params.order_by), before_after(df, kind, params, after) if params.existing(df) else None,
         warnings, explain(kind, affected))
 
 
@@ -532,16 +573,22 @@ class Result:
 
 
 def apply(df: DataFrame, kind: str, params: Params) -> tuple[DataFrame, Result]:
-    """Run a step and report on it. An error leaves the table as it was."""
+    """Run a step and report on it. A step that its parameters or the data make impossible is
+    reported and leaves the table as it was; other errors, such as lost executors, are raised."""
     def result(success: bool, affected: int, before, after, message: str) -> Result:
         return Result(str(uuid4()), kind, success, affected, list(params.columns), before, after,
                       message, datetime.now(timezone.utc).isoformat(), params.to_dict())
 
     try:
-        out = transform(df, kind, params)
-        affected = affected_rows(df, out, kind, params).first()[0] or 0
-        stats = [r.asDict() for r in before_after(df, kind, params).collect()] if params.existing(df) else []
+        with fitted_once():
+            out = transform(df, kind, params)
+            affected = affected_rows(df, out, kind, params).first()[0] or 0
+        stats = [r.asDict() for r in before_after(df, kind, params, out).collect()] if params.existing(df) else []
         by_phase = {ph: [s for s in stats if s["phase"] == ph] for ph in ("before", "after")}
         return out, result(True, affected, by_phase["before"], by_phase["after"], f"Applied {kind}")
-    except Exception as error:
+    except ValueError as error:
+        return df, result(False, 0, [], [], f"Failed: {error}")
+    except PySparkException as error:
+        if error.getCondition() is None:
+            raise
         return df, result(False, 0, [], [], f"Failed: {error}")

@@ -634,4 +634,17 @@ SELECT * FROM v QUALIFY created_at = max(created_at) OVER (PARTITION BY dataset_
     q["c_browse"] = rows + """SELECT *, (SELECT count(*) FROM c WHERE category = 'Brand#2') AS total FROM c
  WHERE category = 'Brand#2' ORDER BY usage_count DESC, pipeline_id LIMIT 20 OFFSET 20"""
     q["c_search"] = rows + "SELECT * FROM c WHERE is_public AND (pipeline_name ILIKE '%ring%' OR description ILIKE '%ring%')"
+    q["q_assessed_issues"], q["q_assessed_scores"], q["r_assessed"] = q["q_all_issues"], q["q_scores"], q["r_all"]
+    q["l_step_log"] = q["l_history"]
+    q["s_csv_many_charsets"] = """SELECT c_custkey, 'é' || c_name AS c_name, c_nationkey::BIGINT AS c_nationkey,
+ round(c_acctbal, 4) AS c_acctbal, c_mktsegment FROM customer"""
+    q["l_fingerprint"] = """SELECT kind, count(*) + (kind = 'repeated')::BIGINT AS row_count, kind = 'same' AS "equal"
+ FROM documents, (VALUES ('same'), ('repeated'), ('changed')) k(kind) GROUP BY kind"""
+    q["m_distinct_sketch"] = dirty + "\nUNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS distinct_count, true AS near FROM {ed}" for c in EVENTS_DIRTY)
+    q["m_merged_slices"] = "\nUNION ALL ".join(
+        f"""SELECT '{c}' AS column_name, count(*) AS row_count, count({c}) AS non_null, {_r('mean', 'std', 'min', 'max', 'skewness')} FROM (
+ SELECT {c}, avg({c}) OVER () AS mean, stddev_samp({c}) OVER () AS std, min({c}::DOUBLE) OVER () AS min, max({c}::DOUBLE) OVER () AS max,
+ skewness({c}) OVER () AS skewness FROM orders) GROUP BY mean, std, min, max, skewness"""
+        for c in ("o_orderkey", "o_custkey", "o_totalprice"))
     return q

@@ -6,13 +6,22 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass, fields
 from typing import Any
+from uuid import uuid4
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from prepkit.functions.columns import union_all
-from prepkit.operators.transform import KINDS, Params, affected_rows, transform
+from prepkit.functions.columns import FRACTIONAL_TYPES, col, union_all
+from prepkit.operators.transform import (
+    KINDS,
+    Params,
+    affected_rows,
+    capped_cells,
+    fitted_once,
+    touches_rows,
+    transform,
+)
 from prepkit.sources.tables import materialise
 
 
@@ -121,6 +130,72 @@ class Dataset:
         return union_all(lines)
 
 
+LOG = ("dataset_id string, sequence_order int, transformation_type string, columns string, parameters string, "
+       "affected_rows bigint, rows_after bigint, version_path string")
+
+
+def apply_logged(df: DataFrame, steps: Sequence[Step], folder: str, dataset_id: str) -> DataFrame:
+    """Apply steps one after the other, each version written once to ``folder``, and log them.
+
+    What the log says is observed while the versions are written: rows, and gaps by column, of
+    which those before a fill are the cells it fills; capped cells are counted as they are
+    capped. No version is read again to be counted, and limits are fitted once.
+    """
+    spark = df.sparkSession
+    run = uuid4().hex
+    df, before = _written(df, f"{folder}/versions/{run}-0")
+    for number, step in enumerate(steps, 1):
+        capped = Observation() if step.kind.startswith("cap_outliers_") else None
+        with fitted_once():
+            after = transform(df, step.kind, step.params)
+            if capped:  # the limits are known now, so this fits nothing again
+                counted = df.observe(capped, capped_cells(df, step.kind, step.params).alias("cells"))
+                after = transform(counted, step.kind, step.params)
+        path = f"{folder}/versions/{run}-{number}"
+        after, now = _written(after, path)
+        if step.kind.startswith("impute_"):
+            numeric = step.kind in ("impute_mean", "impute_median")
+            affected = sum(before[c] for c in (step.params.numeric(df) if numeric else step.params.existing(df)))
+        elif step.kind.startswith("remove_") or step.kind in ("drop_rows", "filter_rows"):
+            affected = before[ROWS] - now[ROWS]
+        elif capped:
+            affected = capped.get["cells"]
+        else:
+            affected = before[ROWS] if touches_rows(df, step.kind, step.params) else 0
+        row = (dataset_id, number, step.kind, ", ".join(step.params.columns), json.dumps(step.params.to_dict()),
+               affected, now[ROWS], path)
+        spark.createDataFrame([row], LOG).coalesce(1).write.mode("append").parquet(f"{folder}/log")
+        df, before = after, now
+    return df
+
+
+#: The key of the row count among the gaps by column; no column has an empty name.
+ROWS = ""
+
+
+def _written(df: DataFrame, path: str) -> tuple[DataFrame, dict[str, int]]:
+    """Write a version and observe its rows and the gaps of each column in the same pass."""
+    seen = Observation()
+    gaps = [_gaps(df, c) for c in df.columns]
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *[g.alias(f"gaps_{i}") for i, g in enumerate(gaps)]).write.parquet(path)
+    found = seen.get
+    return df.sparkSession.read.schema(df.schema).parquet(path), {
+        ROWS: found["rows"], **{c: found[f"gaps_{i}"] for i, c in enumerate(df.columns)}}
+
+
+def _gaps(df: DataFrame, name: str) -> Column:
+    gap = col(name).isNull()
+    if isinstance(df.schema[name].dataType, FRACTIONAL_TYPES):
+        gap = gap | F.coalesce(F.isnan(col(name)), F.lit(False))
+    return F.count_if(gap)
+
+
+def read_log(spark: SparkSession, folder: str, dataset_id: str | None = None) -> DataFrame:
+    """The log's rows; nothing but the log is read."""
+    log = spark.read.schema(LOG).parquet(f"{folder}/log")
+    return log if dataset_id is None else log.filter(F.col("dataset_id") == dataset_id)
+
+
 SAVED = (
     "pipeline_id string, pipeline_name string, description string, category string, steps string, "
     "is_public boolean, usage_count bigint, tags array<string>"

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from prepkit.functions import parsing
 from prepkit.functions.columns import col
+from prepkit.sources.intake import encoding_audit
 
 # Cell texts that mean a missing value.
 NULL_TOKENS = [
@@ -19,6 +20,10 @@ NULL_TOKENS = [
     "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "none", "null",
 ]
 PREVIEW_ROWS = 1000
+# Charsets that the encoding audit tells apart, and those whose line feed is more
+# than one byte, so a file cannot be cut at one.
+CHARSETS = {"ascii": "UTF-8", "utf-8": "UTF-8", "utf-16": "UTF-16", "utf-32": "UTF-32", "iso-8859-1": "ISO-8859-1"}
+WIDE = ("utf-16", "utf-32")
 SURPLUS, LINE = "__surplus", "__line"
 
 
@@ -36,7 +41,8 @@ def headers(spark: SparkSession, path: str | Sequence[str], **options) -> dict[s
     files = [unquote(f) for f in spark.read.text(path).inputFiles()]
 
     def header(file: str) -> list[str]:
-        return spark.read.options(**options).csv(file).columns
+        names = spark.read.options(**options).csv(file).columns
+        return [names[0].lstrip("\ufeff"), *names[1:]] if names else names
 
     with ThreadPool(16) as pool:
         return {f: names for f, names in zip(files, pool.map(header, files)) if names}
@@ -52,8 +58,20 @@ def read_text_cells(
     some (then NULL) or have more. One more column than the header has is read, so fields
     beyond the header show up in ``__surplus`` instead of being lost; ``keep_line`` puts the
     whole line there when there are several. Files with line breaks inside quotes need
-    ``multi_line``, which makes each file one task.
+    ``multi_line``, which makes each file one task. With ``encoding="detect"`` the encoding audit
+    tells the charset of each file, and files of each charset are read together.
     """
+    if encoding == "detect":
+        audited = encoding_audit(spark, path).filter("has_content").groupBy("encoding").agg(
+            F.collect_list("path").alias("files")).collect()  # names of files, as any listing
+        if not audited:
+            raise CsvError("no header: the files are empty")
+        groups = [read_text_cells(spark, r["files"], CHARSETS[r["encoding"]], multi_line or r["encoding"] in WIDE, separator, keep_line)
+                  for r in sorted(audited)]
+        whole = groups[0]
+        for group in groups[1:]:
+            whole = whole.unionByName(group, allowMissingColumns=True)
+        return whole.select(*[col(c) for c in whole.columns if c != SURPLUS], SURPLUS)
     options = {
         "header": True, "encoding": encoding, "multiLine": multi_line, "sep": separator,
         "escape": '"', "nullValue": "\u0000",

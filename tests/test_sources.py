@@ -146,3 +146,14 @@ def test_scratch_space_is_the_shared_folder(spark):
     unset = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: default))
     with pytest.raises(ValueError):
         shared_folder(unset)
+
+
+def test_files_of_several_charsets_are_one_table(spark, tmp_path):
+    text = "k,name\n1,zoë\n2,Øst\n"
+    for name, charset in (("a", "utf-8"), ("b", "utf-16"), ("c", "iso-8859-1"), ("d", "utf-8-sig")):
+        (tmp_path / f"{name}.csv").write_bytes(text.encode(charset))
+    (tmp_path / "e.csv").write_bytes(b"name,k\nplain,3\n")
+    (tmp_path / "f.csv").write_bytes(b"")
+    got = delimited.read_csv(spark, str(tmp_path), encoding="detect")
+    assert dict(got.dtypes) == {"k": "bigint", "name": "string"}
+    assert sorted(tuple(r) for r in got.select("k", "name").collect()) == [(1, "zoë")] * 4 + [(2, "Øst")] * 4 + [(3, "plain")]

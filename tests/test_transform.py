@@ -3,6 +3,7 @@ import json
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from prepkit.operators import broadcasts
 from prepkit.operators import transform as tr
@@ -213,3 +214,63 @@ def test_a_step_that_fails_at_run_time_is_reported(small):
     out, report = replay(small, steps, checked=True)
     assert [(r["success"], r.get("rows_after")) for r in report] == [(False, None), (True, 4)]
     assert "DIVIDE_BY_ZERO" in report[0]["error"] and out.count() == 4
+
+
+def test_log_is_written_while_steps_are_applied(spark, tmp_path):
+    from prepkit.plans.pipeline import apply_logged, read_log
+    df = spark.createDataFrame([(1, 1.0, "a"), (1, 1.0, "a"), (2, None, "b"), (3, 5.0, None), (4, 900.0, "b")] + [
+        (i, float(i % 7), "c") for i in range(5, 40)], "id long, v double, s string")
+    steps = [Step("remove_duplicates"), Step("impute_median", Params(columns=("v", "s"))), Step("cap_outliers_iqr", Params(columns=("v",))),
+             Step("drop_rows", Params(columns=("s",))), Step("encode_label", Params(columns=("s",)))]
+    out = apply_logged(df, steps, str(tmp_path), "d")
+    dataset = Dataset(df)
+    for s in steps:
+        dataset = dataset.apply(s.kind, s.params)
+    assert as_set(out) == as_set(dataset.table)
+    fields = ["sequence_order", "transformation_type", "columns", "affected_rows", "rows_after"]
+    rows = lambda f: sorted(tuple(r) for r in f.select(*fields).collect())
+    assert rows(read_log(spark, str(tmp_path), "d")) == rows(dataset.history())
+    assert read_log(spark, str(tmp_path), "other").count() == 0
+
+
+def test_limits_are_fitted_once_in_a_step(spark, monkeypatch):
+    from prepkit.operators import transform as tr
+    calls = []
+    fit = tr.quantiles
+    monkeypatch.setattr(tr, "quantiles", lambda df, names, *a, **k: calls.append(names) or fit(df, names, *a, **k))
+    df = spark.createDataFrame([(float(i),) for i in range(30)] + [(900.0,)], "v double")
+    _, result = tr.apply(df, "cap_outliers_iqr", Params(columns=("v",)))
+    assert result.affected_rows == 1 and calls == [["v"], ["v"], ["v"]]  # the limits, then the medians before and after
+
+
+def test_a_bug_is_not_a_failed_step(spark, monkeypatch):
+    from prepkit.operators import transform as tr
+    monkeypatch.setattr(tr, "affected_rows", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        tr.apply(spark.range(3), "drop_rows", Params(columns=("id",)))
+
+
+def test_too_many_values_for_a_column_each(spark, monkeypatch):
+    from prepkit.operators import transform as tr
+    monkeypatch.setattr(tr, "MOST_ONEHOT", 9)
+    df = spark.range(10).selectExpr("STRING(id) AS k")
+    with pytest.raises(ValueError, match="onehot_form='index'"):
+        tr.transform(df, "encode_onehot", Params(columns=("k",)))
+    assert tr.transform(df.limit(9), "encode_onehot", Params(columns=("k",))).count() == 9
+    assert tr.transform(df, "encode_onehot", Params(columns=("k",), onehot_form="index")).count() == 10
+
+
+def test_results_follow_the_data(spark, tmp_path):
+    from prepkit.plans import results
+    path, runs = str(tmp_path / "results"), []
+    now = F.lit("2024-01-02 08:00:00").cast("timestamp_ntz")
+    df = spark.range(20).withColumn("v", F.col("id") * 2)
+
+    def served(frame, at=now):
+        rows, was_there = results.served(frame, path, "d", "counts", lambda d: runs.append(1) or d.groupBy().count(), at)
+        return [r["results"] for r in rows.collect()], was_there
+
+    assert served(df) == (['{"count":20}'], False) and served(df.repartition(3)) == (['{"count":20}'], True)
+    changed = df.withColumn("v", F.when(F.col("id") == 7, 0).otherwise(F.col("v")))
+    assert served(changed)[1] is False and served(df)[1] is True
+    assert served(df, now + F.expr("INTERVAL 2 DAYS"))[1] is False and len(runs) == 3
