@@ -20,9 +20,11 @@ OPENINGS = (r"(permission is hereby granted|permission to use|redistribution and
             r"released under|this work is licensed|this program is free|this library is free|this file is part|"
             r"this is free and unencumbered|this source code form|spdx license identifier|spdx-license-identifier)")
 BODY = r"(?!\s+(holders?|owners?|notices?|laws?|licen[sc]e|statements?|permission|disclaimer|interest|treaty|and|or|in|on|the|to)\b)"
-#: A statement ends with its line, or where the licence begins. Amid a line it is one only before that.
-STATEMENT = (rf"(?m)^\s*(copyright\b{BODY}|\(c\)(?=\s*(copyright|by\b|[\d<\[©]))|©|all rights reserved).*?(?=\b{OPENINGS}|$)"
-             rf"|\bcopyright\s+(\(c\)|©|\d{{4}}).*?(?=\b{OPENINGS})")
+#: A statement ends with its line, or where the licence begins. Amid a line it is one only before that,
+#: and of AMID characters at most, so that a text is read in time that grows with its length alone.
+AMID = 400
+STATEMENT = (rf"(?m)^[ \t\x0B\f]*+(copyright\b{BODY}|\(c\)(?=\s*(copyright|by\b|[\d<\[©]))|©|all rights reserved).*?(?=\b{OPENINGS}|$)"
+             rf"|\bcopyright\s{{1,20}}(\(c\)|©|\d{{4}}).{{0,{AMID}}}?(?=\b{OPENINGS})")
 #: Spellings in use for the same word.
 SPELLINGS = (("licence", "license"), ("sub license", "sublicense"), ("non infringement", "noninfringement"),
              ("merchantibility", "merchantability"), ("organisation", "organization"), ("favour", "favor"),
@@ -93,8 +95,10 @@ def canonical(text: Column) -> Column:
     return text
 
 
-def digest(form: Column) -> Column:
-    return F.when(form != "", F.sha2(form, 256))
+def digests(texts: Column) -> Column:
+    """Digests of an array of texts, NULL for those without a form. Forms are made first, so that
+    none is made once to be compared and again to be hashed."""
+    return F.transform(F.transform(texts, canonical), lambda form: F.when(form != "", F.sha2(form, 256)))
 
 
 def known_licences(spark: SparkSession, texts: Mapping[str, str] | tuple | None = None) -> DataFrame:
@@ -102,7 +106,7 @@ def known_licences(spark: SparkSession, texts: Mapping[str, str] | tuple | None
     this package knows."""
     rows = list(KNOWN + TEXTS if texts is None else texts.items() if isinstance(texts, Mapping) else texts)
     known = spark.createDataFrame(rows, "license string, text string")
-    known = known.select("license", digest(canonical(F.col("text"))).alias("digest")).where("digest is not null")
+    known = known.select("license", F.get(digests(F.array("text")), F.lit(0)).alias("digest")).where("digest is not null")
     if texts is None:
         known = known.union(spark.createDataFrame([(name, held) for held, name in DIGESTS.items()], known.schema))
     return known.groupBy("digest").agg(F.min("license").alias("license"))
@@ -118,9 +122,9 @@ def licences(docs: DataFrame, known: DataFrame | None = None, doc_id: str = "doc
     of some dozens of rows; a large one is joined by a shuffle.
     """
     known = known_licences(docs.sparkSession) if known is None else known
-    lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: digest(canonical(x)))
+    lines = digests(F.array_distinct(F.split(F.coalesce(F.col(text), F.lit("")), "\n")))
     base = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("mark"),
-                       digest(canonical(F.col(text))).alias("digest"), F.array_distinct(lines).alias("lines"))
+                       F.get(digests(F.array(text)), F.lit(0)).alias("digest"), F.array_distinct(lines).alias("lines"))
     noted = (base.select("id", "mark", F.explode("lines").alias("digest")).where("digest is not null")
              .join(known, "digest").groupBy("id", "mark").agg(F.sort_array(F.collect_set("license")).alias("noted")))
     whole = base.drop("lines").join(known, "digest", "left")

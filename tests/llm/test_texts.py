@@ -348,3 +348,12 @@ def test_written_shards(spark, docs, rows, tmp_path):
     sharding.write_shards(sharding.shuffled_shards(docs, shards=3), str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == len(rows) and {r[0] for r in back.select("shard").distinct().collect()} == {0, 1, 2}
+
+
+@pytest.mark.parametrize("blank", ["\n", "\r\n", " \n", "\r", "\n\t\f"])
+def test_licence_scan_takes_long_runs_of_blank_lines(spark, blank):
+    texts = [blank * 100_000 + licences.MIT, "Copyright (c) 2020 X\n" + blank * 100_000 + "\n" + licences.MIT,
+             "copyright (c) 2020 x " * 20_000, blank * 100_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.license for r in licences.licences(rows).collect()}
+    assert found == {0: "MIT", 1: "MIT", 2: None, 3: None}
