@@ -49,8 +49,10 @@ def scored(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "
     kinds = np.zeros(CLASSES)
     for r in totals:
         n[r["class"]], kinds[r["class"]] = r["n"], r["kinds"]
-    trigrams = counts.where("trigram").select("key", "n").toPandas()
-    table = class_table(trigrams["key"].to_numpy(np.int64), trigrams["n"].to_numpy(np.float64))
+    # As Arrow: rows of Python numbers would take thirty times the room.
+    trigrams = counts.where("trigram").select("key", "n").toArrow()
+    table = class_table(trigrams["key"].to_numpy(), trigrams["n"].to_numpy().astype(np.float64))
+    del trigrams
     copied = _most_frequent(tokens)
     model = base.sparkSession.sparkContext.broadcast((table, np.log10(n + SMOOTH * (kinds + 1)), *copied))
 
@@ -130,8 +132,8 @@ def _most_frequent(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
         least = size
     if least is None:
         return np.empty(0, np.uint64), np.empty(0), 2**62
-    found = tokens.where(F.floor(F.log2("n") * 8) >= least).select("key", "n").toPandas()
-    keys, n = found["key"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    found = tokens.where(F.floor(F.log2("n") * 8) >= least).select("key", "n").toArrow()
+    keys, n = found["key"].to_numpy().view(np.uint64), found["n"].to_numpy()
     order = np.argsort(keys)
     return keys[order], n[order].astype(np.float64), int(n.min())
 
