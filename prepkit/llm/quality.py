@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 from prepkit.llm.text import FIRST, PIECE_BYTES, SECOND, Words, in_pieces, mixed, texts_of
 
 #: The classifier is fitted on a sample of labelled rows: so many at most, the ones with the
-#: smallest seeded hash, as far as their texts fit into so many bytes.
+#: smallest seeded hash, if their texts fit into what is left of so many bytes.
 SAMPLE_ROWS, SAMPLE_BYTES = 6_000, 16_000_000
 SIZE, NONZERO, REACH, UNITS = 64, 4, 2, 20_000
 HIDDEN, EPOCHS, RATE, BATCH, DECAY, SEED = 32, 60, 2e-3, 64, 1e-4, 5
+#: Neighbours counted at a time.
+AT_ONCE = 500_000
 #: One training document in so many is kept apart for the temperature.
 CALIBRATION = 5
 
@@ -65,20 +67,25 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
            label: str = "quality", rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> Model:
     """Fit on documents that ``labels`` marks 0 or 1. Rows without an id, a text or a label are
-    not learnt from; an id labelled twice counts with its smaller label. Without both labels
-    every document scores one half."""
+    not learnt from; an id labelled twice counts with its smaller label. An id whose texts do not
+    fit into what is left of the bytes is passed over. Without both labels every document scores
+    one half."""
     marked = (labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull())
               .groupBy(F.col(doc_id).alias("id")).agg(F.min(label).alias("label"))
               .orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(rows))
     found = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(marked), "id")
     place = F.xxhash64("id", F.lit(SEED))
-    sizes = found.select("id", F.octet_length("text").alias("size"), place.alias("place")).toPandas()
-    sizes = sizes.sort_values(["place", "size"])
-    chosen = sizes[sizes["size"].cumsum() <= most_bytes]["id"].unique().tolist()
-    keep = docs.sparkSession.createDataFrame([(i,) for i in chosen], "id long")
-    sample = sorted((r["place"], r["text"], r["label"]) for r in
-                    found.join(F.broadcast(keep), "id", "left_semi").select(place.alias("place"), "text", "label").collect())
-    return _train([t.encode() for _, t, _ in sample], np.array([y for *_, y in sample], np.float32))
+    sizes = found.groupBy("id", place.alias("place")).agg(F.sum(F.octet_length("text")).alias("size")).collect()
+    chosen, held = [], 0
+    for r in sorted(sizes, key=lambda r: (r["place"], r["id"])):  # what does not fit is passed over
+        if held + r["size"] <= most_bytes:
+            chosen.append((r["id"],))
+            held += r["size"]
+    keep = docs.sparkSession.createDataFrame(chosen, "id long")
+    sample = found.join(F.broadcast(keep), "id", "left_semi").select(
+        place.alias("place"), F.col("text").cast("binary").alias("text"), "label").toArrow()
+    sample = sample.sort_by([("place", "ascending"), ("text", "ascending"), ("label", "ascending")])
+    return _train(sample["text"].to_pylist(), sample["label"].to_numpy().astype(np.float32))
 
 
 def _units(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -132,23 +139,25 @@ def _pooled(texts: list[bytes], units: np.ndarray, vectors: np.ndarray) -> np.nd
 
 def _context_vectors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Random indexing over the training texts: units, and their context vectors of length one."""
-    parts = [Words(p) for p in _pieces(texts)]
-    word, shape = (np.concatenate(x) for x in zip(*map(_units, parts)))
-    counts = np.concatenate([p.counts for p in parts])
+    parts = [(*_units(w), w.counts) for w in map(Words, _pieces(texts))]
+    word, shape, counts = (np.concatenate(x) for x in zip(*parts))
     del parts
     seen, count = np.unique(word, return_counts=True)
     frequent = seen[np.argsort(-count, kind="stable")[:UNITS]]
     units = np.unique(np.concatenate([frequent[np.isin(frequent, seen[count >= 5])], shape, [np.uint64(0)]]))
-    ids, owner = _ids(word, shape, units), np.repeat(np.arange(len(counts)), counts)
+    ids, owner = _ids(word, shape, units), np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    del word, shape
     keys = mixed(units[:, None] + np.arange(1, NONZERO + 1, dtype=np.uint64) * FIRST)
     place = (keys % np.uint64(SIZE)).astype(np.int64)
     sign = np.where(keys >> np.uint64(63), 1.0, -1.0)
     flat = np.zeros(len(units) * SIZE)
     for step in range(1, REACH + 1):
-        same = owner[:-step] == owner[step:]
-        for a, b in ((ids[:-step][same], ids[step:][same]), (ids[step:][same], ids[:-step][same])):
-            for k in range(NONZERO):
-                flat += np.bincount(a * SIZE + place[b, k], sign[b, k], len(flat))
+        for at in range(0, len(ids) - step, AT_ONCE):
+            near, far = ids[at:at + AT_ONCE][:len(ids) - step - at], ids[at + step:at + step + AT_ONCE]
+            same = owner[at:at + AT_ONCE][:len(near)] == owner[at + step:at + step + AT_ONCE]
+            for a, b in ((near[same], far[same]), (far[same], near[same])):
+                for k in range(NONZERO):
+                    flat += np.bincount(a * SIZE + place[b, k], sign[b, k], len(flat))
     vectors = flat.reshape(-1, SIZE)
     # A unit's own index vector tells it from others in the same surroundings.
     own = np.zeros_like(vectors)

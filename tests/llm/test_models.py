@@ -127,3 +127,13 @@ def test_no_training_tokens(spark):
     got = sorted(map(tuple, language_model.scored(docs, F.lit(False)).collect()))
     assert [g[:4] for g in got] == [(1, 3, 0, 0), (2, 1, 0, 0)] and got[0][4] == pytest.approx(0)
     assert language_model.scored(docs.where("false"), F.lit(True)).count() == 0
+
+
+def test_a_giant_labelled_text_does_not_end_the_sample(spark):
+    from prepkit.llm import quality
+    rows = [(i, ("good words here and there " if i % 2 else "$$$ ### !!! ") * 5) for i in range(60)] + [(1000 + i, "x y " * 50_000) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(d, d % 2) for d, _ in rows], "doc_id long, quality int")
+    model = quality.fitted(docs, labels, most_bytes=30_000)
+    scores = {r.doc_id: r.score for r in quality.scored(docs.where("doc_id < 60"), model).collect()}
+    assert all((s > 0.5) == bool(d % 2) for d, s in scores.items())
