@@ -1,9 +1,10 @@
 """Fuzzy line deduplication by MinHash.
 
 Equal lines are one line first. Each distinct line is a set of character shingles; its
-signature holds, for each of a number of hash functions, the smallest hash of a shingle. The
-functions are one 64-bit hash XORed with constants, each a permutation of the hash range. Lines
-that agree on a band of the signature meet in a bucket. There every line is held against the
+signature holds, for each of a number of points of the range of a 64-bit hash, the first hash of a
+shingle from there on, around the end of the range. That is the smallest under the hash less the
+point, a permutation of the range, and costs one grouped minimum for each part of the range
+instead of a comparison for each point. Lines that agree on a band of the signature meet in a bucket. There every line is held against the
 bucket's leader by exact Jaccard similarity, and distributed union-find over the matches gives
 components. In buckets that then still span several components, lines of different components
 are compared, matched or not: all with all where that is few pairs, else all with a share of
@@ -26,17 +27,17 @@ from prepkit.llm.scratch import small_if_few, stored
 SHINGLE, PERCENT = 8, 80
 #: Lines of similarity 0.8 miss each other in all bands with a chance of 1.5 %, of 0.9 with 0.02 %.
 BANDS, ROWS = 8, 4
+POINTS = BANDS * ROWS
 #: Places of a signature in which lines have to agree to be compared: at similarity 0.8 they
-#: agree in fewer with a chance of 0.007 %.
-AGREE = BANDS * ROWS // 2
+#: agree in fewer with a chance of 0.007 %. Lines with fewer shingles than FEW are not ruled out by
+#: it, as one shingle is the first from many points on there.
+AGREE, FEW = POINTS // 2, 64
 #: Leaders of a bucket in the first round across components, on average; GROWTH times as many in
 #: each further one. Buckets with no more pairs across components than half as many for each of
 #: their lines are compared in full.
 LEADERS, GROWTH = 128, 4
 #: Places of a signature that share a word of the sketch: seven bits and a guard bit each.
 PLACES = 7
-#: The constants of the hash functions are multiples of this modulo 2 ** 64.
-STEP = 0x9E3779B97F4A7C15
 
 
 def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -104,46 +105,60 @@ def _wide(content: Column) -> Column:
     return F.encode(content, "UTF-32")
 
 
-def _shingle(wide: Column, i: Column) -> Column:
-    return F.xxhash64(F.substring(wide, i * 4 + 1, F.lit(4 * SHINGLE)))
+def _shingle(wide: Column, at: Column) -> Column:
+    return F.xxhash64(F.substring(wide, at, F.lit(4 * SHINGLE)))
 
 
-def _last_place(wide: str) -> Column:
-    """Where the last shingle begins."""
-    return F.expr(f"cast(octet_length({wide}) / 4 as int) - {SHINGLE}")
+def _places(wide: str) -> Column:
+    """The bytes, from 1, where the shingles begin."""
+    return F.sequence(F.lit(1), F.octet_length(wide) - (4 * SHINGLE - 1), F.lit(4))
+
+
+def _hashed(contents: DataFrame) -> DataFrame:
+    """``line`` and ``h`` of every shingle, on the partition of its line and in generated code."""
+    cut = contents.select("line", _wide(F.col("content")).alias("wide"))
+    cut = cut.select("line", "wide", F.explode(_places("wide")).alias("at"))
+    return cut.select("line", _shingle(F.col("wide"), F.col("at")).alias("h"))
+
+
+def _signatures(contents: DataFrame) -> DataFrame:
+    """``line`` and the places of its signature, ``m0`` and on; point k begins part k of the hash range."""
+    shift = 64 - (POINTS - 1).bit_length()
+    least = _hashed(contents).groupBy("line", (F.shiftright("h", shift) + POINTS // 2).alias("part")).agg(F.min("h").alias("h"))
+    firsts = [f"h{k}" for k in range(POINTS)]
+    parts = least.groupBy("line").agg(*[F.min(F.when(F.col("part") == k, F.col("h"))).alias(h) for k, h in enumerate(firsts)])
+    held = reduce(add, [F.when(F.col(h).isNotNull(), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, h in enumerate(firsts)])
+    # The first of part k or, where it holds none, of the next that does.
+    found = parts.select("line", held.alias("held"), F.array_compact(F.array(*firsts)).alias("found"))
+    passed = [F.bit_count(F.col("held").bitwiseAND(F.lit((1 << k) - 1))) for k in range(POINTS)]
+    return found.select("line", *[F.get("found", F.pmod(n, F.size("found"))).alias(f"m{k}") for k, n in enumerate(passed)])
 
 
 def _rooted(lines: DataFrame) -> DataFrame:
     """``node`` and ``root`` of lines that are like another one of a bucket, by components."""
     enough = lines.where(F.char_length("content") >= SHINGLE)
-    once = enough.groupBy("line").agg(F.first("content").alias("content"))
-    # Still partitioned by line, so the signature needs no shuffle of its own.
-    cut = once.select("line", _wide(F.col("content")).alias("wide"))
-    cut = cut.select("line", "wide", F.explode(F.sequence(F.lit(0), _last_place("wide"))).alias("i"))
-    hashed = cut.select("line", _shingle(F.col("wide"), F.col("i")).alias("h"))
-    signed = [(k * STEP + 2**63) % 2**64 - 2**63 for k in range(BANDS * ROWS)]
-    signature = hashed.groupBy("line").agg(*[
-        F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(signed)])
-    bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
+    # Partitioned by line from here on, so the signature needs no shuffle of its own.
+    signature = _signatures(enough.groupBy("line").agg(F.first("content").alias("content")))
+    # Points far from each other in each band, as a shingle is often the first from neighbouring ones on.
+    bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b + BANDS * r}" for r in range(ROWS)]) for b in range(BANDS)])
     signed_lines = stored(signature.select("line", bands.alias("bands"), *_sketch()), "line-signatures")
     buckets = signed_lines.select("line", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("line").alias("leader"), F.max("line").alias("high")).where("leader < high")
     led = stored(buckets.join(shared.select("bucket", "leader"), "bucket").where("line != leader"), "line-members")
     wanted = led.select("line").union(led.select("leader")).distinct()
     contents = lines.join(small_if_few(wanted), "line", "left_semi").groupBy("line").agg(F.first("content").alias("content"))
-    contents = stored(contents.join(signed_lines.drop("bands"), "line"), "line-texts")
-    sketches = contents.drop("content")
+    contents = stored(contents, "line-texts")
+    sizes = _hashed(contents.repartition("line")).distinct().groupBy("line").agg(F.count("*").cast("int").alias("n"))
+    sketches = stored(sizes.join(signed_lines.drop("bands"), "line"), "line-sizes")
     pairs = led.select("leader", "line").distinct()
     pairs = pairs.join(_named(sketches, "x_", line="leader"), "leader").join(_named(sketches, "y_", line="line"), "line")
-    rooted = components(_alike(pairs.where(_agree("x_", "y_") >= AGREE), contents), "leader", "line")
+    rooted = components(_alike(pairs.where(_near()), contents), "leader", "line")
 
     # The leader has met all lines of its bucket. The others are cut by size: lines as alike as
     # asked for share one of two classes.
     members = _across(led.select("bucket", "line"), rooted).select("bucket", "line")
-    sizes = _with_sets(contents.join(members.select("line").distinct(), "line", "left_semi"), content="x")
-    sizes = sizes.select("line", *WORDS, F.size("x").alias("n"))
     size = F.floor(F.log("n") / float(log(100 / PERCENT)))
-    members = members.join(sizes.withColumn("class", F.explode(F.array(size, size + 1))), "line")
+    members = members.join(sketches.withColumn("class", F.explode(F.array(size, size + 1))), "line")
     members = members.withColumn("bucket", F.xxhash64("bucket", "class")).drop("class")
     before, most = 0, LEADERS
     while not (members := stored(_across(members, rooted), "line-members")).isEmpty():
@@ -155,8 +170,7 @@ def _rooted(lines: DataFrame) -> DataFrame:
         pairs = _named(held.where("leads"), "x_", bucket="bucket", line="leader").join(
             _named(held, "y_", bucket="bucket", line="line"), "bucket")
         pairs = pairs.where("x_root != y_root and (not y_leads or leader < line)")
-        pairs = pairs.where(F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * PERCENT).where(_agree("x_", "y_") >= AGREE)
-        links = _alike(pairs, contents).toDF("node", "root")
+        links = _alike(pairs.where(_near()), contents).toDF("node", "root")
         rooted = components(rooted.union(links), "node", "root")
         members = members.where(F.col("pairs") * 2 > F.col("lines") * most)
         before, most = most, most * GROWTH
@@ -180,8 +194,8 @@ def _named(df: DataFrame, prefix: str, **names: str) -> DataFrame:
 
 
 #: The words of a sketch, and for each the guard bits of its places.
-WORDS = [f"s{w}" for w in range(-(-BANDS * ROWS // PLACES))]
-GUARDS = [sum(0x80 << 8 * j for j in range(min(PLACES, BANDS * ROWS - w * PLACES))) for w in range(len(WORDS))]
+WORDS = [f"s{w}" for w in range(-(-POINTS // PLACES))]
+GUARDS = [sum(0x80 << 8 * j for j in range(min(PLACES, POINTS - w * PLACES))) for w in range(len(WORDS))]
 
 
 def _sketch() -> list[Column]:
@@ -189,7 +203,7 @@ def _sketch() -> list[Column]:
     def part(k: int) -> Column:
         return F.shiftleft(F.col(f"m{k}").bitwiseAND(F.lit(127)), 8 * (k % PLACES))
 
-    return [reduce(add, map(part, range(w * PLACES, min((w + 1) * PLACES, BANDS * ROWS)))).alias(name) for w, name in enumerate(WORDS)]
+    return [reduce(add, map(part, range(w * PLACES, min((w + 1) * PLACES, POINTS)))).alias(name) for w, name in enumerate(WORDS)]
 
 
 def _agree(x: str, y: str) -> Column:
@@ -198,21 +212,30 @@ def _agree(x: str, y: str) -> Column:
                         for w, g in zip(WORDS, GUARDS)])
 
 
-def _with_sets(df: DataFrame, **sets: str) -> DataFrame:
-    """Add the distinct shingles of text columns under other names."""
-    def shingles(wide: str) -> Column:
-        places = F.sequence(F.lit(0), _last_place(wide))
-        return F.array_distinct(F.transform(places, lambda i: _shingle(F.col(wide), i)))
-
-    wide = df.withColumns({f"{name}_wide": _wide(F.col(text)) for text, name in sets.items()})
-    return wide.withColumns({name: shingles(f"{name}_wide") for name in sets.values()})
+def _near() -> Column:
+    """Whether sizes and sketches leave the two lines of a pair the similarity."""
+    least, most = F.least("x_n", "y_n"), F.greatest("x_n", "y_n")
+    return (least * 100 >= most * PERCENT) & ((most < FEW) | (_agree("x_", "y_") >= AGREE))
 
 
 def _alike(pairs: DataFrame, contents: DataFrame) -> DataFrame:
-    """The pairs, ``leader`` and ``line``, whose Jaccard similarity over shingles reaches the threshold."""
+    """The pairs, ``leader`` and ``line``, whose Jaccard similarity over shingles reaches the threshold.
+
+    Texts go to the pairs, as sets would be eight times as large. What two lines share is written
+    before it is filtered: a filter above the sets would be pushed below them and build them
+    anew, and encode a line again, for each of its shingles.
+    """
+    spark = pairs.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = contents.select("line", "content")
-    both = pairs.select("leader", "line").distinct()
-    both = both.join(texts.toDF("leader", "one"), "leader").join(texts.toDF("line", "other"), "line")
-    sets = _with_sets(both, one="x", other="y").select("leader", "line", "x", "y")
-    shared = sets.select("leader", "line", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("all"))
-    return stored(shared.where(F.col("n") * 100 >= (F.col("all") - F.col("n")) * PERCENT).select("leader", "line"), "line-pairs")
+    both = pairs.select("leader", "line", (F.col("x_n") + F.col("y_n")).alias("all")).distinct()
+    both = both.join(texts.toDF("leader", "one"), "leader")
+    # Few bytes and much work: as many tasks as there may be, not as few as hold the bytes.
+    both = both.repartition(tasks, "line").join(texts.toDF("line", "other"), "line")
+    wide = both.select("leader", "line", "all", _wide(F.col("one")).alias("one"), _wide(F.col("other")).alias("other"))
+
+    def shingles(wide: str) -> Column:
+        return F.transform(_places(wide), lambda at: _shingle(F.col(wide), at))
+
+    shared = stored(wide.select("leader", "line", "all", F.size(F.array_intersect(shingles("one"), shingles("other"))).alias("n")), "line-pairs")
+    return shared.where(F.col("n") * 100 >= (F.col("all") - F.col("n")) * PERCENT).select("leader", "line")
