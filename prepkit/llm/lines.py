@@ -3,12 +3,14 @@
 Equal lines are one line first. Each distinct line is a set of character shingles; its
 signature holds, for each of a number of points of the range of a 64-bit hash, the first hash of a
 shingle from there on, around the end of the range. That is the smallest under the hash less the
-point, a permutation of the range, and costs one grouped minimum for each part of the range
-instead of a comparison for each point. Lines that agree on a band of the signature meet in a bucket. There every line is held against the
-bucket's leader by exact Jaccard similarity, and distributed union-find over the matches gives
-components. In buckets that then still span several components, lines of different components
-are compared, matched or not: all with all where that is few pairs, else all with a share of
-them that grows every round until it is all. Of each component the first line stays.
+point, a permutation of the range, and costs one minimum for each part of the range instead of one
+for each point. In lines with few shingles one is the first from many points on, so they have a
+hash of its own for each band. Lines that agree on a band of the signature meet in a bucket. There
+every line is held against the bucket's leader by exact Jaccard similarity, and distributed
+union-find over the matches gives components. In buckets that then still span several components,
+lines of different components are compared, matched or not: all with all where that is few pairs,
+else all with a share of them that grows every round until it is all. Shingles are hashed and sets
+intersected in Arrow tasks on whole batches; Spark groups, joins and shuffles. Of each component the first line stays.
 """
 
 from __future__ import annotations
@@ -17,11 +19,14 @@ from functools import reduce
 from math import log
 from operator import add
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prepkit.llm.components import components
 from prepkit.llm.scratch import small_if_few, stored
+from prepkit.llm.text import gram_hashes, in_pieces, mixed, signed
 
 #: Characters of a shingle, and the similarity (percent) of lines that are the same line.
 SHINGLE, PERCENT = 8, 80
@@ -100,55 +105,107 @@ def _kept(base: DataFrame) -> DataFrame:
         F.size(F.collect_set("i")).alias("n_lines"), F.sort_array(F.collect_set(F.when(first, F.col("i")))).alias("kept"))
 
 
-def _wide(content: Column) -> Column:
-    """Four bytes a character, so that a shingle is found without counting from the start."""
-    return F.encode(content, "UTF-32")
-
-
-def _shingle(wide: Column, at: Column) -> Column:
-    return F.xxhash64(F.substring(wide, at, F.lit(4 * SHINGLE)))
-
-
-def _places(wide: str) -> Column:
-    """The bytes, from 1, where the shingles begin."""
-    return F.sequence(F.lit(1), F.octet_length(wide) - (4 * SHINGLE - 1), F.lit(4))
-
-
-def _hashed(contents: DataFrame) -> DataFrame:
-    """``line`` and ``h`` of every shingle, on the partition of its line and in generated code."""
-    cut = contents.select("line", _wide(F.col("content")).alias("wide"))
-    cut = cut.select("line", "wide", F.explode(_places("wide")).alias("at"))
-    return cut.select("line", _shingle(F.col("wide"), F.col("at")).alias("h"))
-
-
-def _signatures(contents: DataFrame) -> DataFrame:
-    """``line`` and the places of its signature, ``m0`` and on; point k begins part k of the hash range."""
-    shift = 64 - (POINTS - 1).bit_length()
-    least = _hashed(contents).groupBy("line", (F.shiftright("h", shift) + POINTS // 2).alias("part")).agg(F.min("h").alias("h"))
-    firsts = [f"h{k}" for k in range(POINTS)]
-    parts = least.groupBy("line").agg(*[F.min(F.when(F.col("part") == k, F.col("h"))).alias(h) for k, h in enumerate(firsts)])
-    held = reduce(add, [F.when(F.col(h).isNotNull(), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, h in enumerate(firsts)])
-    # The first of part k or, where it holds none, of the next that does.
-    found = parts.select("line", held.alias("held"), F.array_compact(F.array(*firsts)).alias("found"))
-    passed = [F.bit_count(F.col("held").bitwiseAND(F.lit((1 << k) - 1))) for k in range(POINTS)]
-    return found.select("line", *[F.get("found", F.pmod(n, F.size("found"))).alias(f"m{k}") for k, n in enumerate(passed)])
+#: Characters that a task hashes at a time, if no line alone has more.
+PIECE = 1_000_000
+NONE = np.uint64(2**64 - 1)
+
+
+def _shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all shingles of texts of SHINGLE characters or more, and the text of each."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    counts = lengths - (SHINGLE - 1)
+    # The shingles that reach into the next text are left out.
+    at = np.arange(counts.sum()) + np.repeat(np.arange(len(texts)) * (SHINGLE - 1), counts)
+    return mixed(gram_hashes(mixed(codes + np.uint64(1)), SHINGLE)[at]), np.repeat(np.arange(len(texts)), counts)
+
+
+def _sizes(h: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
+    """How many distinct shingles each text has."""
+    first = np.unique(mixed(h + mixed(owner.astype(np.uint64))), return_index=True)[1]
+    return np.bincount(owner[first], minlength=texts)
+
+
+def _firsts(h: np.ndarray, owner: np.ndarray, texts: int, points: int) -> np.ndarray:
+    """A row per text: the first hash from each point on; points cut the range evenly."""
+    least = np.full(texts * points, NONE)
+    np.minimum.at(least, owner * points + (h >> np.uint64(65 - points.bit_length())).astype(np.int64), h)
+    least = least.reshape(texts, points)
+    for k in [*range(points - 1, -1, -1)] * 2:
+        least[:, k] = np.where(least[:, k] == NONE, least[:, (k + 1) % points], least[:, k])
+    return least
+
+
+def _band(number: int, places: np.ndarray) -> np.ndarray:
+    h = np.full(len(places), mixed(np.array([number + 1], np.uint64))[0])
+    for column in places.T:
+        h = mixed(h + column)
+    return h
+
+
+def _signed_lines(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Bands and sketch of each line."""
+    texts = batch.column("content").to_pylist()
+    h, owner = _shingles(texts)
+    places = np.bincount(owner, minlength=len(texts))
+    firsts = _firsts(h, owner, len(texts), POINTS)
+    # Counted exactly where there may be few: other lines have no part of the range empty.
+    unsure = (places <= 4 * FEW) | (firsts[:, 1:] == firsts[:, :-1]).any(axis=1)
+    chosen = unsure[owner]
+    sizes = np.where(unsure, _sizes(h[chosen], owner[chosen], len(texts)), places)
+    few, many = sizes < FEW, sizes * 100 >= FEW * PERCENT
+    bands = np.zeros((len(texts), 2 * BANDS), np.uint64)
+    # Points far from each other in each band.
+    for b in range(BANDS):
+        bands[:, b] = _band(b, firsts[:, b::BANDS])
+    at = np.flatnonzero(few)
+    short = few[owner]
+    h, owner = h[short], np.searchsorted(at, owner[short])
+    for b in range(BANDS, 2 * BANDS):
+        bands[at, b] = _band(b, _firsts(mixed(h + np.uint64(b)), owner, len(at), ROWS))
+    held = np.repeat(np.stack([many, few], axis=1), BANDS, axis=1)
+    ends = np.concatenate([[0], np.cumsum(held.sum(axis=1))]).astype(np.int32)
+    words = [sum((firsts[:, k] & np.uint64(127)) << np.uint64(8 * (k % PLACES)) for k in range(w * PLACES, min((w + 1) * PLACES, POINTS)))
+             for w in range(len(WORDS))]
+    return pa.record_batch([batch.column("line"), pa.ListArray.from_arrays(pa.array(ends), signed(bands[held])), *map(signed, words)],
+                           names=["line", "bands", *WORDS])
+
+
+def _counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+    texts = batch.column("content").to_pylist()
+    return pa.record_batch([batch.column("line"), pa.array(_sizes(*_shingles(texts), len(texts)), pa.int64())], names=["line", "n"])
+
+
+def _matched(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The pairs whose sets reach the similarity; a line's set is made once in a batch."""
+    pairs = list(zip(batch.column("leader").to_pylist(), batch.column("line").to_pylist()))
+    texts = dict(zip((a for a, _ in pairs), batch.column("one").to_pylist()))
+    texts |= zip((b for _, b in pairs), batch.column("other").to_pylist())
+    h, owner = _shingles(list(texts.values()))
+    ends = np.cumsum(np.bincount(owner, minlength=len(texts)))
+    sets = {line: np.unique(part) for line, part in zip(texts, np.split(h, ends[:-1]))}
+    alike = []
+    for a, b in pairs:
+        both = np.concatenate([sets[a], sets[b]])
+        both.sort(kind="stable")  # two sorted runs: a merge
+        shared = int(np.count_nonzero(both[1:] == both[:-1]))
+        alike.append(shared * 100 >= (len(both) - shared) * PERCENT)
+    return batch.select(["leader", "line"]).filter(pa.array(alike))
 
 
 def _rooted(lines: DataFrame) -> DataFrame:
     """``node`` and ``root`` of lines that are like another one of a bucket, by components."""
     enough = lines.where(F.char_length("content") >= SHINGLE)
-    # Partitioned by line from here on, so the signature needs no shuffle of its own.
-    signature = _signatures(enough.groupBy("line").agg(F.first("content").alias("content")))
-    # Points far from each other in each band, as a shingle is often the first from neighbouring ones on.
-    bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b + BANDS * r}" for r in range(ROWS)]) for b in range(BANDS)])
-    signed_lines = stored(signature.select("line", bands.alias("bands"), *_sketch()), "line-signatures")
+    once = enough.groupBy("line").agg(F.first("content").alias("content"))
+    signed_lines = stored(once.mapInArrow(in_pieces(_signed_lines, PIECE, "content"),
+                                          "line long, bands array<long>, " + ", ".join(f"{w} long" for w in WORDS)), "line-signatures")
     buckets = signed_lines.select("line", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("line").alias("leader"), F.max("line").alias("high")).where("leader < high")
     led = stored(buckets.join(shared.select("bucket", "leader"), "bucket").where("line != leader"), "line-members")
     wanted = led.select("line").union(led.select("leader")).distinct()
     contents = lines.join(small_if_few(wanted), "line", "left_semi").groupBy("line").agg(F.first("content").alias("content"))
     contents = stored(contents, "line-texts")
-    sizes = _hashed(contents.repartition("line")).distinct().groupBy("line").agg(F.count("*").cast("int").alias("n"))
+    sizes = contents.mapInArrow(in_pieces(_counted, PIECE, "content"), "line long, n long")
     sketches = stored(sizes.join(signed_lines.drop("bands"), "line"), "line-sizes")
     pairs = led.select("leader", "line").distinct()
     pairs = pairs.join(_named(sketches, "x_", line="leader"), "leader").join(_named(sketches, "y_", line="line"), "line")
@@ -193,19 +250,11 @@ def _named(df: DataFrame, prefix: str, **names: str) -> DataFrame:
     return df.select(*[F.col(c).alias(names.get(c, prefix + c)) for c in df.columns])
 
 
-#: The words of a sketch, and for each the guard bits of its places.
+#: The words of a sketch, seven bits of each place of a signature, and for each the guard bits of its places.
 WORDS = [f"s{w}" for w in range(-(-POINTS // PLACES))]
 GUARDS = [sum(0x80 << 8 * j for j in range(min(PLACES, POINTS - w * PLACES))) for w in range(len(WORDS))]
 
 
-def _sketch() -> list[Column]:
-    """Seven bits of each place of a signature, in a few words."""
-    def part(k: int) -> Column:
-        return F.shiftleft(F.col(f"m{k}").bitwiseAND(F.lit(127)), 8 * (k % PLACES))
-
-    return [reduce(add, map(part, range(w * PLACES, min((w + 1) * PLACES, POINTS)))).alias(name) for w, name in enumerate(WORDS)]
-
-
 def _agree(x: str, y: str) -> Column:
     """In how many places two sketches agree: there a guard bit outlives the subtraction."""
     return reduce(add, [F.bit_count((F.lit(g) - F.col(x + w).bitwiseXOR(F.col(y + w))).bitwiseAND(F.lit(g)))
@@ -221,21 +270,13 @@ def _near() -> Column:
 def _alike(pairs: DataFrame, contents: DataFrame) -> DataFrame:
     """The pairs, ``leader`` and ``line``, whose Jaccard similarity over shingles reaches the threshold.
 
-    Texts go to the pairs, as sets would be eight times as large. What two lines share is written
-    before it is filtered: a filter above the sets would be pushed below them and build them
-    anew, and encode a line again, for each of its shingles.
+    Texts go to the pairs, as sets would be eight times as large.
     """
     spark = pairs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = contents.select("line", "content")
-    both = pairs.select("leader", "line", (F.col("x_n") + F.col("y_n")).alias("all")).distinct()
+    both = pairs.select("leader", "line").distinct()
     both = both.join(texts.toDF("leader", "one"), "leader")
     # Few bytes and much work: as many tasks as there may be, not as few as hold the bytes.
     both = both.repartition(tasks, "line").join(texts.toDF("line", "other"), "line")
-    wide = both.select("leader", "line", "all", _wide(F.col("one")).alias("one"), _wide(F.col("other")).alias("other"))
-
-    def shingles(wide: str) -> Column:
-        return F.transform(_places(wide), lambda at: _shingle(F.col(wide), at))
-
-    shared = stored(wide.select("leader", "line", "all", F.size(F.array_intersect(shingles("one"), shingles("other"))).alias("n")), "line-pairs")
-    return shared.where(F.col("n") * 100 >= (F.col("all") - F.col("n")) * PERCENT).select("leader", "line")
+    return stored(both.mapInArrow(in_pieces(_matched, PIECE, "one"), "leader long, line long"), "line-pairs")

@@ -1,6 +1,7 @@
 """Decontamination, licences, rules, line dedup, mixing and sharding on awkward tables."""
 
 import random
+import time
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -233,6 +234,45 @@ def test_lines_like_a_matched_line(spark, monkeypatch, leaders):
     assert got == {i: [0] for i, _ in docs}
 
 
+def test_firsts_from_points_on():
+    """Against a search over all hashes, with lines that leave most parts of the range empty."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abc é") for _ in range(n)) for n in (8, 9, 12, 40, 600)] + ["a" * 50]
+    h, owner = lines._shingles(texts)
+    sizes = lines._sizes(h, owner, len(texts))
+    for points in (lines.ROWS, lines.POINTS):
+        got = lines._firsts(h, owner, len(texts), points)
+        for t, text in enumerate(texts):
+            own = sorted(set(h[owner == t].tolist()))
+            assert len(own) == sizes[t] == len({text[i:i + lines.SHINGLE] for i in range(len(text) - lines.SHINGLE + 1)})
+            for k in range(points):
+                assert got[t, k] == min(own, key=lambda v: (v - k * 2**64 // points) % 2**64)
+
+
+def test_lines_of_few_shingles(spark):
+    """Pairs of 12 to 90 characters just at the similarity or above: few may be missed."""
+    rng = random.Random(4)
+    pairs = []
+    while len(pairs) < 300:
+        line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(12, 90)))
+        other = rng.choice((line + rng.choice("ABC"), rng.choice("ABC") + line[1:], line[:-1] + "XY"))
+        if similar(line, other):
+            pairs.append(line + "\n" + other)
+    got = {r.doc_id: r.kept for r in lines.kept_lines(spark.createDataFrame(list(enumerate(pairs)), "doc_id long, text string")).collect()}
+    assert sum(len(k) == 2 for k in got.values()) <= 0.02 * len(pairs)
+    assert all(k[0] == 0 for k in got.values())
+
+
+def test_lines_of_a_hundred_thousand_characters(spark):
+    rng = random.Random(5)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(100_000))
+    rows = [(1, "x" + line), (2, "x" + line[:50_000] + "#" + line[50_000:]), (3, "x" + line[:50_000] + line[:50_000:-1])]
+    start = time.monotonic()
+    got = {r.doc_id: r.kept for r in lines.kept_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [0], 2: [], 3: [0]}
+    assert time.monotonic() - start < 60
+
+
 def test_text_of_kept_lines(spark):
     table = spark.createDataFrame([(2, "one line of text\nanother one here\n\nshort"), (1, "One line of text\nshort"), (3, None)],
                                   "doc_id long, text string")
