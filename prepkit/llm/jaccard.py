@@ -12,8 +12,9 @@ party's sorted set by binary search, the long lists last, and give up as soon as
 
 Equal sets are one node from the start. Links are found up to connection: every list links its
 members to its head, the set that has the fewest shingles before this one and so, among near
-copies, the one with the fewest changes of its own; lists whose members are then still in different components have these
-compared with each other, across components only. There a shingle counts as the first that two
+copies, the one with the fewest changes of its own. Where members are then still in different
+components, these are compared with the head of the whole list, and in what is left after that with
+each other, across components only. There a shingle counts as the first that two
 sets share, so what stands before it in either set is not shared: whoever has it too late
 can only link to smaller sets that have it early. No link between components is left out.
 """
@@ -51,8 +52,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     Rows that share an id are different documents. Other columns are not read.
     """
     base = keyed(docs, doc_id, text)
-    nodes, links = jaccard_links(base, percent, gram)
-    rooted = components(links.select("a", "b"))
+    nodes, rooted = jaccard_rooted(base, percent, gram)
     least = (nodes.where("n > 0").groupBy("node").agg(F.min("id").alias("low"))
              .join(rooted, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")))
     lowest = least.groupBy("root").agg(F.min("low").alias("component"))
@@ -62,9 +62,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         F.when(F.col("n") == 0, real_id()).otherwise(real_id("component")).alias("component_id"))
 
 
-def jaccard_links(base: DataFrame, percent: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    """``nodes`` (id, mark, node, n, profile; a node is a distinct set) and verified links
-    (a, b between nodes) that leave the components of all links unchanged."""
+def jaccard_rooted(base: DataFrame, percent: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """``nodes`` (id, mark, node, n, profile; a node is a distinct set), and ``node`` and ``root``
+    of those that links connect with another."""
     nodes = stored(base.mapInArrow(in_pieces(_nodes(gram)), NODE), "sets")
     long_lists = _long_lists(base, gram)
     members = stored(
@@ -83,22 +83,45 @@ def jaccard_links(base: DataFrame, percent: int, gram: int) -> tuple[DataFrame,
     first = stored(_verified(base, one, _possible(stars.select(
         F.col("head").alias("a"), F.col("node").alias("b")), one, percent), percent, gram), "links")
 
-    rooted = components(first)
-    held = members.join(rooted, "node", "left").select("shingle", "node", "at", F.coalesce("root", "node").alias("root"))
+    # Heads of whole lists first: they join most components of near copies, so that few pairs are
+    # left to compare across. What was tried is not tried again.
+    tried = stars.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"))
+    sized = members.select("shingle", "node", "at").join(one.select("node", "n"), "node")
+    rooted, apart = components(first), sized
+    for heads_only in (True, False):
+        apart = stored(_apart(apart, rooted), "apart")
+        pairs = stored(_near_pairs(apart, percent, heads_only).join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = stored(_verified(base, one, _possible(pairs, one, percent), percent, gram), "links")
+        rooted = components(rooted.toDF("a", "b").union(found))
+        tried = tried.union(pairs)
+    return nodes, rooted
+
+
+def _apart(members: DataFrame, rooted: DataFrame) -> DataFrame:
+    """Members of lists that span several components, with their ``root``."""
+    held = members.select("shingle", "node", "at", "n").join(rooted, "node", "left")
+    held = held.withColumn("root", F.coalesce("root", "node"))
     split = (held.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"))
              .where("low < high").select("shingle"))
-    apart = held.join(split, "shingle", "left_semi").join(one.select("node", "n"), "node")
-    # What two sets can share from this shingle on, against what they have to share.
-    apart = stored(apart.withColumn("left", F.col("n") - F.col("at")), "apart")
-    x, y = apart.where(F.col("left") * (100 + percent) >= F.col("n") * (2 * percent)).alias("x"), apart.alias("y")
-    near = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root"))
-                  & (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
-                  & (F.least("x.left", "y.left") * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent))
-    pairs = near.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    tried = stars.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    second = _verified(base, one, _possible(pairs, one, percent), percent, gram)
-    return nodes, stored(first.union(second), "links")
+    # What a set can share from this shingle on.
+    return held.join(split, "shingle", "left_semi").withColumn("left", F.col("n") - F.col("at"))
+
+
+def _near_pairs(apart: DataFrame, percent: int, heads_only: bool) -> DataFrame:
+    """Pairs of a list, across components, whose sizes and places leave the overlap within reach:
+    all of them, or those with the list's head."""
+    x = apart
+    if heads_only:
+        x = apart.groupBy("shingle").agg(F.min_by(F.struct(*(c for c in apart.columns if c != "shingle")),
+                                                  F.struct("at", "n", "node")).alias("head")).select("shingle", "head.*")
+    x, y = x.alias("x"), apart.alias("y")
+    near = ((F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root"))
+            & (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
+            & (F.least("x.left", "y.left") * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent))
+    if not heads_only:  # one of the two directions
+        near &= F.struct("x.n", "x.node") < F.struct("y.n", "y.node")
+        x = x.where(F.col("x.left") * (100 + percent) >= F.col("x.n") * (2 * percent))
+    return x.join(y, near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 NODE = "id long, mark long, node long, n long, profile binary"
