@@ -28,8 +28,9 @@ RUN_LEAST, RUN_MOST = 10_000, 2_000_000
 
 def manifest(docs: DataFrame, altered: Column | None = None, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """Per row its id (the first field), ``leaf``, ``subroot``, ``root`` and ``proof_sha256``, and
-    for the row with ``altered`` as its last field, ``folded_root`` and whether that is the root,
-    ``verified``. Where ``altered`` is NULL the row is as it was.
+    ``folded_root``, computed from the leaf of the row with ``altered`` as its last field and the
+    siblings of the proof, and whether that is the root, ``verified``. Where ``altered`` is NULL
+    the row is as it was and its own leaf is folded.
 
     ``fields`` are the id, the group and others, the last one the text; all enter the leaf, a
     NULL as ``-``. Within a group leaves ascend by id, a NULL id first, rows of one id by leaf;
@@ -53,13 +54,13 @@ def manifest(docs: DataFrame, altered: Column | None = None, fields: tuple[str,
         F.col("node.member").alias("group"), F.col("node.level").alias("level"), F.col("node.digest").alias("subroot"),
         "root", "path")
     held = descended(leaves, levels, stored(above, "sources"), "root", "subroot")
-    folded = F.aggregate("path", F.col("node.changed"), lambda digest, step: F.sha2(F.concat(
+    # Every row is folded, altered or not: that the root comes out again is a result, not given.
+    folded = F.aggregate("path", F.coalesce("node.changed", "node.digest"), lambda digest, step: F.sha2(F.concat(
         step["left"], digest, step["right"]), 256))
     siblings = F.array_join(F.transform("path", lambda step: F.concat(step["left"], step["right"])), "")
     return held.select(
         F.col("node.id").alias(doc_id), F.col("node.digest").alias("leaf"), "subroot", "root",
-        F.sha2(siblings, 256).alias("proof_sha256"),
-        F.when(F.col("node.changed").isNull(), F.col("root")).otherwise(folded).alias("folded_root"),
+        F.sha2(siblings, 256).alias("proof_sha256"), folded.alias("folded_root"),
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 

@@ -85,3 +85,12 @@ def test_tampering_is_noticed_unless_nothing_changes(spark):
     found = manifested(spark, many(200))
     assert {r[-1] for r in found} == {True, False}
     assert all(r[-1] == (r[5] == r[3]) and (r[-1] or zlib.crc32(str(r[0]).encode()) % 5 == 0) for r in found)
+
+
+def test_every_row_is_checked_by_its_proof(spark, monkeypatch):
+    # With a sibling that is not in the tree no row folds to the root, altered or not.
+    wrong = F.array(F.struct(F.lit("").alias("left"), F.lit("0" * 64).alias("right")))
+    monkeypatch.setattr(merkle, "no_path", lambda: wrong)
+    found = manifested(spark, many(40) + many(1, "a"))
+    assert sum(found.values()) == 41
+    assert not any(r[-1] or r[5] == r[3] for r in found)
