@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from prepkit.llm import curriculum, decontamination, licences, lines, rules, sharding
+from prepkit.llm import curriculum, decontamination, licences, lines, queries, rules, sharding
 from tests.llm import cases
 
 
@@ -327,6 +327,18 @@ def test_mix(spark):
     assert sorted(map(str, got)) == sorted(map(str, curriculum.planned(table.repartition(7)).collect()))
 
 
+def test_mix_counts_words_once(spark, docs, tmp_path):
+    """With the columns named that are kept, the same plan from sizes that are written once."""
+    narrow = curriculum.planned(docs, kept=["doc_id"])
+    assert narrow.columns == ["doc_id", *curriculum.PLAN]
+    same = curriculum.planned(docs).select(*narrow.columns)
+    assert Counter(map(str, narrow.collect())) == Counter(map(str, same.collect()))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for plan in (narrow, queries.source_mix(spark, str(tmp_path))):
+        assert "regexp_count" not in plan._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert curriculum.planned(docs, kept=["lang"]).columns == ["lang", *curriculum.PLAN]
+
+
 def test_time_follows_the_schedule(spark):
     """The share of a source's words before a time is the integral of its rate up to it."""
     knots = ((0.0, 0.5), (0.25, 2.0), (1.0, 0.5))
