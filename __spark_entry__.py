@@ -232,7 +232,9 @@ def same_fingerprints(df: DataFrame) -> DataFrame:
     marked = df.crossJoin(F.broadcast(first))
     repeated = df.unionByName(marked.where("doc_id = least").select(*df.columns))
     changed = marked.withColumn("text", F.when(F.col("doc_id") == F.col("least"), "x").otherwise(F.col("text"))).select(*df.columns)
-    kinds = {"same": df.repartition("lang"), "repeated": repeated, "changed": changed}
+    # By the rows' places, as many rows share a value of any column.
+    moved = df.repartition(F.monotonically_increasing_id())
+    kinds = {"same": moved, "repeated": repeated, "changed": changed}
     own = results.fingerprints(df).select(F.col("fingerprint").alias("own"))
     return union_all([results.fingerprints(made).crossJoin(F.broadcast(own)).select(
         F.lit(kind).alias("kind"), "row_count", (F.col("fingerprint") == F.col("own")).alias("equal"))

@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from prepkit.operators import frequency, quality, recommend, state
 from prepkit.operators.stats import column_stats
 from prepkit.plans import results
@@ -105,3 +106,18 @@ def test_fingerprint_follows_the_data_alone(spark, df):
     assert one != results.fingerprint(df.where("whole != 599"))
     assert one != results.fingerprint(df.withColumnRenamed("word", "words"))
     assert results.fingerprint(df.limit(0)) != results.fingerprint(df.limit(0).drop("day"))
+
+
+def test_rows_of_one_language_are_moved_by_many_tasks(spark, monkeypatch):
+    """The other order of the rows is not made by a column of few values."""
+    docs = spark.range(4000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "'en' AS lang")
+    moved, count = [], results.fingerprints
+    monkeypatch.setattr(results, "fingerprints", lambda d: moved.append(d) or count(d))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = {r["kind"]: r["equal"] for r in entry.same_fingerprints(docs).collect()}
+        assert found == {"same": True, "repeated": False, "changed": False}
+        held = [r["count"] for d in moved for r in d.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert len(moved) == 4 and sum(held) == 4 * 4000 + 1 and max(held) <= 2000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
