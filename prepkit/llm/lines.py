@@ -33,16 +33,15 @@ SHINGLE, PERCENT = 8, 80
 #: Lines of similarity 0.8 miss each other in all bands with a chance of 1.5 %, of 0.9 with 0.02 %.
 BANDS, ROWS = 8, 4
 POINTS = BANDS * ROWS
-#: Places of a signature in which lines have to agree to be compared: at similarity 0.8 they
-#: agree in fewer with a chance of 0.007 %. Lines with fewer shingles than FEW are not ruled out by
-#: it, as one shingle is the first from many points on there.
-AGREE, FEW = POINTS // 2, 64
+#: Lines with fewer shingles have hashes of their own for each band.
+FEW = 64
+#: Longs of a line's parities. A shingle flips one bit, so two lines differ in no more bits than
+#: their sets differ in shingles, and a pair with more than the similarity leaves is none.
+PARITIES = 16
 #: Leaders of a bucket in the first round across components, on average; GROWTH times as many in
 #: each further one. Buckets with no more pairs across components than half as many for each of
 #: their lines are compared in full.
-LEADERS, GROWTH = 128, 4
-#: Places of a signature that share a word of the sketch: seven bits and a guard bit each.
-PLACES = 7
+LEADERS, GROWTH = 32, 8
 
 
 def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -120,10 +119,22 @@ def _shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mixed(gram_hashes(mixed(codes + np.uint64(1)), SHINGLE)[at]), np.repeat(np.arange(len(texts)), counts)
 
 
+def _once(h: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Where each distinct shingle of each text is."""
+    return np.unique(mixed(h + mixed(owner.astype(np.uint64))), return_index=True)[1]
+
+
 def _sizes(h: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
     """How many distinct shingles each text has."""
-    first = np.unique(mixed(h + mixed(owner.astype(np.uint64))), return_index=True)[1]
-    return np.bincount(owner[first], minlength=texts)
+    return np.bincount(owner[_once(h, owner)], minlength=texts)
+
+
+def _parities(h: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
+    """A row per text, of shingles that are distinct in it: for each bit, whether an odd number fall there."""
+    odd = np.zeros(texts * PARITIES, np.uint64)
+    at = (h >> np.uint64(6)) % np.uint64(PARITIES)
+    np.bitwise_xor.at(odd, owner * PARITIES + at.astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
+    return odd.reshape(texts, PARITIES)
 
 
 def _firsts(h: np.ndarray, owner: np.ndarray, texts: int, points: int) -> np.ndarray:
@@ -144,7 +155,7 @@ def _band(number: int, places: np.ndarray) -> np.ndarray:
 
 
 def _signed_lines(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Bands and sketch of each line."""
+    """The bands of each line."""
     texts = batch.column("content").to_pylist()
     h, owner = _shingles(texts)
     places = np.bincount(owner, minlength=len(texts))
@@ -165,15 +176,19 @@ def _signed_lines(batch: pa.RecordBatch) -> pa.RecordBatch:
         bands[at, b] = _band(b, _firsts(mixed(h + np.uint64(b)), owner, len(at), ROWS))
     held = np.repeat(np.stack([many, few], axis=1), BANDS, axis=1)
     ends = np.concatenate([[0], np.cumsum(held.sum(axis=1))]).astype(np.int32)
-    words = [sum((firsts[:, k] & np.uint64(127)) << np.uint64(8 * (k % PLACES)) for k in range(w * PLACES, min((w + 1) * PLACES, POINTS)))
-             for w in range(len(WORDS))]
-    return pa.record_batch([batch.column("line"), pa.ListArray.from_arrays(pa.array(ends), signed(bands[held])), *map(signed, words)],
-                           names=["line", "bands", *WORDS])
+    return pa.record_batch([batch.column("line"), pa.ListArray.from_arrays(pa.array(ends), signed(bands[held]))],
+                           names=["line", "bands"])
 
 
 def _counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """How many shingles each line has, and their parities."""
     texts = batch.column("content").to_pylist()
-    return pa.record_batch([batch.column("line"), pa.array(_sizes(*_shingles(texts), len(texts)), pa.int64())], names=["line", "n"])
+    h, owner = _shingles(texts)
+    once = _once(h, owner)
+    h, owner = h[once], owner[once]
+    odd = _parities(h, owner, len(texts))
+    return pa.record_batch([batch.column("line"), pa.array(np.bincount(owner, minlength=len(texts)), pa.int64()),
+                            *[signed(np.ascontiguousarray(word)) for word in odd.T]], names=["line", "n", *WORDS])
 
 
 def _matched(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -197,16 +212,15 @@ def _rooted(lines: DataFrame) -> DataFrame:
     """``node`` and ``root`` of lines that are like another one of a bucket, by components."""
     enough = lines.where(F.char_length("content") >= SHINGLE)
     once = enough.groupBy("line").agg(F.first("content").alias("content"))
-    signed_lines = stored(once.mapInArrow(in_pieces(_signed_lines, PIECE, "content"),
-                                          "line long, bands array<long>, " + ", ".join(f"{w} long" for w in WORDS)), "line-signatures")
+    signed_lines = stored(once.mapInArrow(in_pieces(_signed_lines, PIECE, "content"), "line long, bands array<long>"), "line-signatures")
     buckets = signed_lines.select("line", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("line").alias("leader"), F.max("line").alias("high")).where("leader < high")
     led = stored(buckets.join(shared.select("bucket", "leader"), "bucket").where("line != leader"), "line-members")
     wanted = led.select("line").union(led.select("leader")).distinct()
     contents = lines.join(small_if_few(wanted), "line", "left_semi").groupBy("line").agg(F.first("content").alias("content"))
     contents = stored(contents, "line-texts")
-    sizes = contents.mapInArrow(in_pieces(_counted, PIECE, "content"), "line long, n long")
-    sketches = stored(sizes.join(signed_lines.drop("bands"), "line"), "line-sizes")
+    sketches = stored(contents.mapInArrow(in_pieces(_counted, PIECE, "content"),
+                                          "line long, n long, " + ", ".join(f"{w} long" for w in WORDS)), "line-sizes")
     pairs = led.select("leader", "line").distinct()
     pairs = pairs.join(_named(sketches, "x_", line="leader"), "leader").join(_named(sketches, "y_", line="line"), "line")
     rooted = components(_alike(pairs.where(_near()), contents), "leader", "line")
@@ -250,21 +264,15 @@ def _named(df: DataFrame, prefix: str, **names: str) -> DataFrame:
     return df.select(*[F.col(c).alias(names.get(c, prefix + c)) for c in df.columns])
 
 
-#: The words of a sketch, seven bits of each place of a signature, and for each the guard bits of its places.
-WORDS = [f"s{w}" for w in range(-(-POINTS // PLACES))]
-GUARDS = [sum(0x80 << 8 * j for j in range(min(PLACES, POINTS - w * PLACES))) for w in range(len(WORDS))]
-
-
-def _agree(x: str, y: str) -> Column:
-    """In how many places two sketches agree: there a guard bit outlives the subtraction."""
-    return reduce(add, [F.bit_count((F.lit(g) - F.col(x + w).bitwiseXOR(F.col(y + w))).bitwiseAND(F.lit(g)))
-                        for w, g in zip(WORDS, GUARDS)])
+#: The words of a line's parities.
+WORDS = [f"s{w}" for w in range(PARITIES)]
 
 
 def _near() -> Column:
-    """Whether sizes and sketches leave the two lines of a pair the similarity."""
+    """Whether sizes and parities leave the two lines of a pair the similarity."""
     least, most = F.least("x_n", "y_n"), F.greatest("x_n", "y_n")
-    return (least * 100 >= most * PERCENT) & ((most < FEW) | (_agree("x_", "y_") >= AGREE))
+    apart = reduce(add, [F.bit_count(F.col("x_" + w).bitwiseXOR(F.col("y_" + w))) for w in WORDS])
+    return (least * 100 >= most * PERCENT) & (apart * (100 + PERCENT) <= (least + most) * (100 - PERCENT))
 
 
 def _alike(pairs: DataFrame, contents: DataFrame) -> DataFrame:

@@ -284,6 +284,37 @@ def test_lines_of_no_documents(none):
     assert lines.kept_lines(none).count() == 0
 
 
+def test_lines_below_the_similarity_are_ruled_out_by_parities(spark, monkeypatch):
+    """Lines that share buckets but not enough shingles (66 %) do not meet pair by pair."""
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    stem = "".join(rng.choices(letters, k=150))
+    texts = [stem + "".join(rng.choices(letters, k=30)) for _ in range(150)]
+    compared, alike = [], lines._alike
+
+    def counted(pairs, contents):
+        compared.append(pairs.select("leader", "line").distinct().count())
+        return alike(pairs, contents)
+
+    monkeypatch.setattr(lines, "_alike", counted)
+    got = lines.kept_lines(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert all(r.kept == [0] for r in got)
+    assert sum(compared) <= 150
+
+
+def test_parities_differ_in_no_more_bits_than_sets():
+    rng = random.Random(12)
+    for size in (8, 30, 300, 5000):
+        one = "".join(rng.choices("abcdef ", k=size))
+        other = "".join(c if rng.random() > 0.02 else "x" for c in one) + "y" * rng.randint(0, 9)
+        h, owner = lines._shingles([one, other])
+        once = lines._once(h, owner)
+        a, b = lines._parities(h[once], owner[once], 2)
+        bits = sum(int(x ^ y).bit_count() for x, y in zip(a, b))
+        apart = len({one[i:i + 8] for i in range(len(one) - 7)} ^ {other[i:i + 8] for i in range(len(other) - 7)})
+        assert bits <= apart and (bits - apart) % 2 == 0
+
+
 # --- mixing
 
 def test_targets_are_filled_by_weight(spark):
