@@ -184,7 +184,7 @@ def _long_lists(base: DataFrame, gram: int) -> np.ndarray:
         if held > MOST_LONG:
             least = 2 ** (size + 1)
             break
-    found = lists.where(F.col("n") >= least).select("shingle").toPandas()["shingle"].to_numpy(np.int64)
+    found = lists.where(F.col("n") >= least).select("shingle").toArrow()["shingle"].to_numpy()
     return np.sort(found.view(np.uint64))
 
 

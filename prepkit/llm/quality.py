@@ -10,7 +10,9 @@ fitted on documents kept apart turns its output into a probability.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import pickle
+from collections.abc import Iterator
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -83,9 +85,22 @@ def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             held += r["size"]
     keep = docs.sparkSession.createDataFrame(chosen, "id long")
     sample = found.join(F.broadcast(keep), "id", "left_semi").select(
-        place.alias("place"), F.col("text").cast("binary").alias("text"), "label").toArrow()
-    sample = sample.sort_by([("place", "ascending"), ("text", "ascending"), ("label", "ascending")])
-    return _train(sample["text"].to_pylist(), sample["label"].to_numpy().astype(np.float32))
+        place.alias("place"), F.col("text").cast("binary").alias("text"), "label")
+    # Trained where there is memory for it, in one task, as the sample is bounded.
+    made = sample.repartition(1).mapInArrow(_trained, "fields binary").collect()
+    return Model(*pickle.loads(made[0]["fields"])) if made else _train([], np.zeros(0, np.float32))
+
+
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The fields of the model, pickled, of the only partition's rows; none without rows."""
+    batches = list(batches)
+    if not any(b.num_rows for b in batches):
+        return
+    sample = pa.Table.from_batches(batches).sort_by([("place", "ascending"), ("text", "ascending"), ("label", "ascending")])
+    del batches
+    model = _train(sample["text"].to_pylist(), sample["label"].to_numpy().astype(np.float32))
+    values = [getattr(model, f.name) for f in fields(Model)]
+    yield pa.record_batch([pa.array([pickle.dumps(values)], pa.binary())], names=["fields"])
 
 
 def _units(w: Words) -> tuple[np.ndarray, np.ndarray]:

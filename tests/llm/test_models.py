@@ -1,6 +1,7 @@
 """The classifier by held-out accuracy, the language model by brute force and by its gain."""
 
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -137,3 +138,13 @@ def test_a_giant_labelled_text_does_not_end_the_sample(spark):
     model = quality.fitted(docs, labels, most_bytes=30_000)
     scores = {r.doc_id: r.score for r in quality.scored(docs.where("doc_id < 60"), model).collect()}
     assert all((s > 0.5) == bool(d % 2) for d, s in scores.items())
+
+
+def test_the_classifier_is_not_trained_on_the_driver(spark, monkeypatch):
+    rows, labels = graded(60)
+    docs = spark.createDataFrame([(d, t) for d, t, *_ in rows], "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    none = np.zeros(1)
+    monkeypatch.setattr(quality, "_train", lambda texts, y: quality.Model(none, none, none, none, (len(texts),), os.getpid()))
+    model = quality.fitted(docs, marks)
+    assert model.layers == (60,) and model.temperature != os.getpid()
