@@ -133,10 +133,12 @@ def merged_states(states: DataFrame) -> DataFrame:
     moved = states.withColumn("__mean", mean).withColumn("__d", F.col("mean") - F.col("__mean"))
     n, d, m2, m3, m4 = (F.col(c) for c in ("non_null", "__d", *POWERS))
     grown = {"m2": m2 + n * d ** 2, "m3": m3 + 3 * d * m2 + n * d ** 3, "m4": m4 + 4 * d * m3 + 6 * d ** 2 * m2 + n * d ** 4}
+    # A slice without values has an empty sketch of the default size, which does not unite with others.
+    counted = F.when(F.hll_sketch_estimate("distinct_sketch") > 0, F.col("distinct_sketch"))
     return moved.groupBy("column_name", "position", "dtype").agg(
         *[F.sum(c).alias(c) for c in SUMS], *[F.min(c).alias(c) for c in LEAST], *[F.max(c).alias(c) for c in MOST],
         F.first("__mean").alias("mean"), *[F.sum(v).alias(k) for k, v in grown.items()],
-        F.kll_merge_agg_double("sketch").alias("sketch"), F.hll_union_agg("distinct_sketch").alias("distinct_sketch"))
+        F.kll_merge_agg_double("sketch").alias("sketch"), F.hll_union_agg(counted).alias("distinct_sketch"))
 
 
 def finished(state: DataFrame) -> DataFrame:

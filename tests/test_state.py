@@ -121,3 +121,12 @@ def test_rows_of_one_language_are_moved_by_many_tasks(spark, monkeypatch):
         assert len(moved) == 4 and sum(held) == 4 * 4000 + 1 and max(held) <= 2000
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_a_slice_without_values_unites_with_others(spark):
+    df = spark.createDataFrame([(1, None), (2, "a"), (3, "b")], "i int, s string")
+    slices = [state.column_state(df.where(c)) for c in ("i > 3", "i = 1", "i > 1")]
+    for order in (slices, slices[::-1]):
+        merged = order[0].unionByName(order[1]).unionByName(order[2])
+        got = as_rows(state.finished(state.merged_states(merged)))
+        assert (got["i"]["distinct_count"], got["s"]["distinct_count"], got["s"]["missing"]) == (3, 2, 1)
