@@ -55,15 +55,14 @@ def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     are not read.
     """
     base = _keyed(docs, doc_id, text)
-    kept = _kept(base).select(F.col("id").alias("id_"), F.col("mark").alias("mark_"), "n_lines", "kept")
-    rows = base.select("id", "mark").join(kept, F.col("id").eqNullSafe(F.col("id_")) & (F.col("mark") == F.col("mark_")), "left")
+    rows = base.select("id", "mark", _n_lines()).join(_kept(base), ["id", "mark"], "left")
     return rows.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(doc_id), *_counts())
 
 
 def without_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """As ``kept_lines``, with ``kept_text``: the lines that stay, joined by line feeds."""
     base = _keyed(docs, doc_id, text)
-    rows = base.join(_kept(base), ["id", "mark"], "left")
+    rows = base.withColumn("n_lines", _n_lines()).join(_kept(base), ["id", "mark"], "left")
     kept = F.coalesce("kept", F.array().cast("array<int>"))
     lines = F.transform(kept, lambda i: F.get(F.split("text", "\n"), i))
     return rows.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(doc_id), *_counts(),
@@ -74,8 +73,15 @@ NO_ID = 2**63 - 1
 
 
 def _counts() -> list[Column]:
-    return [F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"),
-            F.coalesce("kept", F.array().cast("array<int>")).alias("kept")]
+    return [F.col("n_lines").cast("long").alias("n_lines"), F.coalesce("kept", F.array().cast("array<int>")).alias("kept")]
+
+
+def _n_lines() -> Column:
+    return F.size(F.filter(F.split("text", "\n"), lambda line: _trimmed(line) != "")).alias("n_lines")
+
+
+def _trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\x0b\x0c\r"))
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -86,22 +92,18 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def _lines(base: DataFrame) -> DataFrame:
     """``id, mark, i, content`` of each line, and ``line``, its 64-bit name."""
     cut = base.select("id", "mark", F.posexplode(F.split("text", "\n")).alias("i", "content"))
-    cut = cut.withColumn("content", F.btrim("content", F.lit(" \t\x0b\x0c\r"))).where("content != ''")
+    cut = cut.withColumn("content", _trimmed(F.col("content"))).where("content != ''")
     return cut.withColumn("line", F.xxhash64("content"))
 
 
 def _kept(base: DataFrame) -> DataFrame:
-    """``id, mark, n_lines, kept`` of documents that have lines."""
+    """``id, mark, kept`` of documents of which a line stays: the first places of the components."""
     lines = _lines(base)
     rooted = _rooted(lines)
     places = lines.groupBy("line").agg(F.min(F.struct("id", "i", "mark")).alias("place"))
     named = places.join(rooted.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
-    best = named.groupBy("root").agg(F.min("place").alias("best"))
-    firsts = named.join(best, "root").select("line", "best")
-    held = lines.select("id", "mark", "i", "line").join(firsts, "line")
-    first = F.struct("id", "i", "mark") == F.col("best")
-    return held.groupBy("id", "mark").agg(
-        F.size(F.collect_set("i")).alias("n_lines"), F.sort_array(F.collect_set(F.when(first, F.col("i")))).alias("kept"))
+    firsts = named.groupBy("root").agg(F.min("place").alias("place")).select("place.*")
+    return firsts.groupBy("id", "mark").agg(F.sort_array(F.collect_list("i")).alias("kept"))
 
 
 #: Characters that a task hashes at a time, if no line alone has more.

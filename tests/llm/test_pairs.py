@@ -112,6 +112,13 @@ def test_long_path(spark):
     assert sorted(map(tuple, got)) == [(i, 0) for i in range(61)]
 
 
+def test_stars_take_no_round(spark, monkeypatch):
+    monkeypatch.setattr("prepkit.llm.components._large_star", None)
+    edges = [(1, 5), (5, 1), (6, 1), (2, 2), (3, 9), (None, 4)]
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (3, 3), (5, 1), (6, 1), (9, 3)]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], cases.SCHEMA)
     assert remove_repeats(none).collect() == []

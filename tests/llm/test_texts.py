@@ -215,6 +215,15 @@ def test_lines_kept(spark):
     assert extra <= 0.02 * len(placed)
 
 
+def test_lines_are_cut_once_for_what_stays(spark, capsys):
+    docs = [(1, "one line of it\n \none line of it"), (2, "one line of it\nmore"), (2, "one line of it\nmore"), (None, "more\nmost\n"), (3, None)]
+    kept = lines.kept_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    kept.explain()
+    assert capsys.readouterr().out.count("Generate posexplode") == 1
+    assert Counter((r.doc_id, r.n_lines, tuple(r.kept)) for r in kept.collect()) == Counter(
+        {(1, 2, (0,)): 1, (2, 2, (1,)): 2, (None, 2, (1,)): 1, (3, 0, ()): 1})
+
+
 @pytest.mark.parametrize("leaders", [None, 1])
 def test_lines_like_a_matched_line(spark, monkeypatch, leaders):
     """Chains L ~ A ~ B with L and B apart, and buckets of several such lines."""
