@@ -324,6 +324,36 @@ def test_parities_differ_in_no_more_bits_than_sets():
         assert bits <= apart and (bits - apart) % 2 == 0
 
 
+def test_lines_need_no_python_on_executors(spark, monkeypatch):
+    plans, stored = [], lines.stored
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().toString())
+        return stored(df, name)
+
+    monkeypatch.setattr(lines, "stored", noted)
+    docs = spark.createDataFrame([(1, "one line of this text\nmore"), (2, "one line of this text.")], "doc_id long, text string")
+    got = lines.kept_lines(docs)
+    plans.append(got._jdf.queryExecution().toString())
+    assert {r.doc_id: r.kept for r in got.collect()} == {1: [0, 1], 2: []}
+    assert len(plans) > 5 and not any("Arrow" in p or "Python" in p for p in plans)
+
+
+def test_lines_of_one_shingle_again_and_again(spark):
+    """Equal sets in lines of any length, also where only few of the places would be looked at."""
+    texts = [mark * n for mark in ("-", "=-", "abc é") for n in (40, 71, 100, 3000)]
+    got = {r.doc_id: r.kept for r in lines.kept_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: [0] if i % 4 == 0 else [] for i in range(len(texts))}
+
+
+def test_sets_in_sql_have_the_sizes_of_those_in_numpy(spark):
+    rng = random.Random(13)
+    texts = ["".join(rng.choice("abc é\U0001f600") for _ in range(n)) for n in (8, 9, 40, 600)] + ["a" * 50, "ab" * 900]
+    rows = lines._counted(spark.createDataFrame(list(enumerate(texts)), "line long, content string")).collect()
+    assert {r.line: r.n for r in rows} == dict(enumerate(lines._sizes(*lines._shingles(texts), len(texts)).tolist()))
+    assert all(sum((r[w] & 2**64 - 1).bit_count() for w in lines.WORDS) % 2 == r.n % 2 for r in rows)
+
+
 # --- mixing
 
 def test_targets_are_filled_by_weight(spark):
