@@ -161,7 +161,8 @@ def _set(content: str) -> Column:
 
 def _counted(contents: DataFrame) -> DataFrame:
     """``line, n`` and how many shingles each line has, and their parities."""
-    each = contents.select("line", F.array_distinct(_set("content")).alias("set")).select("line", F.explode("set").alias("h"))
+    # Outer, as a filter against empty sets would make each set again; there are none.
+    each = contents.select("line", F.array_distinct(_set("content")).alias("set")).select("line", F.explode_outer("set").alias("h"))
     each = each.withColumn("word", F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(PARITIES - 1)))
     words = each.groupBy("line", "word").agg(F.count("*").alias("n"), F.bit_xor(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("odd"))
     return words.groupBy("line").agg(F.sum("n").alias("n"), *[
